@@ -39,7 +39,7 @@ def parse_date_yymmdd(c) -> Column:
     century = F.when(yy < F.lit(YY_PIVOT), F.lit("20")).otherwise(F.lit("19"))
     iso = F.concat(century, F.substring(digits, 1, 2), F.lit("-"),
                    F.substring(digits, 3, 2), F.lit("-"), F.substring(digits, 5, 2))
-    return F.when(F.length(digits) == 6, F.try_to_date(iso, F.lit("yyyy-MM-dd")))
+    return F.when(F.length(digits) == 6, F.try_to_date(iso, "yyyy-MM-dd"))
 
 
 def _guarded_double(s: Column) -> Column:

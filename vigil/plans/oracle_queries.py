@@ -19,3 +19,65 @@ SQL = {
     "clean_panel": with_(panel_ctes(), rounded_select(
         "clean", K, VARS, ["CAT", "CAT_24h", "CAT_48h", "CAT_72h"])),
 }
+
+# ---- parsers and text sources -------------------------------------------------
+from vigil.plans import oracle_sql as o  # noqa: E402
+from vigil.sources import fixtures as fx  # noqa: E402
+from vigil.sources.delimited import SALVAGE_RE  # noqa: E402
+
+_PRICE = f"(SELECT l_orderkey, l_linenumber, {fx.PRICE_TEXT} AS txt FROM lineitem)"
+_LABELS = (f"(SELECT p_partkey, {fx.LABEL_TEXT} AS label, {fx.FILE_NAME_TEXT} AS file_name, "
+           f"{fx.CATEGORY_TEXT} AS cat_text FROM part)")
+
+
+def _salvage_sql() -> str:
+    names = ["date", "PM25", "PM10", "temp", "hum", "pres", "wind", "winddir", "CAT"]
+    ext = ", ".join(f"regexp_extract(line, '{SALVAGE_RE}', {i + 1}) AS {n}" for i, n in enumerate(names))
+    nums = ", ".join(o.r6(o.to_number(n, comma=False), n) for n in names[1:8])
+    return (f"WITH lines AS (SELECT o_orderkey, {fx.SALVAGE_LINE} AS line FROM orders), "
+            f"parts AS (SELECT o_orderkey, {ext} FROM lines WHERE regexp_matches(line, '{SALVAGE_RE}')), "
+            f"typed AS (SELECT o_orderkey, {o.iso_date('date')} AS date, {nums}, "
+            f"{o.normalize_category('CAT')} AS CAT FROM parts), "
+            f"ranked AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY o_orderkey) AS rn "
+            f"FROM typed WHERE date IS NOT NULL) "
+            f"SELECT o_orderkey, date, PM25, PM10, temp, hum, pres, wind, winddir, CAT FROM ranked WHERE rn = 1")
+
+
+def _varfile() -> str:
+    cols = ", ".join(f'{e} AS "{n}"' for n, e in fx.VARIABLE_FILE_COLUMNS.items())
+    return f"(SELECT l_suppkey AS series_id, {cols} FROM lineitem)"
+
+
+def _scores(cols: list[str], score, extra: str) -> str:
+    parts = " UNION ALL ".join(
+        f"SELECT '{c}' AS candidate, {i} AS position, CAST({score(c)} AS BIGINT) AS n FROM {_varfile()}"
+        for i, c in enumerate(cols))
+    return f"SELECT candidate, position, n, {extra} FROM ({parts})"
+
+
+SQL.update({
+    "parse_yymmdd": f"SELECT o_orderkey, txt, {o.yymmdd_date('txt')} AS date FROM "
+                    f"(SELECT o_orderkey, {fx.ORDER_DATE_TEXT} AS txt FROM orders)",
+    "parse_decimal_comma": f"SELECT l_orderkey, l_linenumber, txt, {o.r6(o.to_number('txt'), 'value')}, "
+                           f"{o.r6(o.to_number('txt', comma=False), 'value_plain')} FROM {_PRICE}",
+    "parse_dash_null": f"SELECT l_orderkey, l_linenumber, txt, "
+                       f"{o.r6(o.to_number('txt', dash=True), 'value')} FROM {_PRICE}",
+    "parse_excel_date": f"SELECT o_orderkey, cell, {o.excel_date('cell')} AS FECHA FROM "
+                        f"(SELECT o_orderkey, {fx.excel_cell(fx.SERIAL_DUCK)} AS cell FROM orders)",
+    "normalize_key": f"SELECT p_partkey, label, {o.normalize_key('label')} AS label_key FROM {_LABELS}",
+    "normalize_text": f"SELECT p_partkey, {o.normalize_text('label')} AS label_text FROM {_LABELS}",
+    "year_from_name": f"SELECT p_partkey, file_name, {o.year_from_name('file_name')} AS source_year FROM {_LABELS}",
+    "category_normalize": f"SELECT p_partkey, {o.normalize_category('cat_text')} AS CAT FROM {_LABELS}",
+    "salvage_line": _salvage_sql(),
+    "drop_all_null_columns": _scores(list(fx.VARIABLE_FILE_COLUMNS), lambda c: f'count("{c}")',
+                                     "CASE WHEN n > 0 THEN 1 ELSE 0 END AS kept"),
+    "best_value_column": _scores(
+        ["valor", "valor_b", "vacia"], lambda c: f'count({o.to_number(chr(34) + c + chr(34))})',
+        "CASE WHEN row_number() OVER (ORDER BY n DESC, position) = 1 AND n > 0 THEN 1 ELSE 0 END AS is_best"),
+    "variable_file_daily": (
+        f"WITH f AS {_varfile()}, c AS (SELECT count({o.to_number('valor')}) AS a, "
+        f"count({o.to_number('valor_b')}) AS b FROM f), "
+        f"obs AS (SELECT series_id, {o.yymmdd_date(chr(34) + 'FECHA ' + chr(34))} AS date, "
+        f"CASE WHEN c.a >= c.b THEN {o.to_number('valor')} ELSE {o.to_number('valor_b')} END AS v FROM f, c) "
+        f"SELECT series_id, date, {o.r6('avg(v)', 'PM25')} FROM obs WHERE date IS NOT NULL GROUP BY 1, 2"),
+})

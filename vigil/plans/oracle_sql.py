@@ -140,3 +140,59 @@ def event_panel_ctes(variables=EVENT_VARIABLES) -> list[str]:
         "INTERVAL 1 DAY)) AS DATE) AS date FROM eb WHERE lo <= hi)",
         f"epanel AS ({left_on_calendar('ecal', 'edaily', list(variables))})",
     ]
+
+
+# ---- scalar parsers, DuckDB dialect -------------------------------------------
+from vigil.functions.parse import DECIMAL_RE  # noqa: E402
+
+
+def strip_ws(s: str) -> str:
+    return f"regexp_replace({s}, '^\\s+|\\s+$', '', 'g')"
+
+
+def to_number(s: str, comma: bool = True, dash: bool = False) -> str:
+    t = strip_ws(f"CAST({s} AS VARCHAR)")
+    missing = f"{t} IN ('', 'nan', 'None')" + (f" OR {t} = '-'" if dash else "")
+    u = f"replace({t}, ',', '.')" if comma else t
+    return (f"CASE WHEN NOT ({missing}) THEN CASE WHEN regexp_matches({u}, '{DECIMAL_RE}') "
+            f"THEN TRY_CAST({u} AS DOUBLE) END END")
+
+
+def yymmdd_date(s: str) -> str:
+    dg = f"regexp_replace({s}, '[^0-9]', '', 'g')"
+    iso = (f"(CASE WHEN CAST(substr({dg}, 1, 2) AS INTEGER) < 70 THEN '20' ELSE '19' END) || "
+           f"substr({dg}, 1, 2) || '-' || substr({dg}, 3, 2) || '-' || substr({dg}, 5, 2)")
+    return f"CASE WHEN length({dg}) = 6 THEN CAST(try_strptime({iso}, '%Y-%m-%d') AS DATE) END"
+
+
+ISO_FORMATS = "['%Y-%m-%d %H:%M:%S', '%Y-%m-%dT%H:%M:%S', '%Y-%m-%d']"
+
+
+def iso_date(s: str) -> str:
+    return f"CAST(try_strptime({strip_ws(s)}, {ISO_FORMATS}) AS DATE)"
+
+
+def excel_date(s: str) -> str:
+    t = strip_ws(s)
+    num = f"CASE WHEN regexp_matches({t}, '{DECIMAL_RE}') THEN TRY_CAST({t} AS DOUBLE) END"
+    return (f"CASE WHEN ({num}) IS NOT NULL THEN CASE WHEN ({num}) BETWEEN -693593.0 AND 2958465.0 THEN "
+            f"DATE '1899-12-30' + CAST(floor({num}) AS INTEGER) END ELSE {iso_date(t)} END")
+
+
+def normalize_text(s: str) -> str:
+    return f"coalesce({strip_ws(f'CAST({s} AS VARCHAR)')}, '')"
+
+
+def normalize_key(s: str) -> str:
+    return f"trim(regexp_replace(upper(strip_accents({normalize_text(s)})), '[^A-Z0-9]+', ' ', 'g'))"
+
+
+def year_from_name(s: str) -> str:
+    base = f"regexp_extract({s}, '([^/]*)$', 1)"
+    stem = (f"CASE WHEN regexp_matches({base}, '[^.].*\\.[^.]*$') THEN regexp_replace({base}, '\\.[^.]*$', '') "
+            f"ELSE {base} END")
+    return f"regexp_extract({stem}, '(20[0-9]{{2}})', 1)"
+
+
+def normalize_category(s: str) -> str:
+    return f"lower({strip_ws(s)})"

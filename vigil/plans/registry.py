@@ -13,7 +13,14 @@ from vigil.operators.daily import (align_variables, complete_calendar, daily_mea
                                    interpolate_time, long_values)
 from vigil.operators.features import BASE_NUMERIC
 from vigil.plans.panel import clean_panel
-from vigil.sources.tables import EVENT_VARIABLES, event_observations, lineitem_observations
+from vigil.functions.category import category, critical_flag
+from vigil.functions.parse import (normalize_category, normalize_key, normalize_text, parse_date_yymmdd,
+                                   parse_excel_date, to_number, to_number_clean, to_number_plain,
+                                   year_from_filename)
+from vigil.sources import fixtures as fx
+from vigil.sources.delimited import (conform_dataset, discover_roles, load_variable, null_column_scores,
+                                     salvage_lines, value_column_scores)
+from vigil.sources.tables import EVENT_VARIABLES, event_observations, lineitem_observations, read_table
 
 KEYS = ["series_id"]
 VARS = list(BASE_NUMERIC)
@@ -71,10 +78,98 @@ def q_clean_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(clean_lineitem_panel(spark, sf_dir))
 
 
+def q_parse_yymmdd(spark, sf_dir):
+    t = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr(fx.ORDER_DATE_TEXT).alias("txt"))
+    return t.select("o_orderkey", "txt", parse_date_yymmdd("txt").alias("date"))
+
+
+def _price_text(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.expr(fx.PRICE_TEXT).alias("txt"))
+
+
+def q_parse_decimal_comma(spark, sf_dir):
+    return round_doubles(_price_text(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "txt", to_number("txt").alias("value"),
+        to_number_plain("txt").alias("value_plain")))
+
+
+def q_parse_dash_null(spark, sf_dir):
+    return round_doubles(_price_text(spark, sf_dir).select(
+        "l_orderkey", "l_linenumber", "txt", to_number_clean("txt").alias("value")))
+
+
+def q_parse_excel_date(spark, sf_dir):
+    t = read_table(spark, sf_dir, "orders").select(
+        "o_orderkey", F.expr(fx.excel_cell(fx.SERIAL_SPARK)).alias("cell"))
+    return t.select("o_orderkey", "cell", parse_excel_date("cell").alias("FECHA"))
+
+
+def _labels(spark, sf_dir):
+    return read_table(spark, sf_dir, "part").select(
+        "p_partkey", F.expr(fx.LABEL_TEXT).alias("label"), F.expr(fx.FILE_NAME_TEXT).alias("file_name"),
+        F.expr(fx.CATEGORY_TEXT).alias("cat_text"))
+
+
+def q_normalize_key(spark, sf_dir):
+    return _labels(spark, sf_dir).select("p_partkey", "label", normalize_key("label").alias("label_key"))
+
+
+def q_normalize_text(spark, sf_dir):
+    return _labels(spark, sf_dir).select("p_partkey", normalize_text("label").alias("label_text"))
+
+
+def q_year_from_name(spark, sf_dir):
+    return _labels(spark, sf_dir).select("p_partkey", "file_name",
+                                         year_from_filename("file_name").alias("source_year"))
+
+
+def q_category_normalize(spark, sf_dir):
+    return _labels(spark, sf_dir).select("p_partkey", normalize_category("cat_text").alias("CAT"))
+
+
+def q_salvage_line(spark, sf_dir):
+    lines = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr(fx.SALVAGE_LINE).alias("line"))
+    return round_doubles(conform_dataset(salvage_lines(lines, "line"), order_col="o_orderkey"))
+
+
+def _variable_file(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem")
+    return li.select(F.col("l_suppkey").alias("series_id"),
+                     *[F.expr(e).alias(n) for n, e in fx.VARIABLE_FILE_COLUMNS.items()])
+
+
+def q_drop_all_null_columns(spark, sf_dir):
+    return null_column_scores(_variable_file(spark, sf_dir).drop("series_id"))
+
+
+def q_best_value_column(spark, sf_dir):
+    df = _variable_file(spark, sf_dir)
+    _date, _hour, candidates = discover_roles(df.columns, ["series_id"])
+    return value_column_scores(df, candidates)
+
+
+def q_variable_file_daily(spark, sf_dir):
+    return round_doubles(load_variable(_variable_file(spark, sf_dir), "PM25", ["series_id"])
+                         .drop("_obs_PM25"))
+
+
 QUERIES = {
     "daily_mean": q_daily_mean,
     "daily_calendar": q_daily_calendar,
     "interpolate_time": q_interpolate_time,
     "panel_inner_join": q_panel_inner_join,
     "clean_panel": q_clean_panel,
+    "parse_yymmdd": q_parse_yymmdd,
+    "parse_decimal_comma": q_parse_decimal_comma,
+    "parse_dash_null": q_parse_dash_null,
+    "parse_excel_date": q_parse_excel_date,
+    "normalize_key": q_normalize_key,
+    "normalize_text": q_normalize_text,
+    "year_from_name": q_year_from_name,
+    "category_normalize": q_category_normalize,
+    "salvage_line": q_salvage_line,
+    "drop_all_null_columns": q_drop_all_null_columns,
+    "best_value_column": q_best_value_column,
+    "variable_file_daily": q_variable_file_daily,
 }
