@@ -81,3 +81,116 @@ SQL.update({
         f"CASE WHEN c.a >= c.b THEN {o.to_number('valor')} ELSE {o.to_number('valor_b')} END AS v FROM f, c) "
         f"SELECT series_id, date, {o.r6('avg(v)', 'PM25')} FROM obs WHERE date IS NOT NULL GROUP BY 1, 2"),
 })
+
+# ---- panel quality, categories, features ---------------------------------------
+from vigil.operators.features import BASE_NUMERIC, LAGS, ROLL_WINDOWS  # noqa: E402
+
+PANEL = o.panel_ctes()
+W = "PARTITION BY series_id ORDER BY date"
+
+
+def _frame(w: int) -> str:
+    return f"OVER ({W} ROWS BETWEEN {w} PRECEDING AND 1 PRECEDING)"
+
+
+def _rolling_sql(stats) -> list[str]:
+    fn = {"mean": "avg", "max": "max", "min": "min", "std": "stddev_samp"}
+    out = []
+    for w in ROLL_WINDOWS:
+        for st in stats:
+            for v in VARS:
+                out.append(o.r6(f"CASE WHEN count({v}) {_frame(w)} = {w} THEN {fn[st]}({v}) {_frame(w)} END",
+                                f"{v}_{st}{w}"))
+    return out
+
+
+def _lags_sql() -> list[str]:
+    return [o.r6(f"lag({v}, {k}) OVER ({W})", f"{v}_lag{k}") for k in LAGS for v in VARS]
+
+
+def _diffs_sql() -> list[str]:
+    return [o.r6(f"{v} - lag({v}, {k}) OVER ({W})", f"{v}_diff{k}") for k in (1, 2) for v in VARS]
+
+
+def _prev_sql() -> list[str]:
+    out = []
+    for k in (1, 2, 3):
+        out += [f"lag(CAT, {k}) OVER ({W}) AS CAT_lag{k}", f"lag(critical_now, {k}) OVER ({W}) AS critical_lag{k}"]
+    return out
+
+
+_CAL = {
+    "year": "year(d)", "month": "month(d)", "dayofyear": "dayofyear(d)", "dayofweek": "isodow(d) - 1",
+    "is_weekend": "CASE WHEN isodow(d) - 1 IN (5, 6) THEN 1 ELSE 0 END",
+    "winter": "CASE WHEN month(d) IN (6, 7, 8) THEN 1 ELSE 0 END",
+    "autumn": "CASE WHEN month(d) IN (3, 4, 5) THEN 1 ELSE 0 END",
+    "spring": "CASE WHEN month(d) IN (9, 10, 11) THEN 1 ELSE 0 END",
+    "summer": "CASE WHEN month(d) IN (12, 1, 2) THEN 1 ELSE 0 END",
+}
+_CYC = {"doy_sin": "sin(2 * pi() * dayofyear(d) / 365.25)", "doy_cos": "cos(2 * pi() * dayofyear(d) / 365.25)"}
+
+
+def _cal_sql(names, src="date") -> list[str]:
+    out = []
+    for n in names:
+        if n in _CAL:
+            out.append(f"{_CAL[n].replace('(d)', f'({src})')} AS {n}")
+        else:
+            out.append(o.r6(_CYC[n].replace("(d)", f"({src})"), n))
+    return out
+
+
+TARGETED = PANEL + [f"tgt AS (SELECT *, lead(critical_now, 2) OVER ({W}) AS critical_t_plus_2 FROM "
+                    f"(SELECT *, {o.critical_sql('CAT')} AS critical_now FROM clean))"]
+_ORD = "(SELECT o_orderkey, CAST(o_orderdate AS DATE) AS date FROM orders)"
+_ZS = " UNION ALL ".join(
+    f"SELECT series_id, '{v}' AS feature, {o.r6(f'avg({v})', 'mean')}, "
+    f"{o.r6(f'CASE WHEN stddev_pop({v}) = 0 THEN 1.0 ELSE stddev_pop({v}) END', 'std')} FROM clean GROUP BY series_id"
+    for v in VARS)
+_ZA = ", ".join(o.r6(f"({v} - avg({v}) OVER (PARTITION BY series_id)) / CASE WHEN stddev_pop({v}) OVER "
+                     f"(PARTITION BY series_id) = 0 THEN 1.0 ELSE stddev_pop({v}) OVER (PARTITION BY series_id) END", v)
+                for v in VARS)
+_ALL_CAL = ["year", "month", "dayofyear", "dayofweek", "is_weekend", "winter", "autumn", "spring", "summer",
+            "doy_sin", "doy_cos"]
+_FEATS = ([f"series_id, date, {', '.join(o.r6(v, v) for v in VARS)}, CAT, CAT_24h, CAT_48h, CAT_72h, "
+           f"critical_now, critical_t_plus_2"] + _cal_sql(_ALL_CAL) + _lags_sql()
+          + _rolling_sql(("mean", "max", "min", "std")) + _diffs_sql() + _prev_sql())
+_TRIM_CTES, _TRIM_LAST = o.trim_ctes("complete")
+
+SQL.update({
+    "quantile_bounds": with_(PANEL, f"SELECT series_id, {o.r6('quantile_cont(PM25, 0.01)', 'q_low')}, "
+                                    f"{o.r6('quantile_cont(PM25, 0.99)', 'q_high')} FROM complete GROUP BY series_id"),
+    "trim_one": with_(PANEL, rounded_select("trim0", K, VARS)),
+    "trim_sequential": with_(PANEL, rounded_select(_TRIM_LAST, K, VARS)),
+    "category": with_(PANEL, f"SELECT series_id, date, {o.r6('PM25', 'PM25')}, {o.category_sql('PM25')} AS CAT "
+                             f"FROM complete"),
+    "critical_flag": with_(PANEL, f"SELECT series_id, date, {o.critical_sql(o.category_sql('PM25'))} "
+                                  f"AS critical_now FROM complete"),
+    "future_category": with_(PANEL + [f"c2 AS (SELECT series_id, date, {o.category_sql('PM25')} AS CAT FROM {_TRIM_LAST})"],
+                             o.future_join("c2", keep_missing=True)),
+    "zscore_fit": with_(PANEL, _ZS),
+    "zscore_apply": with_(PANEL, f"SELECT series_id, date, {_ZA}, CAT, CAT_24h, CAT_48h, CAT_72h FROM clean"),
+    "coverage": with_(PANEL, "SELECT series_id, count(date) AS n_days, date_diff('day', min(date), max(date)) + 1 "
+                             "AS span_days, " + o.r6("count(date) / (date_diff('day', min(date), max(date)) + 1)",
+                                                    "coverage_ratio") + " FROM clean GROUP BY series_id"),
+    "event_rate": with_(TARGETED, f"SELECT series_id, {o.r6('avg(critical_now)', 'event_rate')}, "
+                                  f"count(critical_now) AS n FROM tgt GROUP BY series_id"),
+    "date_span": with_(PANEL, "SELECT series_id, min(date) AS date_start, max(date) AS date_end FROM clean "
+                              "GROUP BY series_id"),
+    "calendar_features": f"SELECT o_orderkey, {', '.join(_cal_sql(['year', 'month', 'dayofyear', 'dayofweek', 'is_weekend']))} FROM {_ORD}",
+    "season_flags": f"SELECT o_orderkey, {', '.join(_cal_sql(['winter', 'autumn', 'spring', 'summer']))} FROM {_ORD}",
+    "cyclic_features": f"SELECT o_orderkey, {', '.join(_cal_sql(['doy_sin', 'doy_cos']))} FROM {_ORD}",
+    "lags": with_(TARGETED, f"SELECT series_id, date, {', '.join(_lags_sql())} FROM tgt"),
+    "rolling_mean": with_(TARGETED, f"SELECT series_id, date, {', '.join(_rolling_sql(['mean']))} FROM tgt"),
+    "rolling_max": with_(TARGETED, f"SELECT series_id, date, {', '.join(_rolling_sql(['max']))} FROM tgt"),
+    "rolling_min": with_(TARGETED, f"SELECT series_id, date, {', '.join(_rolling_sql(['min']))} FROM tgt"),
+    "rolling_std": with_(TARGETED, f"SELECT series_id, date, {', '.join(_rolling_sql(['std']))} FROM tgt"),
+    "diffs": with_(TARGETED, f"SELECT series_id, date, {', '.join(_diffs_sql())} FROM tgt"),
+    "prev_category": with_(TARGETED, f"SELECT series_id, date, {', '.join(_prev_sql())} FROM tgt"),
+    "target_rows": with_(TARGETED, "SELECT series_id, date, critical_now, critical_t_plus_2 FROM tgt"),
+    "target_days": with_(PANEL + [f"cn AS (SELECT series_id, date, {o.critical_sql('CAT')} AS critical_now FROM clean)"],
+                         "SELECT a.series_id, a.date, a.critical_now, b.critical_now AS critical_t_plus_2 FROM cn a "
+                         "LEFT JOIN cn b ON a.series_id = b.series_id AND b.date = a.date + 2"),
+    "feature_table": with_(TARGETED, f"SELECT * FROM (SELECT {', '.join(_FEATS)} FROM tgt) "
+                                     f"WHERE critical_t_plus_2 IS NOT NULL"),
+})

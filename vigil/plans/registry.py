@@ -173,3 +173,153 @@ QUERIES = {
     "best_value_column": q_best_value_column,
     "variable_file_daily": q_variable_file_daily,
 }
+
+
+# ---- panel quality, categories, features ---------------------------------------
+from vigil.functions.calendar import calendar_columns  # noqa: E402
+from vigil.operators import quality as qual  # noqa: E402
+from vigil.operators.features import (add_features, diff_columns, lag_columns,  # noqa: E402
+                                      previous_category_columns, rolling_columns)
+from vigil.operators.horizon import add_future_categories, add_target  # noqa: E402
+from vigil.plans.panel import daily_panel  # noqa: E402
+
+
+def complete_lineitem_panel(spark, sf_dir):
+    return daily_panel(lineitem_observations(spark, sf_dir), KEYS, "ts", VARS)
+
+
+def q_quantile_bounds(spark, sf_dir):
+    return round_doubles(qual.quantile_bounds(complete_lineitem_panel(spark, sf_dir), KEYS, "PM25"))
+
+
+def q_trim_one(spark, sf_dir):
+    return round_doubles(qual.trim_one(complete_lineitem_panel(spark, sf_dir), KEYS, "PM25"))
+
+
+def q_trim_sequential(spark, sf_dir):
+    return round_doubles(qual.trim_sequential(complete_lineitem_panel(spark, sf_dir), KEYS, VARS))
+
+
+def q_category(spark, sf_dir):
+    p = complete_lineitem_panel(spark, sf_dir)
+    return round_doubles(p.select(*KEYS, "date", "PM25", category("PM25").alias("CAT")))
+
+
+def q_critical_flag(spark, sf_dir):
+    p = complete_lineitem_panel(spark, sf_dir)
+    return p.select(*KEYS, "date", critical_flag(category("PM25")).alias("critical_now"))
+
+
+def q_future_category(spark, sf_dir):
+    p = qual.trim_sequential(complete_lineitem_panel(spark, sf_dir), KEYS, VARS)
+    p = p.select(*KEYS, "date", category("PM25").alias("CAT"))
+    return add_future_categories(p, KEYS, drop_missing=False)
+
+
+def q_zscore_fit(spark, sf_dir):
+    return round_doubles(qual.zscore_fit(clean_lineitem_panel(spark, sf_dir), KEYS, VARS))
+
+
+def q_zscore_apply(spark, sf_dir):
+    return round_doubles(qual.zscore_apply(clean_lineitem_panel(spark, sf_dir), KEYS, VARS))
+
+
+def q_coverage(spark, sf_dir):
+    return round_doubles(qual.coverage(clean_lineitem_panel(spark, sf_dir), KEYS))
+
+
+def q_event_rate(spark, sf_dir):
+    p = add_target(clean_lineitem_panel(spark, sf_dir), KEYS)
+    return round_doubles(qual.event_rate(p, KEYS, "critical_now"))
+
+
+def q_date_span(spark, sf_dir):
+    return qual.date_span(clean_lineitem_panel(spark, sf_dir), KEYS)
+
+
+def _orders_dates(spark, sf_dir):
+    return read_table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("date"))
+
+
+def _calendar(spark, sf_dir, names):
+    return round_doubles(_orders_dates(spark, sf_dir).select("o_orderkey", *calendar_columns("date", names)))
+
+
+def q_calendar_features(spark, sf_dir):
+    return _calendar(spark, sf_dir, {"year", "month", "dayofyear", "dayofweek", "is_weekend"})
+
+
+def q_season_flags(spark, sf_dir):
+    return _calendar(spark, sf_dir, {"winter", "autumn", "spring", "summer"})
+
+
+def q_cyclic_features(spark, sf_dir):
+    return _calendar(spark, sf_dir, {"doy_sin", "doy_cos"})
+
+
+def _targeted(spark, sf_dir):
+    return add_target(clean_lineitem_panel(spark, sf_dir), KEYS)
+
+
+def q_lags(spark, sf_dir):
+    return round_doubles(_targeted(spark, sf_dir).select(*KEYS, "date", *lag_columns(KEYS)))
+
+
+def _rolling(stat):
+    def q(spark, sf_dir):
+        return round_doubles(_targeted(spark, sf_dir).select(*KEYS, "date", *rolling_columns(KEYS, stats=(stat,))))
+    return q
+
+
+def q_diffs(spark, sf_dir):
+    return round_doubles(_targeted(spark, sf_dir).select(*KEYS, "date", *diff_columns(KEYS)))
+
+
+def q_prev_category(spark, sf_dir):
+    return _targeted(spark, sf_dir).select(*KEYS, "date", *previous_category_columns(KEYS))
+
+
+def q_target_rows(spark, sf_dir):
+    return _targeted(spark, sf_dir).select(*KEYS, "date", "critical_now", "critical_t_plus_2")
+
+
+def q_target_days(spark, sf_dir):
+    p = add_target(clean_lineitem_panel(spark, sf_dir), KEYS, mode="days")
+    return p.select(*KEYS, "date", "critical_now", "critical_t_plus_2")
+
+
+def feature_table(spark, sf_dir):
+    """Model-ready table: features of the clean panel, rows with a target only."""
+    return add_features(_targeted(spark, sf_dir), KEYS).where(F.col("critical_t_plus_2").isNotNull())
+
+
+def q_feature_table(spark, sf_dir):
+    return round_doubles(feature_table(spark, sf_dir))
+
+
+QUERIES.update({
+    "quantile_bounds": q_quantile_bounds,
+    "trim_one": q_trim_one,
+    "trim_sequential": q_trim_sequential,
+    "category": q_category,
+    "critical_flag": q_critical_flag,
+    "future_category": q_future_category,
+    "zscore_fit": q_zscore_fit,
+    "zscore_apply": q_zscore_apply,
+    "coverage": q_coverage,
+    "event_rate": q_event_rate,
+    "date_span": q_date_span,
+    "calendar_features": q_calendar_features,
+    "season_flags": q_season_flags,
+    "cyclic_features": q_cyclic_features,
+    "lags": q_lags,
+    "rolling_mean": _rolling("mean"),
+    "rolling_max": _rolling("max"),
+    "rolling_min": _rolling("min"),
+    "rolling_std": _rolling("std"),
+    "diffs": q_diffs,
+    "prev_category": q_prev_category,
+    "target_rows": q_target_rows,
+    "target_days": q_target_days,
+    "feature_table": q_feature_table,
+})
