@@ -194,3 +194,67 @@ SQL.update({
     "feature_table": with_(TARGETED, f"SELECT * FROM (SELECT {', '.join(_FEATS)} FROM tgt) "
                                      f"WHERE critical_t_plus_2 IS NOT NULL"),
 })
+
+# ---- label-by-date grids ---------------------------------------------------------
+from vigil.operators.grid import LABELS  # noqa: E402
+from vigil.sources import grid as sg  # noqa: E402
+
+_GV = ["TOTAL_DEMANDA", "NEUMONIA", "INFLUENZA", "IRA_ALTA", "CRISIS_OBSTRUCTIVA_BRONQUIAL", "CIRUGIAS_URGENCIA"]
+_PR = ", ".join(f"count(CASE WHEN o_orderpriority = '{p}' THEN 1 END) AS p{i + 1}" for i, p in enumerate(sg.PRIORITIES))
+_ROWS = "(VALUES " + ", ".join(f"({r})" for r, _ in sg.ORDER_GRID_LABELS) + ") r(row_idx)"
+_BODY_CASE = "CASE r.row_idx " + " ".join(
+    f"WHEN {r} THEN {sg.header_cell(sg.SERIAL_D_DUCK) if e is None else e}" for r, e in sg.ORDER_GRID_VALUES) + " END"
+_HEAD_CASE = "CASE r.row_idx " + " ".join(f"WHEN {r} THEN {e}" for r, e in sg.ORDER_GRID_LABELS) + " END"
+_DICT = "(VALUES " + ", ".join(f"('{k}', '{v}', {i})" for i, (k, v) in enumerate(LABELS)) + ") t(label_key, var_name, var_pos)"
+NT = o.normalize_text
+
+GRID = [
+    f"gdaily AS (SELECT CAST(o_orderdate AS DATE) AS d, count(*) AS n, {_PR} FROM orders GROUP BY 1)",
+    "placed AS (SELECT d, n, p1, p2, p3, p4, p5, year(d) AS y, dayofyear(d) AS col_idx FROM gdaily UNION ALL "
+    "SELECT d, n, p1, p2, p3, p4, p5, year(d) - 1 AS y, dayofyear(d) + 366 AS col_idx FROM gdaily "
+    f"WHERE dayofyear(d) <= {sg.OVERFLOW_DAYS})",
+    f"body AS (SELECT 'ER_' || CAST(y AS STRING) || '.xlsx' AS source_file, r.row_idx, col_idx, {_BODY_CASE} AS cell "
+    f"FROM placed, {_ROWS})",
+    f"head AS (SELECT 'ER_' || CAST(y AS STRING) || '.xlsx' AS source_file, r.row_idx, 0 AS col_idx, {_HEAD_CASE} AS cell "
+    f"FROM (SELECT DISTINCT year(d) AS y FROM gdaily), {_ROWS})",
+    "cells AS (SELECT * FROM head UNION ALL SELECT * FROM body)",
+    f"ne AS (SELECT * FROM cells WHERE {NT('cell')} <> '')",
+    f"anchor AS (SELECT source_file, min(row_idx) AS anchor_row FROM cells WHERE col_idx = 0 AND "
+    f"{o.normalize_key('cell')} = 'TOTAL DEMANDA' GROUP BY 1)",
+    "hdr AS (SELECT a.source_file, a.anchor_row, (SELECT max(ne.row_idx) FROM ne WHERE ne.source_file = a.source_file "
+    "AND ne.row_idx < a.anchor_row) AS header_row FROM anchor a)",
+    f"dates AS (SELECT c.source_file, c.col_idx, {o.excel_date(NT('c.cell'))} AS FECHA FROM cells c JOIN hdr h "
+    "ON c.source_file = h.source_file AND c.row_idx = h.header_row WHERE c.col_idx >= 1)",
+    f"dict AS (SELECT * FROM {_DICT})",
+    f"labs AS (SELECT c.source_file, c.row_idx, {NT('c.cell')} AS label, {o.normalize_key('c.cell')} AS label_key "
+    f"FROM cells c JOIN hdr h ON c.source_file = h.source_file WHERE c.col_idx = 0 AND c.row_idx >= h.header_row "
+    f"AND {NT('c.cell')} <> '')",
+    "grows AS (SELECT l.*, d.var_name, d.var_pos FROM labs l JOIN dict d ON l.label_key = d.label_key)",
+    f"vals AS (SELECT b.source_file, b.row_idx, b.col_idx, dt.FECHA, r.var_name, {o.to_number('b.cell', dash=True)} "
+    "AS value FROM cells b JOIN grows r ON b.source_file = r.source_file AND b.row_idx = r.row_idx JOIN dates dt "
+    "ON b.source_file = dt.source_file AND b.col_idx = dt.col_idx WHERE b.col_idx >= 1 AND dt.FECHA IS NOT NULL)",
+    "kept AS (SELECT * FROM vals WHERE NOT (FECHA BETWEEN DATE '2020-03-18' AND DATE '2021-09-30'))",
+    "ranked AS (SELECT *, row_number() OVER (PARTITION BY source_file, FECHA, var_name ORDER BY row_idx, col_idx) "
+    "AS rn FROM kept)",
+    "wide AS (SELECT source_file, FECHA, " + ", ".join(
+        f"max(CASE WHEN var_name = '{v}' AND rn = 1 THEN value END) AS {v}" for v in _GV)
+    + f", {o.year_from_name('source_file')} AS source_year FROM ranked GROUP BY source_file, FECHA)",
+]
+_WIDE_OUT = f"FECHA, {', '.join(o.r6(v, v) for v in _GV)}, source_file, source_year"
+
+SQL.update({
+    "grid_cells": with_(GRID, "SELECT c.* FROM cells c WHERE EXISTS (SELECT 1 FROM ne WHERE ne.source_file = "
+                              "c.source_file AND ne.row_idx = c.row_idx) AND EXISTS (SELECT 1 FROM ne WHERE "
+                              "ne.source_file = c.source_file AND ne.col_idx = c.col_idx)"),
+    "grid_anchor": with_(GRID, "SELECT source_file, anchor_row, header_row FROM hdr"),
+    "grid_header_join": with_(GRID, "SELECT b.source_file, b.row_idx, b.col_idx, dt.FECHA, b.cell FROM cells b "
+                                    "JOIN hdr h ON b.source_file = h.source_file JOIN dates dt ON "
+                                    "b.source_file = dt.source_file AND b.col_idx = dt.col_idx "
+                                    "WHERE b.col_idx >= 1 AND b.row_idx > h.header_row"),
+    "grid_dictionary": with_(GRID, "SELECT source_file, row_idx, label, label_key, var_name FROM grows"),
+    "exclude_range": with_(GRID, f"SELECT source_file, row_idx, col_idx, FECHA, var_name, {o.r6('value', 'value')} "
+                                 "FROM vals WHERE NOT (FECHA BETWEEN DATE '1995-03-18' AND DATE '1996-09-30')"),
+    "grid_pivot": with_(GRID, f"SELECT {_WIDE_OUT} FROM wide"),
+    "grid_consolidated": with_(GRID, f"SELECT {_WIDE_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY FECHA "
+                                     "ORDER BY source_file) AS k FROM wide) WHERE k = 1"),
+})

@@ -323,3 +323,72 @@ QUERIES.update({
     "target_days": q_target_days,
     "feature_table": q_feature_table,
 })
+
+
+# ---- label-by-date grids ---------------------------------------------------------
+from vigil.operators import grid as g  # noqa: E402
+from vigil.sources.grid import orders_grid_cells  # noqa: E402
+
+GRID_VARIABLES = ["TOTAL_DEMANDA", "NEUMONIA", "INFLUENZA", "IRA_ALTA", "CRISIS_OBSTRUCTIVA_BRONQUIAL",
+                  "CIRUGIAS_URGENCIA"]
+# a window inside the orders' years, to exercise the exclusion on this data
+FIXTURE_EXCLUDE = ("1995-03-18", "1996-09-30")
+
+
+def _grid(spark, sf_dir):
+    cells = orders_grid_cells(spark, sf_dir)
+    anc = g.anchors(cells)
+    return cells, anc
+
+
+def q_grid_cells(spark, sf_dir):
+    return g.drop_empty(orders_grid_cells(spark, sf_dir))
+
+
+def q_grid_anchor(spark, sf_dir):
+    return _grid(spark, sf_dir)[1]
+
+
+def q_grid_header_join(spark, sf_dir):
+    cells, anc = _grid(spark, sf_dir)
+    body = (cells.where(F.col("col_idx") >= 1).join(anc.select("source_file", "header_row"), "source_file")
+            .where(F.col("row_idx") > F.col("header_row")))
+    return body.join(g.header_dates(cells, anc), ["source_file", "col_idx"]).select(
+        "source_file", "row_idx", "col_idx", "FECHA", "cell")
+
+
+def q_grid_dictionary(spark, sf_dir):
+    cells, anc = _grid(spark, sf_dir)
+    return g.labeled_rows(cells, anc, g.label_dictionary(spark)).select(
+        "source_file", "row_idx", "label", "label_key", "var_name")
+
+
+def _grid_values(spark, sf_dir):
+    cells, anc = _grid(spark, sf_dir)
+    rows = g.labeled_rows(cells, anc, g.label_dictionary(spark))
+    return g.grid_values(cells, anc, rows, g.header_dates(cells, anc))
+
+
+def q_exclude_range(spark, sf_dir):
+    vals = g.exclude_range(_grid_values(spark, sf_dir), "FECHA", *FIXTURE_EXCLUDE)
+    return round_doubles(vals.drop("var_pos"))
+
+
+def q_grid_pivot(spark, sf_dir):
+    vals = g.exclude_range(_grid_values(spark, sf_dir))
+    return round_doubles(g.pivot_values(vals, GRID_VARIABLES))
+
+
+def q_grid_consolidated(spark, sf_dir):
+    return round_doubles(g.er_consolidated(spark, orders_grid_cells(spark, sf_dir), GRID_VARIABLES))
+
+
+QUERIES.update({
+    "grid_cells": q_grid_cells,
+    "grid_anchor": q_grid_anchor,
+    "grid_header_join": q_grid_header_join,
+    "grid_dictionary": q_grid_dictionary,
+    "exclude_range": q_exclude_range,
+    "grid_pivot": q_grid_pivot,
+    "grid_consolidated": q_grid_consolidated,
+})
