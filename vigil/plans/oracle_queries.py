@@ -258,3 +258,89 @@ SQL.update({
     "grid_consolidated": with_(GRID, f"SELECT {_WIDE_OUT} FROM (SELECT *, row_number() OVER (PARTITION BY FECHA "
                                      "ORDER BY source_file) AS k FROM wide) WHERE k = 1"),
 })
+
+# ---- evaluation, CV folds, de-duplication ------------------------------------------
+from vigil.operators.evaluate import threshold_grid  # noqa: E402
+
+_G = threshold_grid()
+_STEP = (_G[-1] - _G[0]) / (len(_G) - 1)
+EV = [
+    "ev AS (SELECT l_linestatus AS model, l_linenumber AS fold, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS y, "
+    "l_discount * 5 + l_tax * 5 AS p FROM lineitem)",
+    f"grid AS (SELECT range AS i, CASE WHEN range = {len(_G) - 1} THEN CAST('{_G[-1]!r}' AS DOUBLE) ELSE "
+    f"range * CAST('{_STEP!r}' AS DOUBLE) + CAST('{_G[0]!r}' AS DOUBLE) END AS threshold FROM range({len(_G)}))",
+    "cnt AS (SELECT model, fold, threshold, CAST(sum(CASE WHEN y = 1 AND p >= threshold THEN 1 ELSE 0 END) AS DOUBLE) AS tp, "
+    "CAST(sum(CASE WHEN y = 0 AND p >= threshold THEN 1 ELSE 0 END) AS DOUBLE) AS fp, "
+    "CAST(sum(CASE WHEN y = 0 AND p < threshold THEN 1 ELSE 0 END) AS DOUBLE) AS tn, "
+    "CAST(sum(CASE WHEN y = 1 AND p < threshold THEN 1 ELSE 0 END) AS DOUBLE) AS fn FROM ev, grid GROUP BY 1, 2, 3)",
+    "m1 AS (SELECT *, CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, "
+    "CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, "
+    "CASE WHEN tn + fp <> 0 THEN tn / (tn + fp) ELSE 0.0 END AS tnr FROM cnt)",
+    "curve AS (SELECT model, fold, threshold, precision, recall, "
+    "CASE WHEN precision + recall > 0 THEN 2.0 * precision * recall / (precision + recall) ELSE 0.0 END AS f1, "
+    "CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (recall + tnr) / 2.0 WHEN tp + fn > 0 THEN recall "
+    "WHEN tn + fp > 0 THEN tnr END AS balanced_acc FROM m1)",
+    "feas AS (SELECT *, max(CASE WHEN recall >= 0.8 THEN 1 ELSE 0 END) OVER (PARTITION BY model, fold) AS anyf FROM curve)",
+    "pick AS (SELECT * EXCLUDE (anyf, r) FROM (SELECT *, row_number() OVER (PARTITION BY model, fold ORDER BY "
+    "CASE WHEN anyf = 1 THEN precision ELSE f1 END DESC, CASE WHEN anyf = 1 THEN f1 ELSE balanced_acc END DESC, "
+    "CASE WHEN anyf = 1 THEN balanced_acc ELSE recall END DESC, threshold) AS r FROM feas "
+    "WHERE anyf = 0 OR recall >= 0.8) WHERE r = 1)",
+    "ds AS (SELECT model, fold, p, sum(y) AS pos, count(*) - sum(y) AS neg FROM ev GROUP BY 1, 2, 3)",
+    "auc AS (SELECT model, fold, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(CAST(pos AS DOUBLE) * "
+    "(CAST(coalesce(nb, 0) AS DOUBLE) + 0.5 * neg)) / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)) END AS roc_auc "
+    "FROM (SELECT *, sum(neg) OVER (PARTITION BY model, fold ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND "
+    "1 PRECEDING) AS nb FROM ds) GROUP BY 1, 2)",
+    "ap AS (SELECT model, fold, CASE WHEN max(tot_pos) > 0 AND max(tot_neg) > 0 THEN sum(CASE WHEN pos > 0 THEN "
+    "(CAST(pos AS DOUBLE) / CAST(tot_pos AS DOUBLE)) * (CAST(tps AS DOUBLE) / CAST(tps + fps AS DOUBLE)) ELSE 0.0 END) END "
+    "AS pr_auc FROM (SELECT *, sum(pos) OVER w AS tps, sum(neg) OVER w AS fps, sum(pos) OVER (PARTITION BY model, fold) "
+    "AS tot_pos, sum(neg) OVER (PARTITION BY model, fold) AS tot_neg FROM ds WINDOW w AS (PARTITION BY model, fold "
+    "ORDER BY p DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) GROUP BY 1, 2)",
+    "br AS (SELECT model, fold, avg((p - y) * (p - y)) AS brier, count(*) AS n_test, avg(y) AS event_rate_test "
+    "FROM ev GROUP BY 1, 2)",
+    "pc AS (SELECT e.model, e.fold, CAST(sum(CASE WHEN y = 1 AND p >= k.threshold THEN 1 ELSE 0 END) AS DOUBLE) AS tp, "
+    "CAST(sum(CASE WHEN y = 0 AND p >= k.threshold THEN 1 ELSE 0 END) AS DOUBLE) AS fp, "
+    "CAST(sum(CASE WHEN y = 0 AND p < k.threshold THEN 1 ELSE 0 END) AS DOUBLE) AS tn, "
+    "CAST(sum(CASE WHEN y = 1 AND p < k.threshold THEN 1 ELSE 0 END) AS DOUBLE) AS fn, k.threshold "
+    "FROM ev e JOIN pick k ON e.model = k.model AND e.fold = k.fold GROUP BY 1, 2, k.threshold)",
+    "pm AS (SELECT *, CASE WHEN tp + fp <> 0 THEN tp / (tp + fp) ELSE 0.0 END AS precision, "
+    "CASE WHEN tp + fn <> 0 THEN tp / (tp + fn) ELSE 0.0 END AS recall, "
+    "CASE WHEN tn + fp <> 0 THEN tn / (tn + fp) ELSE 0.0 END AS tnr FROM pc)",
+    "fm AS (SELECT b.model, b.fold, b.n_test, b.event_rate_test, a.roc_auc, q.pr_auc, b.brier, pm.precision, pm.recall, "
+    "CASE WHEN pm.precision + pm.recall > 0 THEN 2.0 * pm.precision * pm.recall / (pm.precision + pm.recall) ELSE 0.0 END AS f1, "
+    "CASE WHEN tp + fn > 0 AND tn + fp > 0 THEN (pm.recall + tnr) / 2.0 WHEN tp + fn > 0 THEN pm.recall "
+    "WHEN tn + fp > 0 THEN tnr END AS balanced_acc, pm.threshold FROM br b JOIN auc a USING (model, fold) "
+    "JOIN ap q USING (model, fold) JOIN pm USING (model, fold))",
+    "summ AS (SELECT model, " + ", ".join(
+        f"avg({m}) AS {m}_mean, stddev_samp({m}) AS {m}_std" for m in
+        ("roc_auc", "pr_auc", "brier", "precision", "recall", "f1", "balanced_acc", "threshold"))
+    + ", avg(event_rate_test) AS event_rate_test_mean FROM fm GROUP BY model)",
+]
+_SUMM_COLS = [f"{m}_{s}" for m in ("roc_auc", "pr_auc", "brier", "precision", "recall", "f1", "balanced_acc",
+                                   "threshold") for s in ("mean", "std")] + ["event_rate_test_mean"]
+_CURVE = ["threshold", "precision", "recall", "f1", "balanced_acc"]
+_FM = ["event_rate_test", "roc_auc", "pr_auc", "brier", "precision", "recall", "f1", "balanced_acc", "threshold"]
+
+SQL.update({
+    "threshold_curve": with_(EV, rounded_select("curve", ["model", "fold"], _CURVE)),
+    "threshold_pick": with_(EV, rounded_select("pick", ["model", "fold"], _CURVE)),
+    "roc_auc": with_(EV, rounded_select("auc", ["model", "fold"], ["roc_auc"])),
+    "average_precision": with_(EV, rounded_select("ap", ["model", "fold"], ["pr_auc"])),
+    "brier": with_(EV, rounded_select("br", ["model", "fold"], ["brier"])),
+    "confusion_metrics": with_(EV, rounded_select("fm", ["model", "fold", "n_test"], _FM)),
+    "cv_summary": with_(EV, rounded_select("summ", ["model"], _SUMM_COLS)),
+    "best_model": with_(EV, rounded_select(
+        "(SELECT * FROM summ ORDER BY recall_mean DESC NULLS LAST, pr_auc_mean DESC NULLS LAST, "
+        "precision_mean DESC NULLS LAST, model LIMIT 1)", ["model"], _SUMM_COLS)),
+    "cv_folds": with_(TARGETED + ["ft AS (SELECT series_id, date FROM tgt WHERE critical_t_plus_2 IS NOT NULL)"],
+                      "SELECT series_id, date, pos, n, CASE WHEN sz > 0 AND pos >= n - 5 * sz THEN "
+                      "CAST((pos - (n - 5 * sz)) // sz + 1 AS INTEGER) END AS test_fold FROM (SELECT *, n // 6 AS sz "
+                      "FROM (SELECT series_id, date, row_number() OVER (PARTITION BY series_id ORDER BY date) - 1 AS pos, "
+                      "count(*) OVER (PARTITION BY series_id) AS n FROM ft))"),
+    "dedup_first": "SELECT series_id, date, event_id, event_type, " + o.r6("value", "value") + " FROM (SELECT "
+                   "user_id AS series_id, CAST(ts AS DATE) AS date, event_id, event_type, value, row_number() OVER "
+                   "(PARTITION BY user_id, CAST(ts AS DATE) ORDER BY event_id) AS r FROM events) WHERE r = 1",
+    "dedup_by_source": "SELECT date, source_file, o_orderkey, " + o.r6("o_totalprice", "o_totalprice") + " FROM ("
+                       "SELECT CAST(o_orderdate AS DATE) AS date, o_orderpriority AS source_file, o_orderkey, o_totalprice, "
+                       "row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderpriority, o_orderkey) AS r "
+                       "FROM orders) WHERE r = 1",
+})

@@ -392,3 +392,88 @@ QUERIES.update({
     "grid_pivot": q_grid_pivot,
     "grid_consolidated": q_grid_consolidated,
 })
+
+
+# ---- evaluation, CV folds, de-duplication, preparation -----------------------------
+from vigil.operators import evaluate as ev  # noqa: E402
+from vigil.operators.dedup import first_per_key  # noqa: E402
+
+# (model, fold, label, score) rows from lineitem: two "models" (line status),
+# seven "folds" (line number), label = returned, score from discount and tax.
+EVAL_COLUMNS = {
+    "model": "l_linestatus",
+    "fold": "l_linenumber",
+    "y": "CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END",
+    "p": "l_discount * 5 + l_tax * 5",
+}
+EK = ["model", "fold"]
+
+
+def scored_rows(spark, sf_dir):
+    return read_table(spark, sf_dir, "lineitem").select(*[F.expr(e).alias(n) for n, e in EVAL_COLUMNS.items()])
+
+
+def q_threshold_curve(spark, sf_dir):
+    return round_doubles(ev.threshold_curve(scored_rows(spark, sf_dir), EK, "y", "p"))
+
+
+def q_threshold_pick(spark, sf_dir):
+    return round_doubles(ev.pick_threshold(ev.threshold_curve(scored_rows(spark, sf_dir), EK, "y", "p"), EK))
+
+
+def q_roc_auc(spark, sf_dir):
+    return round_doubles(ev.roc_auc(scored_rows(spark, sf_dir), EK, "y", "p"))
+
+
+def q_average_precision(spark, sf_dir):
+    return round_doubles(ev.average_precision(scored_rows(spark, sf_dir), EK, "y", "p"))
+
+
+def q_brier(spark, sf_dir):
+    return round_doubles(ev.brier(scored_rows(spark, sf_dir), EK, "y", "p"))
+
+
+def q_confusion_metrics(spark, sf_dir):
+    return round_doubles(ev.fold_metrics(scored_rows(spark, sf_dir), EK, "y", "p"))
+
+
+def q_cv_summary(spark, sf_dir):
+    return round_doubles(ev.cv_summary(ev.fold_metrics(scored_rows(spark, sf_dir), EK, "y", "p")))
+
+
+def q_best_model(spark, sf_dir):
+    return round_doubles(ev.best_model(ev.cv_summary(ev.fold_metrics(scored_rows(spark, sf_dir), EK, "y", "p"))))
+
+
+def q_cv_folds(spark, sf_dir):
+    from vigil.operators.cv import assign_folds
+    return assign_folds(feature_table(spark, sf_dir).select(*KEYS, "date"), KEYS)
+
+
+def q_dedup_first(spark, sf_dir):
+    e = read_table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("series_id"), F.col("ts").cast("date").alias("date"), "event_id", "event_type",
+        "value")
+    return round_doubles(first_per_key(e, ["series_id", "date"], ["event_id"]))
+
+
+def q_dedup_by_source(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select(
+        F.col("o_orderdate").cast("date").alias("date"), F.col("o_orderpriority").alias("source_file"),
+        "o_orderkey", "o_totalprice")
+    return round_doubles(first_per_key(o, ["date"], ["source_file", "o_orderkey"]))
+
+
+QUERIES.update({
+    "threshold_curve": q_threshold_curve,
+    "threshold_pick": q_threshold_pick,
+    "roc_auc": q_roc_auc,
+    "average_precision": q_average_precision,
+    "brier": q_brier,
+    "confusion_metrics": q_confusion_metrics,
+    "cv_summary": q_cv_summary,
+    "best_model": q_best_model,
+    "cv_folds": q_cv_folds,
+    "dedup_first": q_dedup_first,
+    "dedup_by_source": q_dedup_by_source,
+})
