@@ -344,3 +344,23 @@ SQL.update({
                        "row_number() OVER (PARTITION BY CAST(o_orderdate AS DATE) ORDER BY o_orderpriority, o_orderkey) AS r "
                        "FROM orders) WHERE r = 1",
 })
+
+# ---- preparation, scoring input ------------------------------------------------------
+from vigil.plans.registry import MEDIAN_INPUT, MODE_INPUT, SNAPSHOT_COLUMNS  # noqa: E402
+
+_SNAP = ", ".join(f"{e} AS {n}" for n, e in SNAPSHOT_COLUMNS.items())
+_SNAP_NUM = ", ".join(o.r6(o.to_number(n, comma=False), n) for n in SNAPSHOT_COLUMNS)
+_VALID = " AND ".join(f"{o.to_number(n, comma=False)} IS NOT NULL" for n in SNAPSHOT_COLUMNS)
+_PRIOS = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+
+SQL.update({
+    "validate_snapshot": f"SELECT event_id, {_SNAP_NUM}, CASE WHEN {_VALID} THEN 1 ELSE 0 END AS valid FROM "
+                         f"(SELECT event_id, {_SNAP} FROM events)",
+    "median_impute": f"WITH t AS (SELECT l_orderkey, l_linenumber, {MEDIAN_INPUT} AS v FROM lineitem) "
+                     f"SELECT l_orderkey, l_linenumber, {o.r6('coalesce(v, (SELECT quantile_cont(v, 0.5) FROM t))', 'v_imputed')} FROM t",
+    "mode_impute": f"WITH t AS (SELECT o_orderkey, {MODE_INPUT} AS v FROM orders) SELECT o_orderkey, "
+                   "coalesce(v, (SELECT v FROM t WHERE v IS NOT NULL GROUP BY v ORDER BY count(*) DESC, v LIMIT 1)) "
+                   "AS v_imputed FROM t",
+    "one_hot": "SELECT o_orderkey, " + ", ".join(
+        f"CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END AS oh_{i}" for i, p in enumerate(_PRIOS)) + " FROM orders",
+})

@@ -477,3 +477,54 @@ QUERIES.update({
     "dedup_first": q_dedup_first,
     "dedup_by_source": q_dedup_by_source,
 })
+
+
+# ---- preparation, models, scoring, stream ---------------------------------------------
+from vigil.operators.cumulative import quantiles_exact  # noqa: E402
+from vigil.operators.prep import modes, one_hot  # noqa: E402
+
+SNAPSHOT_COLUMNS = {
+    "PM25": f"CASE WHEN event_id % 17 = 0 THEN 'n/a' ELSE {fx.dot_decimal('value')} END",
+    "temp": f"CASE WHEN event_id % 23 = 0 THEN '' ELSE {fx.dot_decimal('value / 20')} END",
+    "hum": "CAST(user_id % 100 AS STRING)",
+    "wind": f"CASE WHEN event_id % 29 = 0 THEN NULL ELSE {fx.dot_decimal('value / 100')} END",
+}
+
+
+def snapshots(df):
+    return df.select("event_id", "event_type", *[F.expr(e).alias(n) for n, e in SNAPSHOT_COLUMNS.items()])
+
+
+def q_validate_snapshot(spark, sf_dir):
+    from vigil.sources.scoring import validate_snapshots
+    return round_doubles(validate_snapshots(snapshots(read_table(spark, sf_dir, "events")), keep=["event_id"]))
+
+
+MEDIAN_INPUT = "CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE l_extendedprice END"
+MODE_INPUT = "CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderpriority END"
+
+
+def q_median_impute(spark, sf_dir):
+    li = read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.expr(MEDIAN_INPUT).alias("v"))
+    med = quantiles_exact(li, [], "v", [0.5], ["median"]).first()["median"]  # one value
+    return round_doubles(li.select("l_orderkey", "l_linenumber",
+                                   F.coalesce("v", F.lit(med).cast("double")).alias("v_imputed")))
+
+
+def q_mode_impute(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr(MODE_INPUT).alias("v"))
+    top = modes(o, ["v"])["v"]  # one value
+    return o.select("o_orderkey", F.coalesce("v", F.lit(top).cast("string")).alias("v_imputed"))
+
+
+def q_one_hot(spark, sf_dir):
+    o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+    return one_hot(o, "o_orderpriority").drop("o_orderpriority")
+
+
+QUERIES.update({
+    "validate_snapshot": q_validate_snapshot,
+    "median_impute": q_median_impute,
+    "mode_impute": q_mode_impute,
+    "one_hot": q_one_hot,
+})
