@@ -528,3 +528,73 @@ QUERIES.update({
     "mode_impute": q_mode_impute,
     "one_hot": q_one_hot,
 })
+
+
+def _model_ready(spark, sf_dir):
+    from vigil.plans.modeling import model_ready
+    from vigil.session import cut_lineage
+    df, feats, target = model_ready(clean_lineitem_panel(spark, sf_dir), KEYS)
+    return cut_lineage(df), feats, target
+
+
+def q_logit_scores(spark, sf_dir):
+    """L4 + L11: logistic model trained on the first four folds' rows, scores on the last test block."""
+    from vigil.operators.cv import assign_folds, fold_split
+    from vigil.plans.modeling import fit_model, scored_rows
+    df, feats, target = _model_ready(spark, sf_dir)
+    train, test = fold_split(assign_folds(df, KEYS), 5)
+    model = fit_model("logit_balanced", train, feats, target, KEYS)
+    return scored_rows(model, test, KEYS, target)
+
+
+def q_logit_importance(spark, sf_dir):
+    """L9 + L10: final logistic fit on all rows, coefficient table."""
+    from vigil.plans.modeling import fit_model
+    df, feats, target = _model_ready(spark, sf_dir)
+    return fit_model("logit_balanced", df, feats, target, KEYS).importance(spark)
+
+
+def q_final_predictions(spark, sf_dir):
+    """Final logistic fit, in-sample threshold, daily predictions."""
+    from vigil.plans.modeling import fit_final
+    df, feats, target = _model_ready(spark, sf_dir)
+    _m, _thr, preds, _imp = fit_final(df, feats, target, KEYS, "logit_balanced")
+    return preds
+
+
+def q_alerts(spark, sf_dir):
+    """The 4-variable operational model (trained on the clean panel)
+    scores every valid event snapshot."""
+    from vigil.plans.score import alert_table, fit_operational
+    model, thr = fit_operational(clean_lineitem_panel(spark, sf_dir), KEYS)
+    return alert_table(model, thr, snapshots(read_table(spark, sf_dir, "events")), keep=["event_id"])
+
+
+def q_alerts_stream(spark, sf_dir):
+    """L12s: the same scoring as a Structured Streaming query over the events
+    parquet (available-now trigger), written to a parquet sink in the shared
+    checkpoint folder and read back."""
+    import os
+    import uuid
+    from vigil.plans.score import fit_operational
+    from vigil.session import ensure_checkpoint_dir
+    from vigil.streaming.alerts import alert_stream
+    from vigil.sources.tables import table_path
+    model, thr = fit_operational(clean_lineitem_panel(spark, sf_dir), KEYS)
+    base = os.path.join(ensure_checkpoint_dir(spark), f"alerts-{uuid.uuid4().hex}")
+    schema = read_table(spark, sf_dir, "events").schema
+    src = table_path(sf_dir, "events")
+    q = alert_stream(spark, os.path.dirname(src), schema, model, thr, base + "/sink", base + "/state",
+                     prepare=snapshots, keep=["event_id"], max_files_per_trigger=1,
+                     source_glob=os.path.basename(src))
+    q.awaitTermination()
+    return spark.read.parquet(base + "/sink")
+
+
+QUERIES.update({
+    "logit_scores": q_logit_scores,
+    "logit_importance": q_logit_importance,
+    "final_predictions": q_final_predictions,
+    "alerts": q_alerts,
+    "alerts_stream": q_alerts_stream,
+})

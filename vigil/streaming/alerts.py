@@ -11,10 +11,12 @@ from vigil.plans.score import alert_table
 
 def alert_stream(spark: SparkSession, source_dir: str, schema, model, threshold: float, sink_dir: str,
                  checkpoint_dir: str, prepare=None, keep=(), fmt: str = "parquet",
-                 max_files_per_trigger: int = 1, available_now: bool = True):
+                 max_files_per_trigger: int = 1, available_now: bool = True, source_glob: str | None = None):
     """Start the stream; ``prepare`` maps the raw stream to snapshot columns."""
-    raw = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-           .format(fmt).load(source_dir))
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).format(fmt)
+    if source_glob:
+        reader = reader.option("pathGlobFilter", source_glob)
+    raw = reader.load(source_dir)
     snaps = prepare(raw) if prepare else raw
     out: DataFrame = alert_table(model, threshold, snaps, keep)
     writer = (out.writeStream.format("parquet").option("path", sink_dir)
