@@ -19,41 +19,47 @@ Q_LOW = 0.01
 Q_HIGH = 0.99
 
 
-def _linear_quantile(n, q: float, order_stat):
-    """Linear-interpolation quantile from order statistics, with the same float
-    steps as numpy's 'linear' method: virtual index ``n*q + (1-q) - 1``, then
-    ``a + (b-a)*g`` (or ``b - (b-a)*(1-g)`` when ``g >= 0.5``) so that equal
-    neighbours give exactly that value."""
+def _virtual_index(n, q: float):
+    """numpy 'linear' method: virtual index n*q + (1-q) - 1, its floor and fraction."""
     vi = n * F.lit(float(q)) + F.lit(1.0 - float(q)) - F.lit(1.0)
     lo = F.floor(vi)
-    g = vi - lo
-    last = n - 1
-    i_lo = F.least(F.greatest(lo, F.lit(0)), last)
-    i_hi = F.least(F.greatest(lo + 1, F.lit(0)), last)
-    a, b = order_stat(i_lo), order_stat(i_hi)
+    return lo, vi - lo
+
+
+def _lerp(a, b, g):
+    """a + (b-a)*g, or b - (b-a)*(1-g) when g >= 0.5 (equal neighbours give exactly a)."""
     return F.when(g >= 0.5, b - (b - a) * (F.lit(1.0) - g)).otherwise(a + (b - a) * g)
 
 
 def with_quantiles(df: DataFrame, keys, column: str, qs, names) -> DataFrame:
     """Add exact per-series quantiles of ``column`` as columns (window, no join).
 
-    One sort by (series, value) numbers the non-null values; the quantiles are
-    picked from their order statistics over the whole series group. A group is
-    one series of daily rows, bounded by its number of days.
+    One sort by (series, value): a first Window node numbers the non-null
+    values and counts them, a second one (same specification, so no new sort)
+    picks the order statistics around each virtual index. A group is one
+    series of daily rows, bounded by its number of days.
     """
     keys = as_list(keys)
     by_value = Window.partitionBy(*keys).orderBy(F.col(column).asc_nulls_last())
-    whole = Window.partitionBy(*keys)
-    staged = df.withColumn("_rn", F.row_number().over(by_value) - 1).withColumn(
-        "_n", F.count(column).over(whole))
-    n = F.col("_n")
-
-    def order_stat(i):
-        return F.max(F.when(F.col("_rn") == i, F.col(column))).over(whole)
-
-    for q, name in zip(qs, names):
-        staged = staged.withColumn(name, F.when(n > 0, _linear_quantile(n, q, order_stat)))
-    return staged.drop("_rn", "_n")
+    whole = by_value.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    rest = [F.col(c) for c in df.columns]
+    staged = df.select(*rest, (F.row_number().over(by_value) - 1).alias("_rn"),
+                       F.count(column).over(whole).alias("_n"))
+    n, last = F.col("_n"), F.col("_n") - 1
+    idx = []
+    for i, q in enumerate(qs):
+        lo, g = _virtual_index(n, q)
+        idx += [F.least(F.greatest(lo, F.lit(0)), last).alias(f"_lo{i}"),
+                F.least(F.greatest(lo + 1, F.lit(0)), last).alias(f"_hi{i}"), g.alias(f"_g{i}")]
+    staged = staged.select("*", *idx)
+
+    def stat(i):
+        return F.max(F.when(F.col("_rn") == F.col(i), F.col(column))).over(whole)
+
+    picked = staged.select("*", *[stat(f"_{e}{i}").alias(f"_{e}v{i}") for i in range(len(qs)) for e in ("lo", "hi")])
+    out = [F.when(n > 0, _lerp(F.col(f"_lov{i}"), F.col(f"_hiv{i}"), F.col(f"_g{i}"))).alias(name)
+           for i, name in enumerate(names)]
+    return picked.select(*rest, *out)
 
 
 def quantile_bounds(df: DataFrame, keys, column: str, lo: float = Q_LOW, hi: float = Q_HIGH) -> DataFrame:

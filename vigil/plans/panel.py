@@ -22,6 +22,15 @@ from vigil.operators.horizon import add_category, add_future_categories
 from vigil.operators.quality import trim_sequential, zscore_apply, zscore_fit
 
 
+def by_series(df: DataFrame, keys, partitions: int | None = None) -> DataFrame:
+    """Hash-partition the daily table by series once. Every later window is
+    keyed by series, so this exchange replaces the one the first window would
+    add; its partition count is fixed (spark.sql.shuffle.partitions) so that
+    the CPU-heavy window stages are not merged into a few large tasks."""
+    n = partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *[F.col(k) for k in as_list(keys)])
+
+
 def daily_panel(obs: DataFrame, keys, date_col: str, variables=BASE_NUMERIC,
                 variable_col: str | None = None, value_col: str | None = None) -> DataFrame:
     """A1 + J3 + J1 + W9 + X16.
@@ -34,7 +43,7 @@ def daily_panel(obs: DataFrame, keys, date_col: str, variables=BASE_NUMERIC,
         values, present = long_values(variable_col, value_col, variables)
     else:
         values, present = {v: F.col(v) for v in variables}, None
-    daily = daily_mean(obs, keys, date_col, values, present)
+    daily = by_series(daily_mean(obs, keys, date_col, values, present), keys)
     cal = complete_calendar(daily, keys, variables)
     aligned = align_variables(cal, keys, variables)
     filled = interpolate_time(aligned, keys, variables)

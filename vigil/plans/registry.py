@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from vigil.operators.daily import (align_variables, complete_calendar, daily_mean,
                                    interpolate_time, long_values)
 from vigil.operators.features import BASE_NUMERIC
-from vigil.plans.panel import clean_panel
+from vigil.plans.panel import by_series, clean_panel
 from vigil.functions.category import category, critical_flag
 from vigil.functions.parse import (normalize_category, normalize_key, normalize_text, parse_date_yymmdd,
                                    parse_excel_date, to_number, to_number_clean, to_number_plain,
@@ -54,18 +54,18 @@ def q_daily_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_daily_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_doubles(complete_calendar(_lineitem_daily(spark, sf_dir), KEYS, VARS))
+    return round_doubles(complete_calendar(by_series(_lineitem_daily(spark, sf_dir), KEYS), KEYS, VARS))
 
 
 def q_interpolate_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cal = complete_calendar(_lineitem_daily(spark, sf_dir), KEYS, VARS)
+    cal = complete_calendar(by_series(_lineitem_daily(spark, sf_dir), KEYS), KEYS, VARS)
     return round_doubles(interpolate_time(cal, KEYS, VARS))
 
 
 def q_panel_inner_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = event_observations(spark, sf_dir)
     values, present = long_values("variable", "value", EVENT_VARIABLES)
-    daily = daily_mean(obs, KEYS, "ts", values, present)
+    daily = by_series(daily_mean(obs, KEYS, "ts", values, present), KEYS)
     cal = complete_calendar(daily, KEYS, EVENT_VARIABLES)
     return round_doubles(align_variables(cal, KEYS, EVENT_VARIABLES))
 
