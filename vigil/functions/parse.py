@@ -27,9 +27,12 @@ DECIMAL_RE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF](
 WS_EDGES_RE = r"^\s+|\s+$"
 
 
+WHITESPACE = " \t\n\r\x0b\x0c"
+
+
 def strip_ws(c) -> Column:
     """Trim all leading/trailing whitespace (not only spaces)."""
-    return F.regexp_replace(col_of(c), WS_EDGES_RE, "")
+    return F.btrim(col_of(c), F.lit(WHITESPACE))
 
 
 def parse_date_yymmdd(c) -> Column:
@@ -75,10 +78,29 @@ def to_number_clean(c) -> Column:
 DEFAULT_DATE_FORMATS = ("yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd")
 
 
+def _format_shape(fmt: str):
+    """(length, character at position 11 or None) of text written in ``fmt``."""
+    text = fmt.replace("'T'", "T").replace("yyyy", "0000")
+    for tok in ("MM", "dd", "HH", "mm", "ss"):
+        text = text.replace(tok, "00")
+    return len(text), (text[10] if len(text) > 10 else None)
+
+
 def to_date_iso(c, formats=DEFAULT_DATE_FORMATS) -> Column:
-    """ISO-like text -> DATE (time of day dropped), bad -> NULL."""
+    """ISO-like text -> DATE (time of day dropped), bad -> NULL.
+
+    Each text is parsed only with the formats its length and separator can
+    fit, so rows do not pay for a failed parse attempt per other format."""
     s = strip_ws(col_of(c).cast("string"))
-    return F.coalesce(*[F.try_to_timestamp(s, F.lit(f)) for f in formats]).cast("date")
+    expr = None
+    for f in formats:
+        n, sep = _format_shape(f)
+        fits = F.length(s) == n
+        if sep is not None:
+            fits = fits & (F.substring(s, 11, 1) == F.lit(sep))
+        parsed = F.try_to_timestamp(s, F.lit(f))
+        expr = F.when(fits, parsed) if expr is None else expr.when(fits, parsed)
+    return expr.cast("date")
 
 
 def parse_excel_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
