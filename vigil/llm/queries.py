@@ -35,9 +35,27 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(spark, path)
 
 
+def op3_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.va_search import exact_top_k
+    return exact_top_k(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+def op7_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.order_minhash import near_duplicates
+    return near_duplicates(read_table(spark, sf_dir, "documents"))
+
+
+def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.prefix_forest import forest_neighbours
+    return forest_neighbours(spark, read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op3_va_file_search": op3_va_file_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op6_piece_codec": op6_piece_codec,
+    "op7_order_minhash": op7_order_minhash,
+    "op8_prefix_forest": op8_prefix_forest,
     "op10_token_files": op10_token_files,
 }
 
