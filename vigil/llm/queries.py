@@ -22,11 +22,23 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), WORD_BPE_END)
 
 
+def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.pii import pseudonymise
+    return pseudonymise(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op6_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.piece_codec import round_trip_digests
     return round_trip_digests(read_table(spark, sf_dir, "documents"), tokenizer_file(PIECES))
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.warc import archived_pages, write_archives
+    path = fresh_path(spark, "archives")
+    write_archives(read_table(spark, sf_dir, "pages"), path)
+    return archived_pages(spark, path)
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.token_files import read_checksums, write_token_files
     path = fresh_path(spark, "token-files")
@@ -53,10 +65,41 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op3_va_file_search": op3_va_file_search,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
     "op6_piece_codec": op6_piece_codec,
     "op7_order_minhash": op7_order_minhash,
     "op8_prefix_forest": op8_prefix_forest,
+    "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
 }
 
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op3_va_file_search"] = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.vec, c.vec), p -> p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+ORACLE_SQL["op9_warc"] = """
+WITH p AS (
+  SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+), t AS (
+  SELECT *, coalesce(payload_bytes >= 100 AND page_id <> first, false) AS again FROM f
+)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN again THEN first END AS refers_to
+FROM t
+"""
