@@ -47,6 +47,11 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_checksums(spark, path)
 
 
+def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.cotraining import classify
+    return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.va_search import exact_top_k
     return exact_top_k(spark, read_table(spark, sf_dir, "embeddings"))
@@ -63,6 +68,7 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_cotraining": op1_cotraining,
     "op3_va_file_search": op3_va_file_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
