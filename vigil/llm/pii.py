@@ -46,6 +46,11 @@ ANY = "|".join(KINDS.values())
 FIRST_DAY, DAYS = "1900-01-01", 17 * 4297   # every day of 1900-2099
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where it stands inside a lambda."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _number(parts: list[Column], hex_digits: int = 12) -> Column:
     digest = F.sha2(F.concat_ws("|", *parts).cast("binary"), 256)
     return F.conv(F.substring(digest, 1, hex_digits), 16, 10).cast("long")
@@ -88,19 +93,19 @@ def permute_text(s: Column, kind: str, key: str = KEY, rounds: int = ROUNDS, und
     sign = -1 if undo else 1
 
     def step(own: Column, other: Column, r: Column) -> Column:
-        # without a lambda variable of its own, so that it is hashed once per half
         digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), F.length(own).cast("string"),
                                     F.lower(other)).cast("binary"), 512)
 
-        def turn(c: Column, i: Column) -> Column:
-            move = sign * F.conv(F.substr(digest, i % 62 * 2 + 1, F.lit(4)), 16, 10).cast("int")
+        def turn(c: Column, i: Column, d: Column) -> Column:
+            move = sign * F.conv(F.substr(d, i % 32 * 4 + 1, F.lit(4)), 16, 10).cast("int")
             code = F.ascii(c)
+
             def within(first: str, n: int) -> Column:
                 return F.char(F.pmod(code - ord(first) + move, F.lit(n)) + ord(first))
-            return (F.when(c.rlike("^[0-9]$"), within("0", 10)).when(c.rlike("^[a-z]$"), within("a", 26))
-                    .when(c.rlike("^[A-Z]$"), within("A", 26)).otherwise(c))
+            return (F.when(c.between("0", "9"), within("0", 10)).when(c.between("a", "z"), within("a", 26))
+                    .when(c.between("A", "Z"), within("A", 26)).otherwise(c))
 
-        return F.array_join(F.transform(F.split(own, ""), turn), "")
+        return let(digest, lambda d: F.array_join(F.transform(F.split(own, ""), lambda c, i: turn(c, i, d)), ""))
 
     half = F.floor(F.length(s) / 2).cast("int")
     left, right = _feistel(F.substr(s, F.lit(1), half), F.substr(s, half + 1), step, rounds, undo)
@@ -162,11 +167,8 @@ def _iban(m: Column, key: str, undo: bool) -> Column:
 def _ipv4(m: Column, key: str, undo: bool) -> Column:
     octet = F.split(m, r"\.")
     x = F.aggregate(octet, F.lit(0).cast("long"), lambda a, o: a * 256 + o.cast("long"))
-    y = permute_number(x, 65536, 65536, "ipv4", key, undo=undo)
-    # one number into four octets, through one expression so that it is permuted once
-    return F.array_join(F.transform(F.reverse(F.sequence(F.lit(0), F.lit(3))),
-                                    lambda i: F.pmod(F.shiftright(y, 0) / F.pow(F.lit(256), i), F.lit(256))
-                                    .cast("int").cast("string")), ".")
+    return let(permute_number(x, 65536, 65536, "ipv4", key, undo=undo), lambda y: F.concat_ws(
+        ".", *[F.shiftright(y, by).bitwiseAND(F.lit(255)).cast("string") for by in (24, 16, 8, 0)]))
 
 
 def _date(m: Column, key: str, undo: bool) -> Column:
@@ -180,9 +182,9 @@ def _date(m: Column, key: str, undo: bool) -> Column:
     layout = F.when(year_first, "ymd").when(dmy.isNotNull(), "dmy").otherwise("mdy")
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(
         F.datediff(found, F.lit(FIRST_DAY).cast("date")).cast("long"), 17, DAYS // 17, "date", key, undo=undo).cast("int"))
-    iso_new = F.split(F.date_format(new, "yyyy-MM-dd"), "-")
-    text = F.array_join(F.transform(F.split(layout, ""), lambda c: F.element_at(
-        iso_new, F.when(c == "y", 1).when(c == "m", 2).otherwise(3))), "-")
+    text = let(F.split(F.date_format(new, "yyyy-MM-dd"), "-"), lambda p: F.when(
+        layout == "ymd", F.concat_ws("-", p[0], p[1], p[2])).when(
+        layout == "dmy", F.concat_ws("-", p[2], p[1], p[0])).otherwise(F.concat_ws("-", p[1], p[2], p[0])))
     return F.when(found.isNull(), m).otherwise(F.replace(text, F.lit("-"), sep))
 
 

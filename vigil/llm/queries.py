@@ -52,6 +52,11 @@ def op1_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.line_dedup import dedup_lines
+    return dedup_lines(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_va_file_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.va_search import exact_top_k
     return exact_top_k(spark, read_table(spark, sf_dir, "embeddings"))
@@ -69,6 +74,7 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_cotraining": op1_cotraining,
+    "op2_line_dedup": op2_line_dedup,
     "op3_va_file_search": op3_va_file_search,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_feistel_pseudonyms": op5_feistel_pseudonyms,
@@ -109,3 +115,43 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' EL
        CASE WHEN again THEN first END AS refers_to
 FROM t
 """
+
+# The whole similarity join once more, with words ordered by their frequency and the words kept as text.
+ORACLE_SQL["op2_line_dedup"] = """
+WITH split AS (
+  SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL
+), line AS (
+  SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)
+), sets AS (
+  SELECT doc_id, line_no, list_distinct(list_filter(string_split_regex(lower(line), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS words
+  FROM line
+), places AS (
+  SELECT row_number() OVER (ORDER BY doc_id, line_no) AS place, doc_id, line_no, list_sort(words) AS words, len(words) AS n
+  FROM sets WHERE len(words) >= 5
+), firsts AS (
+  SELECT min(place) AS place, words, any_value(n) AS n FROM places GROUP BY words
+), word AS (
+  SELECT place, n, unnest(words) AS w FROM firsts
+), ranked AS (
+  SELECT place, n, w, row_number() OVER (PARTITION BY place ORDER BY c, w) AS pos
+  FROM word JOIN (SELECT w, count(*) AS c FROM word GROUP BY w) USING (w)
+), prefix AS (
+  SELECT * FROM ranked WHERE pos <= n - ceil(0.8 * n - 1e-9) + 1
+), pairs AS (
+  SELECT DISTINCT b.place AS place, a.place AS earlier FROM prefix a JOIN prefix b ON a.w = b.w AND a.place < b.place
+  WHERE least(a.n, b.n) >= greatest(a.n, b.n) * 0.8 - 1e-9
+), near AS (
+  SELECT DISTINCT p.place FROM pairs p JOIN firsts a ON a.place = p.earlier JOIN firsts b ON b.place = p.place
+  WHERE len(list_intersect(a.words, b.words)) * 1.8 >= (a.n + b.n) * 0.8 - 1e-9
+), gone AS (
+  SELECT doc_id, list(line_no) AS gone FROM places
+  WHERE place IN (SELECT place FROM near) OR place NOT IN (SELECT place FROM firsts) GROUP BY doc_id
+), kept AS (
+  SELECT l.doc_id, string_agg(l.line, chr(10) ORDER BY l.line_no) AS text FROM line l JOIN gone g ON l.doc_id = g.doc_id
+  WHERE NOT list_contains(g.gone, l.line_no) GROUP BY l.doc_id
+)
+SELECT d.doc_id, CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(k.text, '') END AS text,
+       CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END AS n_lines,
+       coalesce(len(g.gone), 0) AS n_removed
+FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
