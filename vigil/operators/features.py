@@ -1,9 +1,9 @@
 """Feature table (X13-X15, W1-W7, X19): calendar, lags, shifted rolling
 statistics, differences and previous categories.
 
-All lag/rolling/difference expressions share one window specification
-(``partitionBy(keys).orderBy(date)``), so Spark plans them as one Exchange,
-one Sort and one Window node; frames are row based like the source.
+All lag and difference expressions share one window specification
+(``partitionBy(keys).orderBy(date)``), so Spark plans them as one Exchange and
+one Sort; rolling statistics are plain arithmetic on the lagged values.
 """
 
 from __future__ import annotations
@@ -31,19 +31,38 @@ def lag_columns(keys, base=BASE_NUMERIC, lags=LAGS, date_col: str = "date"):
     return [F.lag(c, k).over(w).alias(f"{c}_lag{k}") for k in lags for c in base]
 
 
-def rolling_columns(keys, base=BASE_NUMERIC, windows=ROLL_WINDOWS, stats=ROLL_STATS,
-                    date_col: str = "date"):
-    """Statistic over rows [i-w, i-1]; NULL unless all w values are present."""
+def _shift(c: str, k: int) -> str:
+    return f"_{c}_before{k}"
+
+
+def _total(c: str, w: int) -> str:
+    return f"_{c}_total{w}"
+
+
+def with_shifts(df: DataFrame, keys, base=BASE_NUMERIC, windows=ROLL_WINDOWS, date_col: str = "date") -> DataFrame:
+    """Adds the values of the last max(windows) rows and, per width, their sum (NULL unless all
+    are present): one offset function per value instead of one sliding frame per statistic."""
     w0 = Window.partitionBy(*as_list(keys)).orderBy(date_col)
-    fns = {"mean": F.avg, "max": F.max, "min": F.min, "std": F.stddev_samp}
-    out = []
-    for w in windows:
-        frame = w0.rowsBetween(-w, -1)
-        for stat in stats:
-            for c in base:
-                full = F.count(c).over(frame) == F.lit(w)
-                out.append(F.when(full, fns[stat](c).over(frame)).alias(f"{c}_{stat}{w}"))
-    return out
+    shifted = df.select("*", *[F.lag(c, k).over(w0).alias(_shift(c, k)) for c in base
+                               for k in range(1, max(windows) + 1)])
+    return shifted.select("*", *[sum((F.col(_shift(c, k)) for k in range(2, w + 1)), F.col(_shift(c, 1))).alias(_total(c, w))
+                                 for c in base for w in windows])
+
+
+def rolling_columns(base=BASE_NUMERIC, windows=ROLL_WINDOWS, stats=ROLL_STATS):
+    """Statistic over rows [i-w, i-1], NULL unless all w values are present; on a frame with
+    ``with_shifts`` columns."""
+    def value(stat, c, w):
+        past, mean = [F.col(_shift(c, k)) for k in range(1, w + 1)], F.col(_total(c, w)) / F.lit(float(w))
+        if stat == "mean":
+            return mean
+        if stat == "std":
+            squares = sum(((x - mean) * (x - mean) for x in past[1:]), (past[0] - mean) * (past[0] - mean))
+            return F.sqrt(squares / F.lit(float(w - 1)))
+        extreme = (F.greatest if stat == "max" else F.least)(*past)
+        return F.when(F.col(_total(c, w)).isNotNull(), extreme)
+
+    return [value(stat, c, w).alias(f"{c}_{stat}{w}") for w in windows for stat in stats for c in base]
 
 
 def diff_columns(keys, base=BASE_NUMERIC, diffs=DIFFS, date_col: str = "date"):
@@ -70,12 +89,15 @@ def add_features(df: DataFrame, keys, base=BASE_NUMERIC, lags=LAGS, windows=ROLL
     cols = [F.col(c) for c in df.columns]
     if with_calendar:
         cols += calendar_columns(date_col)
-    cols += lag_columns(keys, base, lags, date_col)
-    cols += rolling_columns(keys, base, windows, ROLL_STATS, date_col)
-    cols += diff_columns(keys, base, DIFFS, date_col)
+    windowed = lag_columns(keys, base, lags, date_col) + diff_columns(keys, base, DIFFS, date_col)
+    lagged = [f"{c}_lag{k}" for k in lags for c in base]
+    diffs = [f"{c}_diff{k}" for k in DIFFS for c in base]
+    previous = []
     if with_categories:
-        cols += previous_category_columns(keys, date_col=date_col)
-    return df.select(*cols)
+        windowed += previous_category_columns(keys, date_col=date_col)
+        previous = [f"{n}_lag{k}" for k in CAT_LAGS for n in ("CAT", "critical")]
+    staged = with_shifts(df.select("*", *windowed), keys, base, windows, date_col)
+    return staged.select(*cols, *lagged, *rolling_columns(base, windows), *diffs, *previous)
 
 
 def feature_columns(df: DataFrame, target: str, keys=(), include_future_categories: bool = False):

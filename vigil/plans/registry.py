@@ -179,7 +179,7 @@ QUERIES = {
 from vigil.functions.calendar import calendar_columns  # noqa: E402
 from vigil.operators import quality as qual  # noqa: E402
 from vigil.operators.features import (add_features, diff_columns, lag_columns,  # noqa: E402
-                                      previous_category_columns, rolling_columns)
+                                      previous_category_columns, rolling_columns, with_shifts)
 from vigil.operators.horizon import add_future_categories, add_target  # noqa: E402
 from vigil.plans.panel import daily_panel  # noqa: E402
 
@@ -267,7 +267,8 @@ def q_lags(spark, sf_dir):
 
 def _rolling(stat):
     def q(spark, sf_dir):
-        return round_doubles(_targeted(spark, sf_dir).select(*KEYS, "date", *rolling_columns(KEYS, stats=(stat,))))
+        return round_doubles(with_shifts(_targeted(spark, sf_dir), KEYS).select(
+            *KEYS, "date", *rolling_columns(stats=(stat,))))
     return q
 
 
