@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from vigil.functions.category import alert
 from vigil.functions.util import as_list
 from vigil.operators import evaluate as ev
-from vigil.operators.cv import CV_SPLITS, assign_folds, fold_split
+from vigil.operators.cv import CV_SPLITS, assign_date_folds, assign_folds, fold_split
 from vigil.operators.features import add_features, feature_columns
 from vigil.operators.horizon import HORIZON_DAYS, add_target
 from vigil.operators.models import fit_gbt_calibrated, fit_logit
@@ -36,13 +36,11 @@ def model_ready(panel: DataFrame, keys, horizon: int = HORIZON_DAYS, mode: str =
     return df, feature_columns(df, target, keys, include_future_categories), target
 
 
-def fit_model(name: str, train: DataFrame, features, target: str, keys, gbt_params: dict | None = None,
-              exact_median: bool | None = None):
+def fit_model(name: str, train: DataFrame, features, target: str, keys, gbt_params: dict | None = None):
     if name == "logit_balanced":
-        return fit_logit(train, features, target, exact_median=exact_median)
+        return fit_logit(train, features, target)
     if name == "hgb_calibrated":
-        return fit_gbt_calibrated(train, features, target, ["date", *as_list(keys)], gbt_params,
-                                  exact_median=exact_median)
+        return fit_gbt_calibrated(train, features, target, ["date", *as_list(keys)], gbt_params)
     raise ValueError(f"unknown model {name!r}")
 
 
@@ -52,17 +50,18 @@ def scored_rows(model, rows: DataFrame, keys, target: str) -> DataFrame:
 
 def evaluate_models(df: DataFrame, features, target: str, keys, models=MODELS, n_splits: int = CV_SPLITS,
                     recall_target: float = ev.RECALL_TARGET, gbt_params: dict | None = None,
-                    exact_median: bool | None = None):
+                    pooled_dates: bool = True):
     """Forward-chained CV of each model. Returns (summary, fold metrics,
-    thresholds, out-of-fold predictions)."""
+    thresholds, out-of-fold predictions). ``pooled_dates``: folds over the dates of all series, as
+    one model serves them all; otherwise over the rows of each series."""
     keys = as_list(keys)
-    folded = cut_lineage(assign_folds(df, keys))
+    folded = cut_lineage(assign_date_folds(df) if pooled_dates else assign_folds(df, keys))
     parts, sizes = [], []
     spark = df.sparkSession
     for name in models:
         for f in range(1, n_splits + 1):
             train, test = fold_split(folded, f, n_splits)
-            model = fit_model(name, train, features, target, keys, gbt_params, exact_median)
+            model = fit_model(name, train, features, target, keys, gbt_params)
             part = scored_rows(model, test, keys, target).select(
                 F.lit(name).alias("model"), F.lit(f).alias("fold"), "*")
             parts.append(cut_lineage(part))
@@ -72,20 +71,20 @@ def evaluate_models(df: DataFrame, features, target: str, keys, models=MODELS, n
         oof = oof.unionByName(p)
     n_train = spark.createDataFrame(sizes, "model string, fold int, n_train long")
     mk = ["model", "fold"]
-    folds = ev.fold_metrics(oof, mk, "y_true", "y_prob", recall_target, n_train)
-    thresholds = ev.pick_threshold(ev.threshold_curve(oof, mk, "y_true", "y_prob"), mk, recall_target)
-    oof = oof.join(folds.select(*mk, "threshold"), mk).withColumn("y_pred", alert("y_prob", "threshold")).drop(
+    folds = cut_lineage(ev.fold_metrics(oof, mk, "y_true", "y_prob", recall_target, n_train))
+    thresholds = folds.select(*mk, "threshold", "precision", "recall", "f1", "balanced_acc")
+    oof = oof.join(F.broadcast(folds.select(*mk, "threshold")), mk).withColumn("y_pred", alert("y_prob", "threshold")).drop(
         "threshold")
     summary = ev.cv_summary(folds)
     return summary, folds, thresholds, oof
 
 
 def fit_final(df: DataFrame, features, target: str, keys, name: str, recall_target: float = ev.RECALL_TARGET,
-              gbt_params: dict | None = None, exact_median: bool | None = None):
+              gbt_params: dict | None = None):
     """Fit on every row, threshold chosen on the same rows (as the source
     does), in-sample predictions; coefficient table for the logistic model."""
     keys = as_list(keys)
-    model = fit_model(name, df, features, target, keys, gbt_params, exact_median)
+    model = fit_model(name, df, features, target, keys, gbt_params)
     scored = scored_rows(model, df, keys, target).withColumn("_g", F.lit(0))
     best = ev.pick_threshold(ev.threshold_curve(scored, ["_g"], "y_true", "y_prob"), ["_g"], recall_target)
     thr = best.drop("_g").first().asDict()
@@ -95,17 +94,16 @@ def fit_final(df: DataFrame, features, target: str, keys, name: str, recall_targ
 
 
 def run_modeling(spark: SparkSession, panel: DataFrame, keys, out_dir: str | None = None,
-                 models=MODELS, gbt_params: dict | None = None, exact_median: bool | None = None) -> dict:
+                 models=MODELS, gbt_params: dict | None = None) -> dict:
     """The whole modelling step on a clean panel; writes the result tables and
     artefacts under ``out_dir`` when given."""
     keys = as_list(keys)
     df, features, target = model_ready(panel, keys)
     df = cut_lineage(df)
     summary, folds, thresholds, oof = evaluate_models(df, features, target, keys, models,
-                                                      gbt_params=gbt_params, exact_median=exact_median)
+                                                      gbt_params=gbt_params)
     chosen = ev.best_model(summary).first()["model"]
-    model, thr, preds, importance = fit_final(df, features, target, keys, chosen, gbt_params=gbt_params,
-                                              exact_median=exact_median)
+    model, thr, preds, importance = fit_final(df, features, target, keys, chosen, gbt_params=gbt_params)
     cov = coverage_table(panel, keys)
     meta = df.agg(F.count(F.lit(1)).alias("n_rows_model"), F.avg(target).alias("event_rate_target"),
                   F.min("date").alias("date_start"), F.max("date").alias("date_end")).first().asDict()

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.category import alert
+from vigil.functions.util import as_list
+from vigil.session import cut_lineage
 from vigil.sources.scoring import REQUIRED_COLUMNS, validate_snapshots
 
 OPERATIONAL_FEATURES = list(REQUIRED_COLUMNS)
@@ -28,6 +30,6 @@ def fit_operational(panel: DataFrame, keys, features=OPERATIONAL_FEATURES):
     from vigil.plans.modeling import fit_final
     from vigil.operators.horizon import add_target
     df = add_target(panel, keys).where(F.col("critical_t_plus_2").isNotNull())
-    df = df.withColumn("critical_t_plus_2", F.col("critical_t_plus_2").cast("int"))
+    df = cut_lineage(df.select(*as_list(keys), "date", *features, F.col("critical_t_plus_2").cast("int").alias("critical_t_plus_2")))
     model, thr, _preds, _imp = fit_final(df, list(features), "critical_t_plus_2", keys, "logit_balanced")
     return model, float(thr["threshold"])
