@@ -50,3 +50,20 @@ def test_text_year_category(spark):
     names = ["/x/ER_2019.xlsx", "report.2020", ".2021", "ER 1999 v.2021.xlsx", "a..2022", "plain"]
     assert one_col(spark, names, P.year_from_filename) == ["2019", "", "2021", "2021", "", ""]
     assert one_col(spark, ["  Regular ", None, "ALERTA"], P.normalize_category) == ["regular", None, "alerta"]
+
+
+def test_iso_dates_in_other_shapes(spark):
+    day = dt.date(2019, 1, 2)
+    texts = ["2019-01-02", "2019-01-02 00:00:00", "2019-01-02T10:00:00", "2019-01-02 00:00:00.000", "2019/01/02", "2019.1.2",
+             "2019-01-02T00:00:00Z", "2019-01-02T00:00:00.123+01:00", "01/02/2019", "1-2-2019", " 2019-01-02 "]
+    assert one_col(spark, texts, P.to_date_iso) == [day] * len(texts)
+    assert one_col(spark, ["25/12/2019", "12/25/2019"], P.to_date_iso) == [dt.date(2019, 12, 25)] * 2
+    assert one_col(spark, ["02/01/2019"], lambda c: P.to_date_iso(c, day_first=True)) == [day]
+    assert one_col(spark, ["2019-13-01", "2019/02/30", "2019-01/02", "x", "", None, "2019-01-02x", "20190102"],
+                   P.to_date_iso) == [None] * 8
+
+
+def test_folding_covers_all_of_unicode(spark):
+    assert one_col(spark, ["Ạ ﬁebre", "Ｎeumonía", "½ ㎏ Ⅷ", "𝐀é", "e\u0301\u1AB0x"], P.normalize_key) == [
+        "A FIEBRE", "NEUMONIA", "12 KG VIII", "AE", "EX"]
+    assert one_col(spark, ["½"], lambda c: P.normalize_key(c, strict_ascii=True)) == ["12"]

@@ -24,8 +24,6 @@ EXCEL_EPOCH = "1899-12-30"
 # A plain decimal as a float parser accepts it: optional sign, digits with an
 # optional fraction (or a bare fraction), optional exponent; or an infinity.
 DECIMAL_RE = r"^[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$"
-WS_EDGES_RE = r"^\s+|\s+$"
-
 
 WHITESPACE = " \t\n\r\x0b\x0c"
 
@@ -86,11 +84,24 @@ def _format_shape(fmt: str):
     return len(text), (text[10] if len(text) > 10 else None)
 
 
-def to_date_iso(c, formats=DEFAULT_DATE_FORMATS) -> Column:
-    """ISO-like text -> DATE (time of day dropped), bad -> NULL.
+# Dates with other separators, times with fractions or a zone, and year-last dates.
+_TIME_RE = r"(?:[T ]\d{1,2}:\d{2}(?::\d{2}(?:[.,]\d+)?)?\s*(?:[Zz]|[+-]\d{2}:?\d{2})?)?$"
+_YEAR_FIRST_RE = r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _TIME_RE
+_YEAR_LAST_RE = r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4})" + _TIME_RE
+
+
+def _made_date(y: Column, m: Column, d: Column) -> Column:
+    return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
+
+
+def to_date_iso(c, formats=DEFAULT_DATE_FORMATS, day_first: bool = False) -> Column:
+    """Date text -> DATE (time of day dropped), bad -> NULL.
 
     Each text is parsed only with the formats its length and separator can
-    fit, so rows do not pay for a failed parse attempt per other format."""
+    fit, so rows do not pay for a failed parse attempt per other format. Texts
+    that fit none are taken apart: year first or last, ``-``, ``/`` or ``.``,
+    with or without a time and a zone. A year-last date is month first unless
+    ``day_first``; the other order is used where only that gives a date."""
     s = strip_ws(col_of(c).cast("string"))
     expr = None
     for f in formats:
@@ -98,9 +109,14 @@ def to_date_iso(c, formats=DEFAULT_DATE_FORMATS) -> Column:
         fits = F.length(s) == n
         if sep is not None:
             fits = fits & (F.substring(s, 11, 1) == F.lit(sep))
+        fits = fits & (F.substring(s, 5, 1) == "-")
         parsed = F.try_to_timestamp(s, F.lit(f))
-        expr = F.when(fits, parsed) if expr is None else expr.when(fits, parsed)
-    return expr.cast("date")
+        expr = F.when(fits, parsed.cast("date")) if expr is None else expr.when(fits, parsed.cast("date"))
+    y_first = [F.regexp_extract(s, _YEAR_FIRST_RE, i) for i in (1, 3, 4)]
+    last = [F.regexp_extract(s, _YEAR_LAST_RE, i) for i in (1, 3, 4)]
+    month_first, day_month = _made_date(last[2], last[0], last[1]), _made_date(last[2], last[1], last[0])
+    either = F.coalesce(*((day_month, month_first) if day_first else (month_first, day_month)))
+    return expr.when(s.rlike(_YEAR_FIRST_RE), _made_date(*y_first)).when(s.rlike(_YEAR_LAST_RE), either)
 
 
 def parse_excel_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
@@ -118,40 +134,48 @@ def normalize_text(c) -> Column:
 
 
 @lru_cache(maxsize=1)
-def _fold_tables():
-    """Accent folding built from the Unicode decomposition rule (NFKD, keep ASCII).
+def _fold_tables() -> tuple[str, str, str, str]:
+    """ASCII folding built from the whole Unicode decomposition table (NFKD, keep ASCII).
 
-    Returns (single-char source, single-char target, multi-char expansions)
-    for Latin letters U+00A0..U+024F and the combining marks U+0300..U+036F
-    (which fold to nothing).
+    Returns the characters that fold to one, what they fold to, the marks that fold to nothing,
+    and the ones that fold to several as text for ``str_to_map``.
     """
-    src, dst, multi = [], [], []
-    for cp in range(0x00A0, 0x0250):
+    src, dst, marks, several = [], [], [], []
+    for cp in range(0x80, 0x110000):
         ch = chr(cp)
-        folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
-        if folded == ch:
+        if 0xD800 <= cp < 0xE000:
             continue
+        if unicodedata.combining(ch):
+            marks.append(ch)
+            continue
+        if not unicodedata.decomposition(ch):
+            continue
+        folded = unicodedata.normalize("NFKD", ch).encode("ascii", "ignore").decode("ascii")
         if len(folded) == 1:
             src.append(ch)
             dst.append(folded)
-        elif len(folded) > 1:
-            multi.append((ch, folded))
-    marks = "".join(chr(cp) for cp in range(0x0300, 0x0370))
-    return "".join(src), "".join(dst), tuple(multi), marks
+        elif folded:
+            several.append(f"{ch}{_OF}{folded}")
+    return "".join(src), "".join(dst), "".join(marks), _AND.join(several)
+
+
+_AND, _OF = "\x01", "\x02"
 
 
 def fold_to_ascii(c, drop_other: bool = True) -> Column:
-    """Approximate NFKD -> ASCII: fold accented Latin letters, drop combining marks.
+    """NFKD -> ASCII: accented and compatibility characters folded, combining marks dropped.
 
     Characters that stay non-ASCII are removed (``drop_other``, the strict
-    ASCII-ignore behaviour) or turned into a space (a separator).
+    ASCII-ignore behaviour) or turned into a space (a separator). ASCII text, the
+    usual case, is passed through by one match.
     """
-    src, dst, multi, marks = _fold_tables()
+    src, dst, marks, several = _fold_tables()
     s = col_of(c)
-    for ch, rep in multi:
-        s = F.replace(s, F.lit(ch), F.lit(rep))
-    s = F.translate(s, src + marks, dst)
-    return F.regexp_replace(s, r"[^\x00-\x7F]", "" if drop_other else " ")
+    plain = F.translate(s, src + marks, dst)
+    table = F.str_to_map(F.lit(several), F.lit(_AND), F.lit(_OF))       # a constant
+    spelt = F.array_join(F.transform(F.split(plain, ""), lambda x: F.coalesce(F.try_element_at(table, x), x)), "")
+    folded = F.when(plain.rlike(r"[^\x00-\x7F]"), spelt).otherwise(plain)
+    return F.when(s.rlike(r"[^\x00-\x7F]"), F.regexp_replace(folded, r"[^\x00-\x7F]", "" if drop_other else " ")).otherwise(s)
 
 
 def normalize_key(c, strict_ascii: bool = False) -> Column:
