@@ -2,6 +2,8 @@ import datetime as dt
 import os
 import tempfile
 
+import pytest
+
 from vigil.operators import grid as G
 from vigil.sources.grid import read_text_grid, select_inputs
 
@@ -39,3 +41,21 @@ def test_text_grid_end_to_end(spark):
 def test_select_inputs():
     names = ["b_2020.xlsx", "~$lock.xlsx", "All_ER_Dataset.xlsx", "a_2019.XLSX", "notes.txt"]
     assert select_inputs(names) == ["a_2019.XLSX", "b_2020.xlsx"]
+
+
+def test_empty_first_column_and_rejected_files(spark):
+    folder = tempfile.mkdtemp(prefix="vigil-grid-")
+    write_sheet(folder, "ER_2019.csv", [";;;", ";FECHA;43466;43467", ";;;", ";Total demanda;10;11", ";Influenza (J09-J11);1;2"])
+    write_sheet(folder, "none.csv", ["FECHA;43466", "Influenza;3"])
+    write_sheet(folder, "top.csv", ["TOTAL DEMANDA;1;2"])
+    cells = read_text_grid(spark, folder)
+    out = G.er_consolidated(spark, cells).orderBy("FECHA").collect()
+    assert [(r.FECHA, r.TOTAL_DEMANDA, r.INFLUENZA) for r in out] == [(dt.date(2019, 1, 1), 10.0, 1.0), (dt.date(2019, 1, 2), 11.0, 2.0)]
+    assert sorted(tuple(r) for r in G.rejected_files(cells).collect()) == [
+        ("none.csv", "no anchor row"), ("top.csv", "no row above the anchor")]
+    with pytest.raises(ValueError, match="2 file"):
+        G.er_consolidated(spark, cells, strict=True)
+    rows = {(r.source_file, r.row_idx): (r.row_pos, r.label) for r in G.label_rows(cells).collect()}
+    assert rows[("ER_2019.csv", 3)] == (1, "Total demanda")
+    bad = G.er_consolidated(spark, cells.where("source_file = 'none.csv'"))
+    assert bad.columns == ["FECHA", "source_file", "source_year"] and bad.count() == 0

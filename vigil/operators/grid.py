@@ -13,11 +13,12 @@ outer joins. Cross-file de-duplication is a ``min_by`` aggregate per date.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vigil.functions.parse import normalize_key, normalize_text, parse_excel_date, to_number_clean, year_from_filename
 from vigil.operators.dedup import first_per_key
+from vigil.session import cut_lineage
 
 # The label that marks the anchor row, the excluded date range
 # (both ends included) and the label dictionary (normalised label -> column),
@@ -73,7 +74,6 @@ LABELS = (
     ("POR OTRAS CAUSAS NO CONTENIDAS EN LAS CAUSAS ANTERIORES", "HOSP_OTRAS_CAUSAS"),
     ("CIRUGIAS DE URGENCIA", "CIRUGIAS_URGENCIA"),
 )
-VARIABLE_ORDER = tuple(v for _, v in LABELS)
 
 
 def label_dictionary(spark: SparkSession, labels=LABELS) -> DataFrame:
@@ -95,58 +95,99 @@ def drop_empty(cells: DataFrame) -> DataFrame:
             .join(cols, ["source_file", "col_idx"], "left_semi"))
 
 
+def label_rows(cells: DataFrame) -> DataFrame:
+    """(source_file, row_idx, row_pos, label_col, label): the non-empty rows of every file, numbered
+    from 0, with the text in the file's label column, its first column that is not empty (S9).
+
+    One aggregate over the cells; what comes out has one row per sheet row, and all facts about
+    labels, anchors and headers are derived from it."""
+    rows = (nonempty_cells(cells).groupBy("source_file", "row_idx")
+            .agg(F.min("col_idx").alias("_first"), F.min_by("cell", "col_idx").alias("_cell")))
+    per_file = Window.partitionBy("source_file")
+    rows = rows.withColumn("label_col", F.min("_first").over(per_file)).withColumn(
+        "row_pos", F.row_number().over(per_file.orderBy("row_idx")) - 1)
+    return rows.select("source_file", "row_idx", "row_pos", "label_col",
+                       F.when(F.col("_first") == F.col("label_col"), normalize_text("_cell")).otherwise("").alias("label"))
+
+
+def anchors_of(rows: DataFrame, anchor_key: str = ANCHOR_KEY) -> DataFrame:
+    """O9 from ``label_rows``: (source_file, anchor_row, header_row, label_col)."""
+    per_file = Window.partitionBy("source_file")
+    is_anchor = normalize_key("label") == F.lit(anchor_key)
+    marked = rows.withColumn("anchor_row", F.min(F.when(is_anchor, F.col("row_idx"))).over(per_file))
+    return (marked.where(F.col("anchor_row").isNotNull()).groupBy("source_file")
+            .agg(F.first("anchor_row").alias("anchor_row"),
+                 F.max(F.when(F.col("row_idx") < F.col("anchor_row"), F.col("row_idx"))).alias("header_row"),
+                 F.first("label_col").alias("label_col")))
+
+
 def anchors(cells: DataFrame, anchor_key: str = ANCHOR_KEY) -> DataFrame:
     """Per file the first row whose label normalises to the anchor key, and
     the header row = the nearest non-empty row above it (NULL when there is
     none: such a file is rejected rather than wrapped around)."""
-    lab = cells.where(F.col("col_idx") == 0)
-    anchor = (lab.where(normalize_key("cell") == F.lit(anchor_key))
-              .groupBy("source_file").agg(F.min("row_idx").alias("anchor_row")))
-    rows = nonempty_cells(cells).select("source_file", "row_idx").distinct()
-    above = (rows.join(anchor, "source_file")
-             .where(F.col("row_idx") < F.col("anchor_row"))
-             .groupBy("source_file").agg(F.max("row_idx").alias("header_row")))
-    return anchor.join(above, "source_file", "left")
+    return anchors_of(label_rows(cells), anchor_key).drop("label_col")
+
 
+def rejected_files(cells: DataFrame, anchor_table: DataFrame | None = None) -> DataFrame:
+    """(source_file, reason) of the files the flow can't use: no anchor row, or nothing above it."""
+    found = anchors(cells) if anchor_table is None else anchor_table
+    return (cells.select("source_file").distinct().join(found, "source_file", "left")
+            .where(F.col("header_row").isNull())
+            .select("source_file", F.when(F.col("anchor_row").isNull(), "no anchor row")
+                    .otherwise("no row above the anchor").alias("reason")))
 
-def check_anchors(anchor_table: DataFrame, files: DataFrame) -> None:
-    """Strict mode: raise when a file has no anchor or nothing above it (one
-    small row per file comes back to the driver)."""
-    bad = (files.select("source_file").distinct().join(anchor_table, "source_file", "left")
-           .where(F.col("header_row").isNull()).limit(20).collect())
-    if bad:
-        raise ValueError(f"no usable '{ANCHOR_KEY}' row in: {[r.source_file for r in bad]}")
+
+def check_anchors(cells: DataFrame, anchor_table: DataFrame | None = None) -> None:
+    """Strict mode: raise when a file is rejected, with their number (``rejected_files`` lists them all)."""
+    bad = rejected_files(cells, anchor_table).agg(F.count(F.lit(1)).alias("n"), F.min("source_file").alias("first")).first()
+    if bad["n"]:
+        raise ValueError(f"{bad['n']} file(s) without a usable '{ANCHOR_KEY}' row, the first is {bad['first']}")
 
 
 def header_dates(cells: DataFrame, anchor_table: DataFrame) -> DataFrame:
     """J6 source: (file, col_idx, FECHA) from the header row's cells."""
-    return (cells.join(anchor_table.select("source_file", "header_row"), "source_file")
-            .where((F.col("row_idx") == F.col("header_row")) & (F.col("col_idx") >= 1))
+    return (cells.join(anchor_table, "source_file")
+            .where((F.col("row_idx") == F.col("header_row")) & (F.col("col_idx") > _label_col(anchor_table)))
             .select("source_file", "col_idx", parse_excel_date(normalize_text("cell")).alias("FECHA")))
 
 
-def labeled_rows(cells: DataFrame, anchor_table: DataFrame, dictionary: DataFrame,
+def _label_col(df: DataFrame):
+    return F.col("label_col") if "label_col" in df.columns else F.lit(0)
+
+
+def labeled_rows(rows: DataFrame, anchor_table: DataFrame, dictionary: DataFrame,
                  strict_ascii: bool = False) -> DataFrame:
-    """Rows from the header row down whose label is in the dictionary."""
-    lab = (cells.where(F.col("col_idx") == 0)
-           .join(anchor_table.select("source_file", "header_row"), "source_file")
-           .where(F.col("row_idx") >= F.col("header_row"))
-           .select("source_file", "row_idx", normalize_text("cell").alias("label"))
-           .where(F.col("label") != "")
+    """J5 on ``label_rows``: rows from the header row down whose label is in the dictionary."""
+    lab = (rows.join(anchor_table.select("source_file", "header_row"), "source_file")
+           .where((F.col("row_idx") >= F.col("header_row")) & (F.col("label") != ""))
            .withColumn("label_key", normalize_key("label", strict_ascii)))
     return lab.join(F.broadcast(dictionary), "label_key")
 
 
-def grid_values(cells: DataFrame, anchor_table: DataFrame, rows: DataFrame, dates: DataFrame) -> DataFrame:
-    """A15 + J6: long (file, row, col, FECHA, var_name, value) with dated cells only."""
-    body = cells.where(F.col("col_idx") >= 1)
-    return (body.join(rows.select("source_file", "row_idx", "var_name", "var_pos"), ["source_file", "row_idx"])
+def grid_values(cells: DataFrame, rows: DataFrame, dates: DataFrame) -> DataFrame:
+    """A15 + J6: long (file, row, col, FECHA, var_name, value) with dated cells only; ``rows`` from
+    ``labeled_rows``, ``dates`` from ``header_dates`` (columns right of the labels)."""
+    return (cells.join(rows.select("source_file", "row_idx", "var_name", "var_pos"), ["source_file", "row_idx"])
             .join(dates, ["source_file", "col_idx"])
             .where(F.col("FECHA").isNotNull())
             .select("source_file", "row_idx", "col_idx", "FECHA", "var_name", "var_pos",
                     to_number_clean("cell").alias("value")))
 
 
+def dated_values(spark: SparkSession, cells: DataFrame, strict: bool = False, strict_ascii: bool = False) -> DataFrame:
+    """All known labels' dated values. The cells are read twice: once for the row table, once for
+    the header and labelled rows, from which dates and values come."""
+    rows = cut_lineage(label_rows(cells))
+    anc = anchors_of(rows)
+    if strict:
+        check_anchors(cells, anc)
+    named = labeled_rows(rows, anc, label_dictionary(spark), strict_ascii)
+    wanted = named.select("source_file", "row_idx").unionByName(
+        anc.select("source_file", F.col("header_row").alias("row_idx"))).distinct()
+    used = cut_lineage(cells.join(wanted, ["source_file", "row_idx"], "left_semi"))
+    return grid_values(used, named, header_dates(used, anc))
+
+
 def exclude_range(df: DataFrame, date_col: str = "FECHA", start: str = EXCLUDE_START,
                   end: str = EXCLUDE_END) -> DataFrame:
     """Drop dates inside [start, end], both ends included."""
@@ -160,7 +201,8 @@ def pivot_values(values: DataFrame, variables) -> DataFrame:
     first = F.struct("row_idx", "col_idx")
     aggs = [F.min_by(F.when(F.col("var_name") == v, F.col("value")),
                      F.when(F.col("var_name") == v, first)).alias(v) for v in variables]
-    out = values.groupBy("source_file", "FECHA").agg(*aggs)
+    keyed = values.groupBy("source_file", "FECHA")
+    out = keyed.agg(*aggs) if aggs else keyed.agg(F.count(F.lit(1)).alias("_n")).drop("_n")
     return out.withColumn("source_year", year_from_filename("source_file"))
 
 
@@ -180,10 +222,11 @@ def consolidate(wide: DataFrame, variables) -> DataFrame:
 
 
 def er_consolidated(spark: SparkSession, cells: DataFrame, variables=None,
-                    start: str = EXCLUDE_START, end: str = EXCLUDE_END) -> DataFrame:
-    """The whole grid flow for all files in one plan."""
-    anc = anchors(cells)
-    rows = labeled_rows(cells, anc, label_dictionary(spark))
-    vals = exclude_range(grid_values(cells, anc, rows, header_dates(cells, anc)), "FECHA", start, end)
+                    start: str = EXCLUDE_START, end: str = EXCLUDE_END, strict: bool = False) -> DataFrame:
+    """The whole grid flow for all files in one plan. Files without a usable anchor give no rows
+    (``rejected_files`` lists them); with ``strict`` they are an error."""
+    vals = exclude_range(dated_values(spark, cells, strict), "FECHA", start, end)
+    if variables is None:
+        vals = cut_lineage(vals)
     variables = list(variables) if variables is not None else seen_variables(vals)
     return consolidate(pivot_values(vals, variables), variables)

@@ -75,12 +75,36 @@ def trim_one(df: DataFrame, keys, column: str, lo: float = Q_LOW, hi: float = Q_
     return staged.where(F.col(column).between(F.col("_qlo"), F.col("_qhi"))).drop("_qlo", "_qhi")
 
 
+def _kept(rows, column: str, lo: float, hi: float):
+    """The structs of an array whose ``column`` lies between the array's own quantiles of it.
+
+    Intermediate values are bound through one-element arrays, so that each is computed once."""
+    def bound(sorted_values, q):
+        n = F.size(sorted_values)
+        at, g = _virtual_index(n, q)
+        pick = lambda i: F.element_at(sorted_values, (F.least(F.greatest(i, F.lit(0)), n - 1) + 1).cast("int"))
+        return F.when(n > 0, _lerp(pick(at), pick(at + 1), g))
+
+    def within(ends):
+        return F.filter(rows, lambda r: r[column].between(ends["lo"], ends["hi"]))
+
+    values = F.sort_array(F.filter(F.transform(rows, lambda r: r[column]), lambda v: v.isNotNull()))
+    ends = F.element_at(F.transform(F.array(values), lambda v: F.struct(bound(v, lo).alias("lo"), bound(v, hi).alias("hi"))), 1)
+    return F.element_at(F.transform(F.array(ends), within), 1)
+
+
 def trim_sequential(df: DataFrame, keys, columns, lo: float = Q_LOW, hi: float = Q_HIGH) -> DataFrame:
     """A5: trim each column in the given order; each step's quantiles are taken on
-    the rows left by the previous step (order matters)."""
+    the rows left by the previous step (order matters).
+
+    A series is one array of daily rows, bounded by its number of days, and every step filters
+    that array: one aggregate in all, instead of two sorts and two windows per column."""
+    keys = as_list(keys)
+    rest = [c for c in df.columns if c not in keys]
+    series = df.groupBy(*keys).agg(F.collect_list(F.struct(*rest)).alias("_rows"))
     for c in columns:
-        df = trim_one(df, keys, c, lo, hi)
-    return df
+        series = series.withColumn("_rows", _kept(F.col("_rows"), c, lo, hi))
+    return series.select(*keys, F.inline("_rows")).select(*df.columns)
 
 
 def zscore_fit(df: DataFrame, keys, columns) -> DataFrame:

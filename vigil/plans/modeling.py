@@ -7,9 +7,6 @@ thresholds, coefficients) come back to the driver.
 
 from __future__ import annotations
 
-import json
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,8 +18,11 @@ from vigil.operators.features import add_features, feature_columns
 from vigil.operators.horizon import HORIZON_DAYS, add_target
 from vigil.operators.models import fit_gbt_calibrated, fit_logit
 from vigil.operators.quality import coverage as coverage_table
+from vigil.plans.artefacts import save_model, write_json, write_table
+from vigil.plans.panel import scaled_panel
 from vigil.session import cut_lineage
 
+# The model names.
 MODELS = ("logit_balanced", "hgb_calibrated")
 
 
@@ -109,31 +109,41 @@ def run_modeling(spark: SparkSession, panel: DataFrame, keys, out_dir: str | Non
                   F.min("date").alias("date_start"), F.max("date").alias("date_end")).first().asDict()
     cov_row = cov.agg((F.sum("n_days") / F.sum("span_days")).alias("coverage")).first()
     result = dict(summary=summary, fold_metrics=folds, thresholds=thresholds, oof=oof, predictions=preds,
-                  model_ready=df, importance=importance, model=model, threshold=thr, chosen=chosen,
+                  model_ready=df, importance=importance, model=model, threshold=thr, chosen=chosen, panel=panel, keys=keys,
                   metadata=dict(selected_model=chosen, horizon_days=HORIZON_DAYS, recall_target=ev.RECALL_TARGET,
                                 n_features=len(features), feature_columns=features,
                                 coverage_ratio_observed_vs_full_range=cov_row["coverage"],
                                 **{k: (str(v) if k.startswith("date") else v) for k, v in meta.items()}))
     if out_dir:
-        write_outputs(result, out_dir)
+        write_outputs(spark, result, out_dir)
     return result
 
 
-def write_outputs(result: dict, out_dir: str) -> None:
-    """Result tables (parquet), threshold and metadata JSON, summary text."""
-    for name in ("summary", "fold_metrics", "thresholds", "oof", "predictions", "model_ready", "importance"):
-        df = result.get(name)
-        if df is not None:
-            df.write.mode("overwrite").parquet(os.path.join(out_dir, name))
-    thr = dict(model=result["chosen"], horizon_days=HORIZON_DAYS, recall_target=ev.RECALL_TARGET,
-               **{k: float(v) for k, v in result["threshold"].items() if v is not None})
-    _write_json(out_dir, "final_model_threshold.json", thr)
-    _write_json(out_dir, "final_model_metadata.json", result["metadata"])
-
-
-def _write_json(out_dir: str, name: str, obj: dict) -> None:
-    if "://" in out_dir:
-        raise ValueError("artefact JSON needs a mounted path")
-    os.makedirs(out_dir, exist_ok=True)
-    with open(os.path.join(out_dir, name), "w", encoding="utf-8") as f:
-        json.dump(obj, f, ensure_ascii=False, indent=2, default=str)
+def run_summary(spark: SparkSession, result: dict) -> DataFrame:
+    """(item, value) lines of one run: data, chosen model, threshold, CV means of the chosen model."""
+    lines = [(k, str(v)) for k, v in result["metadata"].items() if k != "feature_columns"]
+    lines += [(f"threshold_{k}" if k != "threshold" else k, repr(v)) for k, v in result["threshold"].items()]
+    chosen = result["summary"].where(F.col("model") == result["chosen"]).first().asDict()    # one row
+    lines += [(k, repr(v)) for k, v in chosen.items() if k != "model"]
+    return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(lines)], "line int, item string, value string")
+
+
+# Where each result table goes and what it is sorted by.
+OUTPUTS = {"summary": ("model",), "fold_metrics": ("model", "fold"), "thresholds": ("model", "fold"),
+           "oof": ("model", "fold", "date"), "predictions": ("date",), "importance": (), "model_ready": ("date",)}
+
+
+def write_outputs(spark: SparkSession, result: dict, out_dir: str) -> None:
+    """Raw, scaled and result tables, scaler, model with threshold, metadata, summary."""
+    keys = result["keys"]
+    scaled, scaler = scaled_panel(result["panel"], keys)
+    write_table(result["panel"], f"{out_dir}/raw", [*keys, "date"])
+    write_table(scaled, f"{out_dir}/scaled", [*keys, "date"])
+    write_table(scaler, f"{out_dir}/scaler", [*keys, "feature"])
+    for name, order in OUTPUTS.items():
+        if result.get(name) is not None:
+            write_table(result[name], f"{out_dir}/{name}", order or [F.col("abs_coef").desc()])
+    save_model(spark, result["model"], f"{out_dir}/final_model", dict(
+        result["threshold"], recall_target=ev.RECALL_TARGET, horizon_days=HORIZON_DAYS))
+    write_json(spark, f"{out_dir}/final_model_metadata", result["metadata"])
+    write_table(run_summary(spark, result), f"{out_dir}/run_summary", ["line"])

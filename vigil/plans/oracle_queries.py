@@ -364,3 +364,28 @@ SQL.update({
     "one_hot": "SELECT o_orderkey, " + ", ".join(
         f"CASE WHEN o_orderpriority = '{p}' THEN 1 ELSE 0 END AS oh_{i}" for i, p in enumerate(_PRIOS)) + " FROM orders",
 })
+
+from vigil.plans.registry import STATED_INTERCEPT, STATED_MODEL, STATED_THRESHOLD  # noqa: E402
+
+_MARGIN = " + ".join(f"({n} - {mean!r}::DOUBLE) / {std!r}::DOUBLE * {coef!r}::DOUBLE" for n, _, mean, std, coef in STATED_MODEL)
+_STATED = (f"WITH s AS (SELECT event_id, {', '.join(f'{o.to_number(n, comma=False)} AS {n}' for n in SNAPSHOT_COLUMNS)} FROM "
+           f"(SELECT event_id, {_SNAP} FROM events)), z AS (SELECT *, 1.0 / (1.0 + exp(-({_MARGIN} + {STATED_INTERCEPT!r}::DOUBLE))) "
+           f"AS p FROM s WHERE {' AND '.join(f'{n} IS NOT NULL' for n in SNAPSHOT_COLUMNS)}) "
+           f"SELECT event_id, {', '.join(o.r6(n, n) for n in SNAPSHOT_COLUMNS)}, {o.r6('p', 'predicted_probability_48h')}, "
+           f"{o.r6(f'{STATED_THRESHOLD!r}::DOUBLE', 'decision_threshold')}, "
+           f"CASE WHEN p >= {STATED_THRESHOLD!r}::DOUBLE THEN 1 ELSE 0 END AS critical_alert_48h FROM z")
+_YEAR = "CAST(regexp_extract(source_file, '([0-9]{4})', 1) AS INTEGER)"
+_CUT_GRID = GRID + [
+    f"c2 AS (SELECT * FROM cells WHERE NOT ({_YEAR} % 2 = 0 AND {_YEAR} % 4 <> 0 AND row_idx = 3) AND NOT ({_YEAR} % 4 = 0 AND row_idx < 3))",
+    f"a2 AS (SELECT source_file, min(row_idx) AS anchor_row FROM c2 WHERE col_idx = 0 AND {o.normalize_key('cell')} = 'TOTAL DEMANDA' GROUP BY 1)",
+    f"n2 AS (SELECT DISTINCT c2.source_file FROM c2 JOIN a2 ON c2.source_file = a2.source_file WHERE c2.row_idx < a2.anchor_row AND {NT('c2.cell')} <> '')"]
+SQL.update({
+    "alerts_stated_model": _STATED,
+    "alerts_stream_stated_model": _STATED,
+    "scaler_table": SQL["zscore_fit"],
+    "load_dataset": f"SELECT * EXCLUDE (o_orderkey) FROM ({SQL['salvage_line']})",
+    "grid_consolidated_all_labels": SQL["grid_consolidated"],
+    "grid_rejected": with_(_CUT_GRID, "SELECT f.source_file, CASE WHEN a2.anchor_row IS NULL THEN 'no anchor row' ELSE "
+                                      "'no row above the anchor' END AS reason FROM (SELECT DISTINCT source_file FROM c2) f "
+                                      "LEFT JOIN a2 ON f.source_file = a2.source_file WHERE f.source_file NOT IN (SELECT source_file FROM n2)"),
+})

@@ -133,6 +133,17 @@ def q_salvage_line(spark, sf_dir):
     return round_doubles(conform_dataset(salvage_lines(lines, "line"), order_col="o_orderkey"))
 
 
+def q_load_dataset(spark, sf_dir):
+    """S5 + S6: the same lines written to text files in order and read back as a one-column dataset."""
+    import uuid
+    from vigil.session import ensure_checkpoint_dir
+    from vigil.sources.delimited import read_dataset
+    path = f"{ensure_checkpoint_dir(spark)}/lines-{uuid.uuid4().hex}"
+    lines = read_table(spark, sf_dir, "orders").select("o_orderkey", F.expr(fx.SALVAGE_LINE).alias("line"))
+    lines.orderBy("o_orderkey").select(F.coalesce("line", F.lit("")).alias("value")).write.text(path)
+    return round_doubles(read_dataset(spark, path, sep=";"))
+
+
 def _variable_file(spark, sf_dir):
     li = read_table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("series_id"),
@@ -169,6 +180,7 @@ QUERIES = {
     "year_from_name": q_year_from_name,
     "category_normalize": q_category_normalize,
     "salvage_line": q_salvage_line,
+    "load_dataset": q_load_dataset,
     "drop_all_null_columns": q_drop_all_null_columns,
     "best_value_column": q_best_value_column,
     "variable_file_daily": q_variable_file_daily,
@@ -359,15 +371,13 @@ def q_grid_header_join(spark, sf_dir):
 
 
 def q_grid_dictionary(spark, sf_dir):
-    cells, anc = _grid(spark, sf_dir)
-    return g.labeled_rows(cells, anc, g.label_dictionary(spark)).select(
+    rows = g.label_rows(orders_grid_cells(spark, sf_dir))
+    return g.labeled_rows(rows, g.anchors_of(rows), g.label_dictionary(spark)).select(
         "source_file", "row_idx", "label", "label_key", "var_name")
 
 
 def _grid_values(spark, sf_dir):
-    cells, anc = _grid(spark, sf_dir)
-    rows = g.labeled_rows(cells, anc, g.label_dictionary(spark))
-    return g.grid_values(cells, anc, rows, g.header_dates(cells, anc))
+    return g.dated_values(spark, orders_grid_cells(spark, sf_dir))
 
 
 def q_exclude_range(spark, sf_dir):
@@ -384,7 +394,21 @@ def q_grid_consolidated(spark, sf_dir):
     return round_doubles(g.er_consolidated(spark, orders_grid_cells(spark, sf_dir), GRID_VARIABLES))
 
 
+def q_grid_consolidated_all_labels(spark, sf_dir):
+    return round_doubles(g.er_consolidated(spark, orders_grid_cells(spark, sf_dir)))
+
+
+def q_grid_rejected(spark, sf_dir):
+    """The sheets of even years without their anchor row, those of years divisible by 4 without what is above it."""
+    year = F.regexp_extract("source_file", r"(\d{4})", 1).cast("int")
+    cells = orders_grid_cells(spark, sf_dir)
+    cells = cells.where(~((year % 2 == 0) & (year % 4 != 0) & (F.col("row_idx") == 3)))
+    return g.rejected_files(cells.where(~((year % 4 == 0) & (F.col("row_idx") < 3))))
+
+
 QUERIES.update({
+    "grid_consolidated_all_labels": q_grid_consolidated_all_labels,
+    "grid_rejected": q_grid_rejected,
     "grid_cells": q_grid_cells,
     "grid_anchor": q_grid_anchor,
     "grid_header_join": q_grid_header_join,
@@ -563,25 +587,111 @@ def q_final_predictions(spark, sf_dir):
     return preds
 
 
-def q_alerts(spark, sf_dir):
-    """The 4-variable operational model (trained on the clean panel)
-    scores every valid event snapshot."""
-    from vigil.plans.score import alert_table, fit_operational
+# Rounds of the boosted model in the registered queries; the operator's default is the source's 350.
+QUERY_ROUNDS = dict(maxIter=3)
+
+
+def _operational_ready(spark, sf_dir):
+    """(rows, features, target) of the 4-variable model on the clean panel."""
+    from vigil.operators.horizon import add_target
+    from vigil.plans.score import OPERATIONAL_FEATURES
+    from vigil.session import cut_lineage
+    target = "critical_t_plus_2"
+    df = add_target(clean_lineitem_panel(spark, sf_dir), KEYS).where(F.col(target).isNotNull())
+    return cut_lineage(df.select(*KEYS, "date", *OPERATIONAL_FEATURES, F.col(target).cast("int").alias(target))), \
+        list(OPERATIONAL_FEATURES), target
+
+
+def q_gbt_calibrated_scores(spark, sf_dir):
+    """L5 + L6: the boosted calibrated model trained on the first four folds' dates, scores on the last test block."""
+    from vigil.operators.cv import assign_date_folds, fold_split
+    from vigil.plans.modeling import fit_model, scored_rows as scored
+    df, feats, target = _operational_ready(spark, sf_dir)
+    train, test = fold_split(assign_date_folds(df), 5)
+    return scored(fit_model("hgb_calibrated", train, feats, target, KEYS, QUERY_ROUNDS), test, KEYS, target)
+
+
+def _evaluated(spark, sf_dir):
+    from vigil.plans.modeling import evaluate_models
+    df, feats, target = _operational_ready(spark, sf_dir)
+    return evaluate_models(df, feats, target, KEYS, gbt_params=QUERY_ROUNDS)
+
+
+def q_oof_predictions(spark, sf_dir):
+    """L8 + V8 + O8: out-of-fold predictions of both models over five forward-chained folds."""
+    return _evaluated(spark, sf_dir)[3]
+
+
+def q_cv_fold_metrics(spark, sf_dir):
+    """L8 + V7: the fold metrics of the same run."""
+    return _evaluated(spark, sf_dir)[1]
+
+
+def q_scaler_table(spark, sf_dir):
+    """The scaler of the clean panel, written sorted and read back."""
+    import uuid
+    from vigil.plans.artefacts import write_table
+    from vigil.plans.panel import scaled_panel
+    from vigil.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/scaler-{uuid.uuid4().hex}"
+    write_table(scaled_panel(clean_lineitem_panel(spark, sf_dir), KEYS)[1], path, [*KEYS, "feature"])
+    return round_doubles(spark.read.parquet(path))
+
+
+# A stated logistic model on the snapshot columns: (column, median, mean, std, coefficient) and intercept.
+STATED_MODEL = (("PM25", 50.0, 60.0, 30.0, 1.5), ("temp", 2.5, 3.0, 1.25, -0.5), ("hum", 50.0, 48.0, 16.0, 0.25),
+                ("wind", 0.5, 0.5, 0.25, -0.75))
+STATED_INTERCEPT, STATED_THRESHOLD = -0.25, 0.4
+
+
+def _stored_stated_model(spark):
+    """The stated model and threshold, saved and loaded again."""
+    import uuid
+    from vigil.operators.models import LogitModel
+    from vigil.operators.prep import Prepared
+    from vigil.plans.artefacts import load_model, load_threshold, save_model
+    from vigil.session import ensure_checkpoint_dir
+    names = [r[0] for r in STATED_MODEL]
+    prep = Prepared(names, [], *[{r[0]: r[i] for r in STATED_MODEL} for i in (1, 2, 3)])
+    path = f"{ensure_checkpoint_dir(spark)}/stated-model-{uuid.uuid4().hex}"
+    save_model(spark, LogitModel(prep, [r[4] for r in STATED_MODEL], STATED_INTERCEPT), path,
+               dict(threshold=STATED_THRESHOLD))
+    return load_model(spark, path), load_threshold(spark, path)
+
+
+def q_alerts_stated_model(spark, sf_dir):
+    """S13 + S14 + L11 + L12 + X20: a saved model with stated coefficients scores every valid snapshot."""
+    from vigil.plans.score import alert_table
+    model, thr = _stored_stated_model(spark)
+    return round_doubles(alert_table(model, thr, snapshots(read_table(spark, sf_dir, "events")), keep=["event_id"]))
+
+
+def _fitted_and_stored(spark, sf_dir):
+    """The operational model fitted on the clean panel, saved, and loaded as another job would."""
+    import uuid
+    from vigil.plans.artefacts import load_model, load_threshold, save_model
+    from vigil.plans.score import fit_operational
+    from vigil.session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark)}/operational-model-{uuid.uuid4().hex}"
     model, thr = fit_operational(clean_lineitem_panel(spark, sf_dir), KEYS)
+    save_model(spark, model, path, dict(threshold=thr))
+    return load_model(spark, path), load_threshold(spark, path)
+
+
+def q_alerts(spark, sf_dir):
+    """The 4-variable operational model (trained on the clean panel, saved and
+    loaded) scores every valid event snapshot."""
+    from vigil.plans.score import alert_table
+    model, thr = _fitted_and_stored(spark, sf_dir)
     return alert_table(model, thr, snapshots(read_table(spark, sf_dir, "events")), keep=["event_id"])
 
 
-def q_alerts_stream(spark, sf_dir):
-    """L12s: the same scoring as a Structured Streaming query over the events
-    parquet (available-now trigger), written to a parquet sink in the shared
-    checkpoint folder and read back."""
+def _streamed(spark, sf_dir, model, thr):
     import os
     import uuid
-    from vigil.plans.score import fit_operational
     from vigil.session import ensure_checkpoint_dir
-    from vigil.streaming.alerts import alert_stream
     from vigil.sources.tables import table_path
-    model, thr = fit_operational(clean_lineitem_panel(spark, sf_dir), KEYS)
+    from vigil.streaming.alerts import alert_stream
     base = os.path.join(ensure_checkpoint_dir(spark), f"alerts-{uuid.uuid4().hex}")
     schema = read_table(spark, sf_dir, "events").schema
     src = table_path(sf_dir, "events")
@@ -592,10 +702,28 @@ def q_alerts_stream(spark, sf_dir):
     return spark.read.parquet(base + "/sink")
 
 
+def q_alerts_stream(spark, sf_dir):
+    """L12s: the same scoring as a Structured Streaming query over the events
+    parquet (available-now trigger), written to a parquet sink in the shared
+    checkpoint folder and read back."""
+    return _streamed(spark, sf_dir, *_fitted_and_stored(spark, sf_dir))
+
+
+def q_alerts_stream_stated_model(spark, sf_dir):
+    """L12s with the stated model, which SQL can follow."""
+    return round_doubles(_streamed(spark, sf_dir, *_stored_stated_model(spark)))
+
+
 QUERIES.update({
     "logit_scores": q_logit_scores,
     "logit_importance": q_logit_importance,
     "final_predictions": q_final_predictions,
+    "gbt_calibrated_scores": q_gbt_calibrated_scores,
+    "oof_predictions": q_oof_predictions,
+    "cv_fold_metrics": q_cv_fold_metrics,
+    "scaler_table": q_scaler_table,
     "alerts": q_alerts,
     "alerts_stream": q_alerts_stream,
+    "alerts_stated_model": q_alerts_stated_model,
+    "alerts_stream_stated_model": q_alerts_stream_stated_model,
 })
