@@ -27,6 +27,14 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BROADCAST_ROWS = 1_000_000      # tables of ids (8 bytes each) are broadcast up to here
+
+
+def small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """``df`` marked for broadcast if its row count is within the bound; otherwise joined by shuffle."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if most is None else most) else df
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

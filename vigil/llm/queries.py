@@ -123,10 +123,10 @@ WITH split AS (
 ), line AS (
   SELECT doc_id, i - 1 AS line_no, lines[i] AS line FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM split)
 ), sets AS (
-  SELECT doc_id, line_no, list_distinct(list_filter(string_split_regex(lower(line), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '')) AS words
+  SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '[ \\t\\n\\x0B\\f\\r]+'), lambda w: w <> '') AS words
   FROM line
 ), places AS (
-  SELECT row_number() OVER (ORDER BY doc_id, line_no) AS place, doc_id, line_no, list_sort(words) AS words, len(words) AS n
+  SELECT row_number() OVER (ORDER BY doc_id, line_no) AS place, doc_id, line_no, list_sort(list_distinct(words)) AS words, len(list_distinct(words)) AS n
   FROM sets WHERE len(words) >= 5
 ), firsts AS (
   SELECT min(place) AS place, words, any_value(n) AS n FROM places GROUP BY words
