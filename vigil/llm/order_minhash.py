@@ -9,10 +9,12 @@ the band that a similar pair cannot leave, and the pair is linked when
 aligned / (items of both - aligned) is at least ``THRESHOLD``. Linked documents form a group.
 
 Exact copies (equal word sequences) are collapsed first, so a group of copies counts once.
-In each sketch bucket every document is compared with the bucket's first one; after
-that, documents of the same bucket that are still in different groups are compared
-pairwise, so no link between different texts in a bucket is lost, and a large group
-costs one comparison per member.
+In each sketch bucket every document is compared with the bucket's most central one (the one
+that shares most buckets, so most likely the text the others were copied from); those that are
+then still in another group than their buckets' pivots are compared with a pivot drawn anew in
+every bucket. Documents of a bucket that are in different groups even so are compared pairwise,
+where the parity bitmaps of their items allow the similarity at all. So no link between
+different groups of a bucket is lost, and a large group costs a few comparisons per member.
 
 Words are runs of letters, digits and non-ASCII characters, lower case. Defined results: null
 text counts as empty; a document without words is in no group but its own; one with fewer than
@@ -28,10 +30,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import stored, text_or_empty
+from vigil.llm.common import small, stored, text_or_empty
 from vigil.llm.groups import connected_components
 
 WORDS = 5
@@ -39,6 +41,7 @@ THRESHOLD = 0.8
 SKETCHES = 32
 PICKS = 4
 SEED = 77
+PARITY_BITS = 512           # a bit per hash value of an item: set for an odd number of such items
 
 # ASCII characters other than letters and digits end a word; capitals become small.
 _WORD_BYTES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -147,7 +150,10 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> fl
 
 
 def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, picks: int = PICKS, seed: int = SEED) -> DataFrame:
-    """(doc_id, n_items, copy_a, copy_b, sketch array): copy_* is a 128-bit hash of the word sequence."""
+    """(doc_id, n_items, copy_a, copy_b, sketch array, parity array).
+
+    copy_* is a 128-bit hash of the word sequence, ``parity`` the bitmap of its items in longs.
+    """
     factors = np.random.default_rng(seed).integers(1, 2 ** 63, sketches, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,7 +161,7 @@ def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, picks: int = PIC
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                n_items, copies, values = [], ([], []), []
+                n_items, copies, values, parity = [], ([], []), [], []
                 for text in part.column(1).to_pylist():
                     words = word_hashes(text)
                     items, shingles = shingle_items(words)
@@ -164,14 +170,17 @@ def sketch_documents(docs: DataFrame, sketches: int = SKETCHES, picks: int = PIC
                     for i, c in enumerate(copies):
                         total = _mix(words + place * np.uint64(_BASE + 2 * i)).sum(dtype=np.uint64)
                         c.append(int(total.astype(np.int64)))
+                    odd = np.bincount((items >> np.uint64(20)).astype(np.int64) % PARITY_BITS, minlength=PARITY_BITS) % 2
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     values.append(sketch(items, shingles, factors, picks).view(np.int64) if len(items) else empty)
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(n_items, pa.int64()), pa.array(copies[0], pa.int64()),
-                     pa.array(copies[1], pa.int64()), pa.array(values, pa.list_(pa.int64()))],
-                    ["doc_id", "n_items", "copy_a", "copy_b", "sketch"])
+                     pa.array(copies[1], pa.int64()), pa.array(values, pa.list_(pa.int64())),
+                     pa.array(parity, pa.list_(pa.int64()))],
+                    ["doc_id", "n_items", "copy_a", "copy_b", "sketch", "parity"])
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(
-        run, "doc_id long, n_items long, copy_a long, copy_b long, sketch array<long>")
+        run, "doc_id long, n_items long, copy_a long, copy_b long, sketch array<long>, parity array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -200,31 +209,56 @@ def similar_lengths(a, b, threshold: float):
     return F.least(a, b) >= F.greatest(a, b) * F.lit(threshold - 1e-9)
 
 
-def star_pairs(buckets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(rows of buckets with several documents, pairs of their first document with each other one)."""
-    first = (buckets.groupBy("h", "value")
-             .agg(F.min("doc_id").alias("left"), F.min_by("n_items", "doc_id").alias("left_items"),
-                  F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1).drop("n"))
-    shared = stored(buckets.join(first, ["h", "value"]), "buckets")
-    pairs = (shared.filter((F.col("left") != F.col("doc_id"))
-                           & similar_lengths(F.col("left_items"), F.col("n_items"), threshold))
-             .select("left", F.col("doc_id").alias("right")).distinct())
-    return shared, stored(pairs, "star-pairs")
+def shared_buckets(distinct: DataFrame) -> DataFrame:
+    """(h, value, doc_id, n_items, central) of buckets with several documents.
+
+    ``central``: how many documents the document meets in all its buckets.
+    """
+    buckets = distinct.select("doc_id", "n_items", F.posexplode("sketch").alias("h", "value"))
+    sizes = buckets.groupBy("h", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1)
+    shared = stored(buckets.join(sizes, ["h", "value"]), "buckets")
+    central = shared.groupBy("doc_id").agg(F.sum("n").alias("central"))
+    return stored(shared.drop("n").join(central, "doc_id"), "buckets")
+
+
+def _in_groups(shared: DataFrame, groups: DataFrame | None) -> DataFrame:
+    if groups is None:
+        return shared.withColumn("component", F.col("doc_id"))
+    return (shared.join(groups, F.col("doc_id") == F.col("node"), "left")
+            .withColumn("component", F.coalesce("component", "doc_id")).drop("node"))
 
 
-def rest_pairs(shared: DataFrame, groups: DataFrame, stars: DataFrame, threshold: float) -> DataFrame:
-    """Pairs of one bucket that are in different groups so far and were not compared yet."""
-    placed = (shared.select("h", "value", "doc_id", "n_items").join(groups, F.col("doc_id") == F.col("node"), "left")
-              .withColumn("component", F.coalesce("component", "doc_id")).drop("node"))
+def pivot_pairs(shared: DataFrame, groups: DataFrame | None, order: Column, threshold: float) -> DataFrame:
+    """(left, right): every document with its buckets' first one by ``order``, if in another group."""
+    placed = _in_groups(shared, groups)
+    first = placed.groupBy("h", "value").agg(F.min(F.struct(order.alias("o"), "doc_id", "n_items", "component")).alias("p"))
+    pivots = first.select("h", "value", F.col("p.doc_id").alias("pivot"), F.col("p.n_items").alias("pivot_items"),
+                          F.col("p.component").alias("pivot_component"))
+    return (placed.join(pivots, ["h", "value"])
+            .filter((F.col("component") != F.col("pivot_component"))
+                    & similar_lengths(F.col("pivot_items"), F.col("n_items"), threshold))
+            .select(F.least("pivot", "doc_id").alias("left"), F.greatest("pivot", "doc_id").alias("right")).distinct())
+
+
+def rest_pairs(shared: DataFrame, groups: DataFrame, distinct: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of one bucket that are in different groups and that lengths and bitmaps do not rule out.
+
+    A pair that meets in several buckets comes from the first of them.
+    """
+    placed = _in_groups(shared, groups)
     split = (placed.groupBy("h", "value").agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
              .filter(F.col("lo") != F.col("hi")).select("h", "value"))
-    left_over = stored(placed.join(split, ["h", "value"], "left_semi"), "open-buckets")
+    left_over = stored(placed.join(split, ["h", "value"], "left_semi")
+                       .join(distinct.select("doc_id", "sketch", "parity"), "doc_id"), "open-buckets")
     a, b = left_over.alias("a"), left_over.alias("b")
+    odd = sum((F.bit_count(F.get("a.parity", i).bitwiseXOR(F.get("b.parity", i))) for i in range(PARITY_BITS // 64)), F.lit(0))
+    unaligned = (F.col("a.n_items") + F.col("b.n_items")) * ((1 - threshold) / (1 + threshold)) + 1e-6
+    meet = F.array_position(F.zip_with("a.sketch", "b.sketch", lambda x, y: x == y), True) - 1
     return (a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.value") == F.col("b.value"))
                    & (F.col("a.doc_id") < F.col("b.doc_id")) & (F.col("a.component") != F.col("b.component"))
-                   & similar_lengths(F.col("a.n_items"), F.col("b.n_items"), threshold))
-            .select(F.col("a.doc_id").alias("left"), F.col("b.doc_id").alias("right")).distinct()
-            .join(stars, ["left", "right"], "left_anti"))
+                   & similar_lengths(F.col("a.n_items"), F.col("b.n_items"), threshold) & (odd <= unaligned)
+                   & (F.col("a.h") == meet))
+            .select(F.col("a.doc_id").alias("left"), F.col("b.doc_id").alias("right")).distinct())
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int = SKETCHES,
@@ -234,18 +268,21 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, sketches: int
     rows = stored(sketch_documents(docs, sketches, picks), "sketches")
     taking_part = rows.filter((F.col("n_items") > 0) & F.col("doc_id").isNotNull())
     distinct = stored(taking_part.groupBy("copy_a", "copy_b")
-                      .agg(F.min(F.struct("doc_id", "n_items", "sketch")).alias("r"))
-                      .select("copy_a", "copy_b", "r.doc_id", "r.n_items", "r.sketch"), "distinct-texts")
-    buckets = distinct.select("doc_id", "n_items", F.posexplode("sketch").alias("h", "value"))
-    shared, stars = star_pairs(buckets, threshold)
+                      .agg(F.min(F.struct("doc_id", "n_items", "sketch", "parity")).alias("r"))
+                      .select("copy_a", "copy_b", "r.*"), "distinct-texts")
+    shared = shared_buckets(distinct)
     # Texts of the documents that share a bucket with another text.
     texts = stored(docs.select("doc_id", text_or_empty().alias("text"))
-                   .join(shared.select("doc_id").distinct(), "doc_id", "left_semi"), "candidate-texts")
-    links = stored(verified(stars, texts, threshold), "links")
-    groups = connected_components(links)
-    more = stored(verified(rest_pairs(shared, groups, stars, threshold), texts, threshold), "links")
-    groups = connected_components(groups.select(F.col("node").alias("left"), F.col("component").alias("right"))
-                                  .unionByName(more))
+                   .join(small(stored(shared.select("doc_id").distinct(), "sharing")), "doc_id", "left_semi"),
+                   "candidate-texts")
+    groups = None
+    for order in (-F.col("central"), F.xxhash64("doc_id", "h"), None):
+        pairs = (pivot_pairs(shared, groups, order, threshold) if order is not None
+                 else rest_pairs(shared, groups, distinct, threshold))
+        links = stored(verified(stored(pairs, "pairs"), texts, threshold), "links")
+        if groups is not None:
+            links = groups.select(F.col("node").alias("left"), F.col("component").alias("right")).unionByName(links)
+        groups = connected_components(links)
 
     per_text = (distinct.select("copy_a", "copy_b", F.col("doc_id").alias("node")).join(groups, "node", "left")
                 .select("copy_a", "copy_b", F.coalesce("component", "node").alias("component")))
