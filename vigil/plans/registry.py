@@ -566,8 +566,9 @@ def q_logit_scores(spark, sf_dir):
     """L4 + L11: logistic model trained on the first four folds' rows, scores on the last test block."""
     from vigil.operators.cv import assign_date_folds, fold_split
     from vigil.plans.modeling import fit_model, scored_rows
+    from vigil.session import cut_lineage
     df, feats, target = _model_ready(spark, sf_dir)
-    train, test = fold_split(assign_date_folds(df), 5)
+    train, test = fold_split(cut_lineage(assign_date_folds(df)), 5)
     model = fit_model("logit_balanced", train, feats, target, KEYS)
     return scored_rows(model, test, KEYS, target)
 
