@@ -1,11 +1,11 @@
 """Encoding whole texts with a public tokenizer, each distinct chunk once.
 
-A byte-pair tokenizer never merges across a blank that stands between two
-non-blank characters, so a text is cut there and each distinct chunk is encoded
-once while a worker remembers it; the text's ids are the chunks' ids in order.
-Texts with any other white space at a cut (double blanks, blank lines with
-blanks, leading or trailing blanks) go through the library whole when the
-tokenizer keeps white space. Both ways give the ids of encoding the whole text.
+A byte-pair tokenizer never merges across a blank or a line end that stands
+between two non-blank characters, so a text is cut there and each distinct chunk
+is encoded once while a worker remembers it; the text's ids are the chunks' ids
+in order. Texts with any other white space at a cut (double blanks, blank lines,
+leading or trailing blanks) go through the library whole when the tokenizer keeps
+white space. Both ways give the ids of encoding the whole text.
 """
 
 from __future__ import annotations
@@ -16,15 +16,17 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_CHUNKS = 200_000      # chunks a generation holds; two generations are kept
+CACHE_CHUNKS = 400_000      # chunks a generation holds; two generations are kept
 JOIN = 40                   # chunks given to the library as one string
+UNSAFE = "unsafe"           # in place of the ids of a chunk that its neighbours can change
+TAIL = ".,;:!?$%&#*"       # marks that end a word and never merge with it
 MARK = "\x7f"               # stands alone between chunks where blanks leave no trace in the ids
 
 
 class ChunkCache:
     """Chunk -> encoding, in two generations: chunks seen again move to the newer one.
 
-    ``fill(chunks)`` returns the encodings of unseen chunks (None: not to be cut out of a text).
+    ``fill(chunks)`` returns the encodings of unseen chunks (UNSAFE: not to be cut out of a text).
     """
 
     def __init__(self, fill: Callable[[list[str]], list], size: int = CACHE_CHUNKS):
@@ -32,27 +34,33 @@ class ChunkCache:
         self.new: dict = {}
         self.old: dict = {}
 
-    def holding(self, wanted: set[str]) -> dict:
-        """A dict that holds at least ``wanted``."""
+    def lookup(self, texts: list[list[str]]) -> list[list]:
+        """The encodings of every text's chunks."""
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
-        new, old = self.new, self.old
-        unseen = []
-        for w in wanted.difference(new):
-            if w in old:
-                new[w] = old[w]
-            else:
-                unseen.append(w)
+        get = self.new.get
+        found = [list(map(get, chunks)) for chunks in texts]
+        gaps = [[j for j, x in enumerate(f) if x is None] if None in f else () for f in found]
+        unseen = {chunks[j] for chunks, at in zip(texts, gaps) for j in at}
         if unseen:
-            new.update(zip(unseen, self.fill(unseen)))
-        return new
+            new, old = self.new, self.old
+            again = old.keys() & unseen if old else ()
+            for c in again:
+                new[c] = old[c]
+            unseen.difference_update(again)
+            rest = list(unseen)
+            new.update(zip(rest, self.fill(rest)))
+            for f, chunks, at in zip(found, texts, gaps):
+                for j in at:
+                    f[j] = new[chunks[j]]
+        return found
 
 
 class ChunkTokenizer:
     """``encode(texts)`` -> ids of every text as little-endian uint32 bytes.
 
-    ``keeps_blanks``: the blank belongs to the word after it (byte-level BPE);
-    otherwise the tokenizer drops white space.
+    ``keeps_blanks``: the blank belongs to the word after it and line ends are tokens of their
+    own (byte-level BPE); otherwise the tokenizer drops white space.
     """
 
     def __init__(self, path: str, keeps_blanks: bool, cache_chunks: int = CACHE_CHUNKS):
@@ -63,32 +71,34 @@ class ChunkTokenizer:
         self.library.no_truncation()
         self.library.no_padding()
         self.keeps_blanks = keeps_blanks
-        self.cache = ChunkCache(self._blank_chunks if keeps_blanks else self._bare_chunks, cache_chunks)
+        self.bare = ChunkCache(lambda c: self._by_core(c, self.bare, self._alone), cache_chunks)
+        self.led = ChunkCache(lambda c: self._by_core(c, self.led, self._after_blanks), cache_chunks)
+        self.marks: dict[str, bytes] = {}
         if keeps_blanks:
             vocabulary = self.library.get_vocab(with_added_tokens=True)
-            blank = self._ids([" "])[0]
-            lead = self.library.id_to_token(int(blank[0]))[0]
+            lead = self.library.id_to_token(int(self._ids([" "])[0][0]))[0]
             self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             self.opens[[i for t, i in vocabulary.items() if t.startswith(lead)]] = True
+            self.line_end = self._ids(["\n"])[0].tobytes()
         else:
             self.mark = self._ids([MARK])[0]
             if len(self.mark) != 1:
                 raise ValueError("the chunk mark must be one token")
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        parts = [t.split(" ") for t in texts]
-        wanted: set[str] = set()
-        for p in parts:
-            wanted.update(p[1:] if self.keeps_blanks else p)
-        held = self.cache.holding(wanted)
         if not self.keeps_blanks:
-            return [b"".join([held[x] for x in p]) for p in parts]
-        firsts = self._ids([p[0] for p in parts])
-        out = []
-        for i, p in enumerate(parts):
-            ids = [held[x] for x in p[1:]]
-            out.append(None if None in ids or ids and self._unsafe(p[0]) else firsts[i].tobytes() + b"".join(ids))
-        whole = [i for i, ids in enumerate(out) if ids is None]
+            return [b"".join(f) for f in self.bare.lookup([t.replace("\n", " ").split(" ") for t in texts])]
+        lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
+        heads = self.bare.lookup([[x.pop(0) for x in t] for t in lines])
+        rest = iter(self.led.lookup([x for t in lines for x in t]))
+        out, whole = [], []
+        for i, firsts in enumerate(heads):
+            ids = [[h, *r] for h, r in zip(firsts, rest)]
+            if any(UNSAFE in x for x in ids):
+                whole.append(i)
+                out.append(b"")
+            else:
+                out.append(self.line_end.join([b"".join(x) for x in ids]))
         for i, ids in zip(whole, self._ids([texts[i] for i in whole])):
             out[i] = ids.tobytes()
         return out
@@ -97,33 +107,59 @@ class ChunkTokenizer:
         return [np.array(e.ids, dtype="<u4")
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    @staticmethod
-    def _unsafe(chunk: str) -> bool:
-        return not chunk or chunk[0].isspace() or chunk[-1].isspace()
+    def _by_core(self, chunks: list[str], cache: ChunkCache, encode: Callable) -> list[bytes | str]:
+        """Letters with marks behind them are the ids of the letters and those of the marks."""
+        found, cores, split = {}, {}, []
+        for c in chunks:
+            core = c.rstrip(TAIL)
+            if len(core) == len(c) or not core.isalpha():
+                cores[c] = None
+                continue
+            split.append((c, core))
+            known = cache.new.get(core) or cache.old.get(core)
+            if known is None:
+                cores[core] = None
+            else:
+                found[core] = known
+        found.update(encode(list(cores)))
+        for c, core in split:
+            tail = c[len(core):]
+            if tail not in self.marks:
+                if len(self.marks) > 10_000:
+                    self.marks.clear()
+                self.marks[tail] = self._ids([tail])[0].tobytes()
+            found[c] = found[core] + self.marks[tail]
+        return [found[c] for c in chunks]
+
+    def _unsafe(self, chunk: str) -> bool:
+        return self.keeps_blanks and (not chunk or chunk[0].isspace() or chunk[-1].isspace())
 
-    def _blank_chunks(self, chunks: list[str]) -> list[bytes | None]:
-        safe = [c for c in chunks if not self._unsafe(c)]
-        found = {}
+    def _after_blanks(self, chunks: list[str]) -> dict[str, bytes | str]:
+        found = {c: UNSAFE for c in chunks if self._unsafe(c)}
+        safe = [c for c in chunks if c not in found]
         joined = [" " + " ".join(safe[a:a + JOIN]) for a in range(0, len(safe), JOIN)]
         for at, ids in zip(range(0, len(safe), JOIN), self._ids(joined)):
             cuts = [*np.flatnonzero(self.opens[ids]).tolist(), len(ids)]
             raw = ids.tobytes()
             for c, lo, hi in zip(safe[at:at + JOIN], cuts[:-1], cuts[1:], strict=True):
                 found[c] = raw[4 * lo:4 * hi]
-        return [found.get(c) for c in chunks]
-
-    def _bare_chunks(self, chunks: list[str]) -> list[bytes]:
-        plain = [c for c in chunks if MARK not in c]
-        found = {}
-        joined = [f" {MARK} ".join(plain[a:a + JOIN]) for a in range(0, len(plain), JOIN)]
-        for at, ids in zip(range(0, len(plain), JOIN), self._ids(joined)):
-            marks = np.flatnonzero(ids == self.mark[0]).tolist()
-            raw = ids.tobytes()
-            for c, lo, hi in zip(plain[at:at + JOIN], [-1, *marks], [*marks, len(ids)], strict=True):
-                found[c] = raw[4 * lo + 4:4 * hi]
-        rest = [c for c in chunks if c not in found]
+        return found
+
+    def _alone(self, chunks: list[str]) -> dict[str, bytes | str]:
+        found = {c: UNSAFE for c in chunks if self._unsafe(c)}
+        if self.keeps_blanks:
+            rest = [c for c in chunks if c not in found]
+        else:
+            plain = [c for c in chunks if MARK not in c]
+            joined = [f" {MARK} ".join(plain[a:a + JOIN]) for a in range(0, len(plain), JOIN)]
+            for at, ids in zip(range(0, len(plain), JOIN), self._ids(joined)):
+                marks = np.flatnonzero(ids == self.mark[0]).tolist()
+                raw = ids.tobytes()
+                for c, lo, hi in zip(plain[at:at + JOIN], [-1, *marks], [*marks, len(ids)], strict=True):
+                    found[c] = raw[4 * lo + 4:4 * hi]
+            rest = [c for c in chunks if c not in found]
         found.update((c, ids.tobytes()) for c, ids in zip(rest, self._ids(rest)))
-        return [found[c] for c in chunks]
+        return found
 
 
 @lru_cache(maxsize=4)
