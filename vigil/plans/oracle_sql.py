@@ -143,7 +143,11 @@ def event_panel_ctes(variables=EVENT_VARIABLES) -> list[str]:
 
 
 # ---- scalar parsers, DuckDB dialect -------------------------------------------
-from vigil.functions.parse import DECIMAL_RE  # noqa: E402
+
+def _plain_number(s: str) -> str:
+    """A double where the text has only a number's characters, or spells an infinity, and casts."""
+    spelt = ", ".join(f"'{sign}{word}'" for sign in ("", "+", "-") for word in ("inf", "infinity"))
+    return f"CASE WHEN regexp_matches({s}, '^[-+.0-9eE]+$') OR lower({s}) IN ({spelt}) THEN TRY_CAST({s} AS DOUBLE) END"
 
 
 def strip_ws(s: str) -> str:
@@ -154,8 +158,7 @@ def to_number(s: str, comma: bool = True, dash: bool = False) -> str:
     t = strip_ws(f"CAST({s} AS VARCHAR)")
     missing = f"{t} IN ('', 'nan', 'None')" + (f" OR {t} = '-'" if dash else "")
     u = f"replace({t}, ',', '.')" if comma else t
-    return (f"CASE WHEN NOT ({missing}) THEN CASE WHEN regexp_matches({u}, '{DECIMAL_RE}') "
-            f"THEN TRY_CAST({u} AS DOUBLE) END END")
+    return f"CASE WHEN NOT ({missing}) THEN {_plain_number(u)} END"
 
 
 def yymmdd_date(s: str) -> str:
@@ -174,7 +177,7 @@ def iso_date(s: str) -> str:
 
 def excel_date(s: str) -> str:
     t = strip_ws(s)
-    num = f"CASE WHEN regexp_matches({t}, '{DECIMAL_RE}') THEN TRY_CAST({t} AS DOUBLE) END"
+    num = _plain_number(t)
     return (f"CASE WHEN ({num}) IS NOT NULL THEN CASE WHEN ({num}) BETWEEN -693593.0 AND 2958465.0 THEN "
             f"DATE '1899-12-30' + CAST(floor({num}) AS INTEGER) END ELSE {iso_date(t)} END")
 
