@@ -124,10 +124,11 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_blanks:
         tok = chunk_tokenizer(tokenizer_path, keeps_blanks)
         shard, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
+            for lo in range(0, batch.num_rows, 256):    # few texts at once as Python strings
+                part = batch.slice(lo, 256)
+                keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
                 rows = []
-                for key, ids in zip(keys[lo:lo + 256], tok.encode(texts[lo:lo + 256])):
+                for key, ids in zip(keys, tok.encode(texts)):
                     ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                         part = ids[at:at + 4 * capacity]

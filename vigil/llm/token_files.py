@@ -85,9 +85,10 @@ def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: i
                 [pa.array(c, t) for c, t in zip(row, ARROW_BLOCK.types)], schema=ARROW_BLOCK)
 
         for batch in batches:
-            keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for lo in range(0, len(texts), 256):
-                for key, enc in zip(keys[lo:lo + 256], tok.encode(texts[lo:lo + 256])):
+            for lo in range(0, batch.num_rows, 256):    # few texts at once as Python strings
+                part = batch.slice(lo, 256)
+                keys, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
+                for key, enc in zip(keys, tok.encode(texts)):
                     ids += (enc, end)
                     doc_ids.append(key)
                     lengths.append(len(enc) // 4 + 1)

@@ -16,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 
-CACHE_CHUNKS = 400_000      # chunks a generation holds; two generations are kept
+CACHE_CHUNKS = 100_000      # chunks a generation holds; two generations are kept
 JOIN = 40                   # chunks given to the library as one string
 UNSAFE = "unsafe"           # in place of the ids of a chunk that its neighbours can change
 TAIL = ".,;:!?$%&#*"       # marks that end a word and never merge with it
