@@ -70,6 +70,7 @@ class ChunkTokenizer:
         self.library.encode_special_tokens = True   # their strings in a text are ordinary text
         self.library.no_truncation()
         self.library.no_padding()
+        self.normal = self.library.normalizer.normalize_str if self.library.normalizer else str
         self.keeps_blanks = keeps_blanks
         self.bare = ChunkCache(lambda c: self._by_core(c, self.bare, self._alone), cache_chunks)
         self.led = ChunkCache(lambda c: self._by_core(c, self.led, self._after_blanks), cache_chunks)
@@ -108,11 +109,14 @@ class ChunkTokenizer:
                 for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _by_core(self, chunks: list[str], cache: ChunkCache, encode: Callable) -> list[bytes | str]:
-        """Letters with marks behind them are the ids of the letters and those of the marks."""
+        """Letters with marks behind them are the ids of the letters and those of the marks.
+
+        Not where a letter's normal form has a combining mark, which goes with the marks behind it.
+        """
         found, cores, split = {}, {}, []
         for c in chunks:
             core = c.rstrip(TAIL)
-            if len(core) == len(c) or not core.isalpha():
+            if len(core) == len(c) or not core.isalpha() or not (core.isascii() or self.normal(core).isalpha()):
                 cores[c] = None
                 continue
             split.append((c, core))
