@@ -116,12 +116,12 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_blanks: bool,
-               capacity: int = CAPACITY) -> DataFrame:
+               capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
     """One row per piece of every document, with its rank among the shard's pieces of that length."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = chunk_tokenizer(tokenizer_path, keeps_blanks)
+        tok = chunk_tokenizer(tokenizer_path, keeps_blanks, added_tokens)
         shard, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):    # few texts at once as Python strings
@@ -142,10 +142,13 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_blanks:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, keeps_blanks: bool = False,
-                   capacity: int = CAPACITY) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``docs``."""
+                   capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``docs``.
+
+    ``added_tokens``: strings of added tokens in a text become their ids, as the library does by default.
+    """
     spark = docs.sparkSession
-    pieces = stored(cut_pieces(docs, tokenizer_path, end_id, keeps_blanks, capacity), "pieces")
+    pieces = stored(cut_pieces(docs, tokenizer_path, end_id, keeps_blanks, capacity, added_tokens), "pieces")
     per_shard = pieces.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in
                  per_shard.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows

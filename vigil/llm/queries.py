@@ -19,7 +19,8 @@ def tokenizer_file(name: str) -> str:
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.packing import pack_documents
-    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), WORD_BPE_END)
+    return pack_documents(read_table(spark, sf_dir, "documents"), tokenizer_file(WORD_BPE), WORD_BPE_END,
+                          added_tokens=True)
 
 
 def op5_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.token_files import read_checksums, write_token_files
     path = fresh_path(spark, "token-files")
     write_token_files(read_table(spark, sf_dir, "documents"), path, tokenizer_file(BYTE_BPE), BYTE_BPE_END,
-                      BYTE_BPE_IDS)
+                      BYTE_BPE_IDS, added_tokens=True)
     return read_checksums(spark, path)
 
 

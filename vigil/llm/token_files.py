@@ -59,17 +59,18 @@ def unpack_ids(packed: bytes, bits: int, n: int, start: int = 0) -> np.ndarray:
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, vocabulary: int,
-                      keeps_blanks: bool = True, block_ids: int = BLOCK_IDS) -> None:
+                      keeps_blanks: bool = True, block_ids: int = BLOCK_IDS, added_tokens: bool = False) -> None:
     """Encode every whole text, append ``end_id``, write blocks in ascending doc_id order.
 
     One range shuffle by doc_id puts shard numbers in document order; everything else
-    is one pass over each shard.
+    is one pass over each shard. ``added_tokens``: strings of added tokens in a text become
+    their ids, as the library does by default.
     """
     bits = bits_for(max(vocabulary, end_id + 1))
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = chunk_tokenizer(tokenizer_path, keeps_blanks)
+        tok = chunk_tokenizer(tokenizer_path, keeps_blanks, added_tokens)
         shard = TaskContext.get().partitionId()
         at = number = size = 0
         ids, doc_ids, lengths = [], [], []

@@ -60,17 +60,22 @@ class ChunkTokenizer:
     """``encode(texts)`` -> ids of every text as little-endian uint32 bytes.
 
     ``keeps_blanks``: the blank belongs to the word after it and line ends are tokens of their
-    own (byte-level BPE); otherwise the tokenizer drops white space.
+    own (byte-level BPE); otherwise the tokenizer drops white space. ``added_tokens``: their
+    strings in a text become their ids, as the library does by default; otherwise they are
+    ordinary text.
     """
 
-    def __init__(self, path: str, keeps_blanks: bool, cache_chunks: int = CACHE_CHUNKS):
+    def __init__(self, path: str, keeps_blanks: bool, cache_chunks: int = CACHE_CHUNKS, added_tokens: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"      # Spark spreads the work
         from tokenizers import Tokenizer
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True   # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added_tokens
         self.library.no_truncation()
         self.library.no_padding()
         self.normal = self.library.normalizer.normalize_str if self.library.normalizer else str
+        # a text that may hold an added token goes through the library whole; "" is in every text
+        self.added = {"" if a.normalized and self.library.normalizer else a.content
+                      for a in self.library.get_added_tokens_decoder().values()} if added_tokens else ()
         self.keeps_blanks = keeps_blanks
         self.bare = ChunkCache(lambda c: self._by_core(c, self.bare, self._alone), cache_chunks)
         self.led = ChunkCache(lambda c: self._by_core(c, self.led, self._after_blanks), cache_chunks)
@@ -87,6 +92,16 @@ class ChunkTokenizer:
                 raise ValueError("the chunk mark must be one token")
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        held = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if not held:
+            return self._by_chunks(texts)
+        apart = set(held)
+        out = self._by_chunks(["" if i in apart else t for i, t in enumerate(texts)])
+        for i, ids in zip(held, self._ids([texts[i] for i in held])):
+            out[i] = ids.tobytes()
+        return out
+
+    def _by_chunks(self, texts: list[str]) -> list[bytes]:
         if not self.keeps_blanks:
             return [b"".join(f) for f in self.bare.lookup([t.replace("\n", " ").split(" ") for t in texts])]
         lines = [[x.split(" ") for x in t.split("\n")] for t in texts]
@@ -167,6 +182,6 @@ class ChunkTokenizer:
 
 
 @lru_cache(maxsize=4)
-def chunk_tokenizer(path: str, keeps_blanks: bool) -> ChunkTokenizer:
+def chunk_tokenizer(path: str, keeps_blanks: bool, added_tokens: bool = False) -> ChunkTokenizer:
     """One tokenizer, and so one cache, per Python worker."""
-    return ChunkTokenizer(path, keeps_blanks)
+    return ChunkTokenizer(path, keeps_blanks, added_tokens=added_tokens)
