@@ -1,16 +1,18 @@
 """Format-preserving pseudonyms for personal data, as DataFrame expressions only.
 
 What is found and validated: e-mail addresses, IPv4 addresses (octets up to 255), payment card
-numbers (13-19 digits with a right Luhn digit), IBANs (mod-97), telephone numbers with an
+numbers (13-19 digits with a right Luhn digit), IBANs (mod-97, in their country's length), telephone numbers with an
 international prefix or in 3-3-4 grouping, 3-2-4 grouped identity numbers, calendar dates of
-1900-2099, and the value after a key word such as ``token =``. A number that fails its check is left alone.
+1900-2099 (day and month of one or two digits), and the whole value after a key word such as ``token =``. A number that fails its check is left alone.
 
 Each value is replaced by a keyed permutation within its own format: an unbalanced Feistel
 network whose round function is SHA-256 of key, kind, round and the other half. Digits stay
-digits and letters stay letters of their case; separators and lengths stay; card numbers get their
+digits and letters stay letters of their case; separators and lengths stay (a date with a one-digit day or month gets one
+without leading zeros); card numbers get their
 new Luhn digit and IBANs their new check digits; dates stay dates and addresses addresses. Equal
 values get equal pseudonyms in all documents, whatever their separators or date format, and a
-holder of the key can undo it (month-first dates excepted: their pseudonyms may read as day-first).
+holder of the key can undo it (month-first dates excepted: their pseudonyms may read as day-first; the leading zeros of dates
+written without them may come back).
 
 Defined results: null text stays null; texts without such values come back as they are; rows are
 kept one for one; an empty table gives no rows.
@@ -26,11 +28,27 @@ from pyspark.sql import functions as F
 ROUNDS = 8
 KEY = "pseudonyms-1"            # default key of the registered query; pass a secret one in production
 
-YEAR, MONTH, DAY = r"(?:19|20)\d\d", r"(?:0[1-9]|1[0-2])", r"(?:0[1-9]|[12]\d|3[01])"
+YEAR, MONTH, DAY = r"(?:19|20)\d\d", r"(?:0?[1-9]|1[0-2])", r"(?:0?[1-9]|[12]\d|3[01])"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+# The length of an IBAN by country (registered ones, and those in use without registration).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+    28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU"}
+
+
+def _iban_of(length: int, countries: str) -> str:
+    full, rest = divmod(length - 4, 4)
+    return (rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{full}}}"
+            + (rf" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+
+
+IBAN = "|".join(_iban_of(n, c) for n, c in IBAN_LENGTHS.items())
 KINDS = {
     "secret": r"(?i:(?<![a-z0-9])(?:token|secret|password|api[_-]?key|access[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?"
-              r"[A-Za-z0-9_+/-]{16,128})",
+              r"[A-Za-z0-9_+/-]{16,})",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9](?:[A-Za-z0-9-]{0,62}\.){1,8}[A-Za-z]{2,24}",
     "ipv4": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?!\d|\.\d)",
     "date": rf"(?<![\d/.-])(?:{YEAR}(?<sep>[/.-]){MONTH}\k<sep>{DAY}|(?:{DAY}(?<sepb>[/.-]){MONTH}|{MONTH}(?<sepc>[/.-]){DAY})"
@@ -38,7 +56,8 @@ KINDS = {
     "phone": r"(?<![\d+])(?:\+1[ .-]?(?:\(\d{3}\)|\d{3})[ .-]?\d{3}[ .-]?\d{4}|\(\d{3}\) ?\d{3}[.-]\d{4}"
              r"|\d{3}[.-]\d{3}[.-]\d{4}|\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4})(?!\d)",
     "identity": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{IBAN}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)"
+            r"(?![A-Za-z0-9])",
     "card": r"(?<![\d.])(?:\d{13,19}|\d{4}(?<sepd>[ -])\d{4}\k<sepd>\d{4}\k<sepd>\d{1,7}"
             r"|\d{4}(?<sepe>[ -])\d{6}\k<sepe>\d{5})(?!\d|\.\d)",
 }
@@ -176,13 +195,14 @@ def _date(m: Column, key: str, undo: bool) -> Column:
     part = F.split(m, r"[/.-]")
     year_first = F.length(part[0]) == 4
     def day(y, mo, d):
-        return F.try_to_date(F.concat_ws("-", y, mo, d), "yyyy-MM-dd")
+        return F.try_to_date(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
     iso, dmy, mdy = (day(part[0], part[1], part[2]), day(part[2], part[1], part[0]), day(part[2], part[0], part[1]))
     found = F.when(year_first, iso).otherwise(F.coalesce(dmy, mdy))
     layout = F.when(year_first, "ymd").when(dmy.isNotNull(), "dmy").otherwise("mdy")
     new = F.date_add(F.lit(FIRST_DAY).cast("date"), permute_number(
         F.datediff(found, F.lit(FIRST_DAY).cast("date")).cast("long"), 17, DAYS // 17, "date", key, undo=undo).cast("int"))
-    text = let(F.split(F.date_format(new, "yyyy-MM-dd"), "-"), lambda p: F.when(
+    plain = F.when(m.rlike(r"(?<!\d)\d(?!\d)"), F.date_format(new, "yyyy-M-d")).otherwise(F.date_format(new, "yyyy-MM-dd"))
+    text = let(F.split(plain, "-"), lambda p: F.when(
         layout == "ymd", F.concat_ws("-", p[0], p[1], p[2])).when(
         layout == "dmy", F.concat_ws("-", p[2], p[1], p[0])).otherwise(F.concat_ws("-", p[1], p[2], p[0])))
     return F.when(found.isNull(), m).otherwise(F.replace(text, F.lit("-"), sep))
@@ -206,7 +226,7 @@ def _email(m: Column, key: str, undo: bool) -> Column:
 
 
 def _secret(m: Column, key: str, undo: bool) -> Column:
-    value = F.regexp_extract(m, r"[A-Za-z0-9_+/-]{16,128}$", 0)
+    value = F.regexp_extract(m, r"[A-Za-z0-9_+/-]{16,}$", 0)
     return F.concat(F.substr(m, F.lit(1), F.length(m) - F.length(value)),
                     permute_text(value, "secret", key, undo=undo))
 
