@@ -104,7 +104,10 @@ def shingle_items(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(items: np.ndarray, shingles: np.ndarray, factors: np.ndarray, picks: int) -> np.ndarray:
-    """One 64-bit value per hash function: its smallest items' shingles in text order."""
+    """One 64-bit value per hash function: its smallest items' shingles in text order.
+
+    The shortest documents, where hashes would miss too often, also get every choice of ``picks`` items.
+    """
     n = len(items)
     if n <= picks:
         chosen = np.broadcast_to(np.arange(n), (len(factors), n))
@@ -118,6 +121,17 @@ def sketch(items: np.ndarray, shingles: np.ndarray, factors: np.ndarray, picks:
     value = np.zeros(len(factors), dtype=np.uint64)
     for i in range(chosen.shape[1]):
         value = _mix(value * np.uint64(_BASE) + shingles[chosen[:, i]])
+    if picks <= n <= picks + 1:
+        value = np.concatenate([value, _without_one(shingles, picks)])
+    return value
+
+
+def _without_one(shingles: np.ndarray, picks: int) -> np.ndarray:
+    """One value per place left out of ``picks`` + 1 items; ``picks`` items have theirs at every place."""
+    value = np.zeros(picks + 1, dtype=np.uint64)
+    for i in range(picks):
+        at = i + (np.arange(picks + 1) <= i) if len(shingles) > picks else np.full(picks + 1, i)
+        value = _mix(value * np.uint64(_BASE) + shingles[at])
     return value
 
 
