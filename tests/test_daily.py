@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from vigil.operators.daily import (align_variables, complete_calendar, daily_mean, interpolate_time,
+from vigil.operators.daily import (align_variables, complete_calendar, daily_mean, filled_calendar, interpolate_time,
                                    long_values)
 
 D0 = dt.date(2024, 3, 1)
@@ -48,3 +48,18 @@ def test_alignment_uses_row_presence_not_values(spark):
     out = align_variables(complete_calendar(daily, ["s"], ["a", "b"]), ["s"], ["a", "b"]).collect()
     assert sorted(r.date for r in out) == [d(k) for k in range(2, 6)]
     assert {r.s for r in out} == {1}
+
+
+def test_one_pass_fill_equals_the_three_steps(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for s in range(12):
+        for k in sorted(rng.choice(60, 25, replace=False).tolist()):
+            a, b = (None if rng.random() < 0.3 else float(rng.normal()) for _ in range(2))
+            rows.append((s, d(k), a, int(rng.random() < 0.8) if s != 3 else 0, b, 1))
+    df = spark.createDataFrame(rows, "s int, date date, a double, _obs_a long, b double, _obs_b long")
+    steps = interpolate_time(align_variables(complete_calendar(df, ["s"], ["a", "b"]), ["s"], ["a", "b"]),
+                             ["s"], ["a", "b"])
+    want = sorted((r.s, r.date, r.a, r.b) for r in steps.fillna(-99.0).collect())
+    got = sorted((r.s, r.date, r.a, r.b) for r in filled_calendar(df, ["s"], ["a", "b"]).fillna(-99.0).collect())
+    assert len(want) > 100 and got == want

@@ -137,6 +137,38 @@ def interpolate_time(df: DataFrame, keys, columns, date_col: str = "date") -> Da
     return df.select(*rest, *out).select(*df.columns)
 
 
+def filled_calendar(daily: DataFrame, keys, variables, date_col: str = "date") -> DataFrame:
+    """J3 + J1 + W9 in one pass: what ``interpolate_time(align_variables(complete_calendar(...)))`` gives.
+
+    All windows run over the observed days only. The days in between are generated last: from an
+    observed day up to the next one, a variable's known neighbours are the same, so each observed
+    day carries them and the generated days are plain arithmetic.
+    """
+    keys = as_list(keys)
+    whole = Window.partitionBy(*keys)
+    d = F.col(date_col)
+    seen = [F.when(F.col(obs_col(v)) > 0, d) for v in variables]
+    lows, highs = [F.min(x).over(whole) for x in seen], [F.max(x).over(whole) for x in seen]
+    bounds = daily.select("*", F.array(*lows).alias("_lows"), F.array(*highs).alias("_highs"))
+    inside = (F.forall("_lows", lambda x: x.isNotNull())
+              & d.between(F.array_max("_lows"), F.array_min("_highs")))
+    rows = bounds.where(inside)
+    before = whole.orderBy(d.asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = whole.orderBy(d.desc()).rowsBetween(Window.unboundedPreceding, -1)
+    known = {v: F.when(F.col(v).isNotNull(), F.struct(d.alias("d"), F.col(v).alias("v"))) for v in variables}
+    near = rows.select(*keys, d.alias("_day"), F.lead(d).over(whole.orderBy(d.asc())).alias("_next"),
+                       *[F.last(known[v], ignorenulls=True).over(before).alias(f"_b_{v}") for v in variables],
+                       *[F.last(known[v], ignorenulls=True).over(after).alias(f"_a_{v}") for v in variables])
+    days = near.select("*", F.explode(F.sequence("_day", F.coalesce(F.date_sub("_next", 1), F.col("_day")))).alias(date_col))
+    out = []
+    for v in variables:
+        prev, nxt = F.col(f"_b_{v}"), F.col(f"_a_{v}")
+        slope = (nxt["v"] - prev["v"]) / F.datediff(nxt["d"], prev["d"])
+        out.append(F.when(prev["d"] == d, prev["v"]).when(prev.isNull(), nxt["v"]).when(nxt.isNull(), prev["v"])
+                   .otherwise(slope * F.datediff(d, prev["d"]) + prev["v"]).alias(v))
+    return days.select(*keys, date_col, *out)
+
+
 def drop_incomplete(df: DataFrame, columns) -> DataFrame:
     """Drop rows with a NULL in any of ``columns``."""
     return df.dropna(subset=list(columns))

@@ -75,22 +75,28 @@ def trim_one(df: DataFrame, keys, column: str, lo: float = Q_LOW, hi: float = Q_
     return staged.where(F.col(column).between(F.col("_qlo"), F.col("_qhi"))).drop("_qlo", "_qhi")
 
 
+def _bound(value, use):
+    """``use(value)`` with ``value`` computed once, whatever number of times ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _kept(rows, column: str, lo: float, hi: float):
     """The structs of an array whose ``column`` lies between the array's own quantiles of it.
 
-    Intermediate values are bound through one-element arrays, so that each is computed once."""
-    def bound(sorted_values, q):
+    ``rows`` is itself the step before, so it is bound too: named twice, seven steps would be
+    computed 2^7 times."""
+    def quantile(sorted_values, q):
         n = F.size(sorted_values)
         at, g = _virtual_index(n, q)
         pick = lambda i: F.element_at(sorted_values, (F.least(F.greatest(i, F.lit(0)), n - 1) + 1).cast("int"))
         return F.when(n > 0, _lerp(pick(at), pick(at + 1), g))
 
-    def within(ends):
-        return F.filter(rows, lambda r: r[column].between(ends["lo"], ends["hi"]))
+    def step(given):
+        values = F.sort_array(F.filter(F.transform(given, lambda r: r[column]), lambda v: v.isNotNull()))
+        ends = _bound(values, lambda v: F.struct(quantile(v, lo).alias("lo"), quantile(v, hi).alias("hi")))
+        return _bound(ends, lambda e: F.filter(given, lambda r: r[column].between(e["lo"], e["hi"])))
 
-    values = F.sort_array(F.filter(F.transform(rows, lambda r: r[column]), lambda v: v.isNotNull()))
-    ends = F.element_at(F.transform(F.array(values), lambda v: F.struct(bound(v, lo).alias("lo"), bound(v, hi).alias("hi"))), 1)
-    return F.element_at(F.transform(F.array(ends), within), 1)
+    return _bound(rows, step)
 
 
 def trim_sequential(df: DataFrame, keys, columns, lo: float = Q_LOW, hi: float = Q_HIGH) -> DataFrame:

@@ -4,9 +4,9 @@ rows only, sequential outlier trimming, category and its value 1-3 days ahead,
 plus the z-scored copy and scaler table.
 
 Physical shape: one partial+final hash aggregate keyed by (series, day), then
-one exchange on the series keys; every later step (calendar explode, alignment
-bounds, interpolation, 7 trimming quantiles, look-ahead) is a window or
-generator on that same partitioning. No joins, no broadcast.
+one exchange on the series keys; every later step (alignment bounds, neighbours
+for the interpolation, calendar explode, 7 trimming quantiles, look-ahead) is a window,
+generator or array step on that same partitioning. No joins, no broadcast.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.functions.util import as_list
-from vigil.operators.daily import (align_variables, complete_calendar, daily_mean,
-                                   drop_incomplete, interpolate_time, long_values)
+from vigil.operators.daily import daily_mean, drop_incomplete, filled_calendar, long_values
 from vigil.operators.features import BASE_NUMERIC
 from vigil.operators.horizon import add_category, add_future_categories
 from vigil.operators.quality import trim_sequential, zscore_apply, zscore_fit
@@ -44,10 +43,7 @@ def daily_panel(obs: DataFrame, keys, date_col: str, variables=BASE_NUMERIC,
     else:
         values, present = {v: F.col(v) for v in variables}, None
     daily = by_series(daily_mean(obs, keys, date_col, values, present), keys)
-    cal = complete_calendar(daily, keys, variables)
-    aligned = align_variables(cal, keys, variables)
-    filled = interpolate_time(aligned, keys, variables)
-    return drop_incomplete(filled, variables)
+    return drop_incomplete(filled_calendar(daily, keys, variables), variables)
 
 
 def clean_panel(obs: DataFrame, keys, date_col: str, variables=BASE_NUMERIC,
