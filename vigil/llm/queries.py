@@ -73,6 +73,11 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_neighbours(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.filter_audit import audit_filters, failing_relations
+    return audit_filters(spark, *failing_relations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_cotraining": op1_cotraining,
     "op2_line_dedup": op2_line_dedup,
@@ -84,6 +89,7 @@ QUERIES = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 ORACLE_SQL: dict[str, str] = {}
@@ -156,3 +162,42 @@ SELECT d.doc_id, CASE WHEN g.gone IS NULL THEN d.text ELSE coalesce(k.text, '')
        coalesce(len(g.gone), 0) AS n_removed
 FROM documents d LEFT JOIN gone g ON d.doc_id = g.doc_id LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+ORACLE_SQL["op13_filter_audit"] = """
+WITH doc AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents
+), word AS (
+  SELECT *, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first FROM doc
+), label AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), mask AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * len(list_distinct(words)) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN doc_id > first THEN 16 ELSE 0 END AS fails
+  FROM word LEFT JOIN label USING (doc_id)
+), pattern AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM mask GROUP BY part, fails
+), letter AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS k, unnest([1, 2, 4, 8, 16]) AS bit
+), orders AS (
+  SELECT a.k || b.k || c.k || d.k || e.k AS filter_order, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+  FROM letter a, letter b, letter c, letter d, letter e WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5
+), steps AS (
+  SELECT filter_order, step, bits[step] AS bit, coalesce(list_sum(bits[1:step - 1]), 0)::BIGINT AS before
+  FROM orders, range(1, 6) t(step)
+), counted AS (
+  SELECT part, filter_order, step, bit,
+    coalesce(sum(n) FILTER (fails & (before | bit) = 0), 0) AS kept,
+    coalesce(sum(n) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS removed,
+    coalesce(sum(n) FILTER (fails & before <> 0 AND fails & bit <> 0), 0) AS redundant,
+    coalesce(sum(n) FILTER (fails = bit), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS good_lost,
+    coalesce(sum(toxic) FILTER (fails & before = 0 AND fails & bit <> 0), 0) AS toxic_lost
+  FROM pattern, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM counted
+"""
