@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vigil.llm.common import fresh_path
 from vigil.sources.tables import read_table
@@ -73,6 +74,18 @@ def op8_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return forest_neighbours(spark, read_table(spark, sf_dir, "embeddings"))
 
 
+def op11_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.near_vectors import near_vectors
+    return near_vectors(spark, read_table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vigil.llm.hard_negatives import hard_negatives
+    rows = read_table(spark, sf_dir, "embeddings")
+    relabelled = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(spark, rows.withColumn("label", relabelled))
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vigil.llm.filter_audit import audit_filters, failing_relations
     return audit_filters(spark, *failing_relations(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")))
@@ -89,6 +102,8 @@ QUERIES = {
     "op8_prefix_forest": op8_prefix_forest,
     "op9_warc": op9_warc,
     "op10_token_files": op10_token_files,
+    "op11_inverted_multi_index": op11_inverted_multi_index,
+    "op12_hard_negatives": op12_hard_negatives,
     "op13_filter_audit": op13_filter_audit,
 }
 
@@ -201,3 +216,44 @@ SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed:
   (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
 FROM counted
 """
+
+ORACLE_SQL["op11_inverted_multi_index"] = """
+WITH RECURSIVE ok AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.9
+), reached(a, b) AS (
+  SELECT a, b FROM link UNION SELECT r.a, l.b FROM reached r JOIN link l ON r.b = l.a
+), least AS (
+  SELECT a, min(b) AS b FROM reached GROUP BY a
+), links AS (
+  SELECT a, count(*) AS n FROM link GROUP BY a
+)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, least(e.vec_id, coalesce(m.b, e.vec_id)) AS component_id,
+  e.vec_id <= coalesce(m.b, e.vec_id) AS kept
+FROM embeddings e LEFT JOIN links l ON l.a = e.vec_id LEFT JOIN least m ON m.a = e.vec_id
+"""
+
+ORACLE_SQL["op12_hard_negatives"] = """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS vec
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id AS vec_id, q.label = c.label AS same,
+         CAST(list_sum(list_transform(list_zip(q.vec, c.vec), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), positive AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+), ranked AS (
+  SELECT anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id) AS rank
+  FROM positive JOIN s USING (anchor_id)
+  WHERE NOT same AND 80 * positive_score <= 100 * score AND 100 * score <= 100 * positive_score
+)
+SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= 5
+"""

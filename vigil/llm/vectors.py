@@ -89,3 +89,14 @@ def best_per_query(found: DataFrame, k: int, descending: bool) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(order, "vec_id")
     return (found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
             .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score"))
+
+
+def meet(shards: DataFrame, blocks: DataFrame) -> DataFrame:
+    """(shard, block): a stated set of query blocks against all index shards, in one equi-join.
+
+    ``shards`` has a ``slot``, the task that wrote it; a copy of every block goes to each slot.
+    """
+    last = shards.agg(F.max("slot")).first()[0]
+    dealt = shards.select("slot", F.struct(*[c for c in shards.columns if c != "slot"]).alias("shard"))
+    spread = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(last or 0))).alias("slot"), F.struct("*").alias("block"))
+    return dealt.join(spread, "slot").select("shard", "block")
