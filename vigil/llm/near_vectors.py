@@ -237,34 +237,45 @@ def compared(blocks: DataFrame, second: int, exact: str, threshold: float) -> Da
 
     def dealt(kind: str, own: str, other: str) -> DataFrame:
         salt = F.pmod(F.xxhash64("balls"), F.col(own)).cast("int").alias(own)
-        block = F.struct(*names, *(["visited"] if kind == "visit" else [])).alias(kind)
         return (blocks.filter(F.col("kind") == kind).join(counts, "code").filter((F.col("s") > 0) & (F.col("t") > 0))
-                .select("code", block, salt, F.col(other).alias("_o")).select("code", kind, own, F.explode(
-                    F.sequence(F.lit(0), F.col("_o") - 1)).alias(other)))
-
-    pairs = dealt("filed", "s", "t").join(dealt("visit", "t", "s"), ["code", "s", "t"]).select("visit", "filed")
-
-    def opened(block: dict) -> dict:
-        n = block["n"]
-        leaders = np.frombuffer(block["leaders"], exact).astype(np.float64).reshape(n, -1)
-        out = {"balls": np.frombuffer(block["balls"], "<i8"), "sizes": np.frombuffer(block["sizes"], "<i8"),
-               "radii": np.frombuffer(block["radii"], "<f8"), "homes": np.frombuffer(block["homes"], "<i4"), "units": unit(leaders)}
-        if "visited" in block:
-            out["visited"] = np.unpackbits(np.frombuffer(block["visited"], np.uint8).reshape(n, -1), axis=1, count=second).astype(bool)
+                .select("code", *names, *(["visited"] if kind == "visit" else []), salt,
+                        F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other)))
+
+    def opened(table: pa.Table) -> dict:
+        """The balls of all blocks of a task, one after another."""
+        joined = lambda c, t: np.frombuffer(b"".join(table.column(c).to_pylist()), t)
+        balls = joined("balls", "<i8")
+        out = {"balls": balls, "sizes": joined("sizes", "<i8"), "radii": joined("radii", "<f8"), "homes": joined("homes", "<i4"),
+               "units": unit(joined("leaders", exact).astype(np.float64).reshape(len(balls), -1))}
+        if "visited" in table.column_names:
+            out["visited"] = joined("visited", np.uint8).reshape(len(balls), -1)
         return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in range(batch.num_rows):
-                gains, links, open_pairs = compare(*(opened(batch.column(c)[r].as_py()) for c in (0, 1)), second, threshold)
-                rows = ([("gain", a, None, n) for a, n in gains] + [("link", a, b, None) for a, b in links]
-                        + [("open", a, b, None) for a, b in open_pairs])
-                if rows:
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
-                        ["kind", "a", "b", "n"])
-
-    return stored(pairs.mapInArrow(run, "kind string, a long, b long, n long"), "compared-balls")
+    def part(balls: dict, at: int) -> dict:
+        some = {k: v[at:at + BLOCK] for k, v in balls.items()}
+        if "visited" in some:
+            some["visited"] = np.unpackbits(some["visited"], axis=1, count=second).astype(bool)
+        return some
+
+    def run(stay: pa.Table, visit: pa.Table) -> pa.Table:
+        rows = []
+        if stay.num_rows and visit.num_rows:
+            stay, visit = opened(stay), opened(visit)
+            for at in range(0, len(visit["balls"]), BLOCK):
+                some = part(visit, at)
+                for to in range(0, len(stay["balls"]), BLOCK):
+                    gains, links, open_pairs = compare(some, part(stay, to), second, threshold)
+                    rows += ([("gain", a, None, n) for a, n in gains] + [("link", a, b, None) for a, b in links]
+                             + [("open", a, b, None) for a, b in open_pairs])
+        columns = list(zip(*rows)) if rows else [()] * 4
+        return pa.table([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.int64()))],
+                        names=["kind", "a", "b", "n"])
+
+    keys = ("code", "s", "t")
+    visits = dealt("visit", "t", "s")
+    visits = visits.toDF(*visits.columns)           # columns of their own beside those of the same table
+    met = dealt("filed", "s", "t").groupBy(*keys).cogroup(visits.groupBy(*keys))
+    return stored(met.applyInArrow(run, "kind string, a long, b long, n long"), "compared-balls")
 
 
 def member_links(open_pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
