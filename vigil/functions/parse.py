@@ -94,14 +94,30 @@ def _made_date(y: Column, m: Column, d: Column) -> Column:
     return F.try_to_date(F.concat_ws("-", y, F.lpad(m, 2, "0"), F.lpad(d, 2, "0")), "yyyy-MM-dd")
 
 
-def to_date_iso(c, formats=DEFAULT_DATE_FORMATS, day_first: bool = False) -> Column:
+def year_last_counts(c) -> tuple[Column, Column]:
+    """(month-first, day-first): whether a text is a year-last date when read in that order, as two conditions."""
+    s = strip_ws(col_of(c).cast("string"))
+    last = [F.regexp_extract(s, _YEAR_LAST_RE, i) for i in (1, 3, 4)]
+    return _made_date(last[2], last[0], last[1]).isNotNull(), _made_date(last[2], last[1], last[0]).isNotNull()
+
+
+def column_is_day_first(c) -> Column:
+    """Aggregate (or window function): whether more of a column's texts are dates day first than month first.
+
+    One order holds for a whole column: texts that only the other order can read are no dates of it."""
+    month_first, day_first = year_last_counts(c)
+    return F.count(F.when(day_first, 1)) > F.count(F.when(month_first, 1))
+
+
+def to_date_iso(c, formats=DEFAULT_DATE_FORMATS, day_first: bool | Column | None = False) -> Column:
     """Date text -> DATE (time of day dropped), bad -> NULL.
 
     Each text is parsed only with the formats its length and separator can
     fit, so rows do not pay for a failed parse attempt per other format. Texts
     that fit none are taken apart: year first or last, ``-``, ``/`` or ``.``,
     with or without a time and a zone. A year-last date is month first unless
-    ``day_first``; the other order is used where only that gives a date."""
+    ``day_first``; the other order is used where only that gives a date. With a
+    Column as ``day_first`` (see ``column_is_day_first``) only the order it names is used."""
     s = strip_ws(col_of(c).cast("string"))
     expr = None
     for f in formats:
@@ -115,17 +131,20 @@ def to_date_iso(c, formats=DEFAULT_DATE_FORMATS, day_first: bool = False) -> Col
     y_first = [F.regexp_extract(s, _YEAR_FIRST_RE, i) for i in (1, 3, 4)]
     last = [F.regexp_extract(s, _YEAR_LAST_RE, i) for i in (1, 3, 4)]
     month_first, day_month = _made_date(last[2], last[0], last[1]), _made_date(last[2], last[1], last[0])
-    either = F.coalesce(*((day_month, month_first) if day_first else (month_first, day_month)))
+    if isinstance(day_first, Column):
+        either = F.when(day_first, day_month).otherwise(month_first)
+    else:
+        either = F.coalesce(*((day_month, month_first) if day_first else (month_first, day_month)))
     return expr.when(s.rlike(_YEAR_FIRST_RE), _made_date(*y_first)).when(s.rlike(_YEAR_LAST_RE), either)
 
 
-def parse_excel_date(c, formats=DEFAULT_DATE_FORMATS) -> Column:
+def parse_excel_date(c, formats=DEFAULT_DATE_FORMATS, day_first: bool | Column | None = False) -> Column:
     """Numeric cell -> 1899-12-30 + floor(n) days; else text date; day grain."""
     s = strip_ws(col_of(c).cast("string"))
     num = _guarded_double(s)
     in_range = num.between(-693593.0, 2958465.0)  # 0001-01-01 .. 9999-12-31
     serial = F.date_add(F.lit(EXCEL_EPOCH).cast("date"), F.floor(num).cast("int"))
-    return F.when(num.isNotNull(), F.when(in_range, serial)).otherwise(to_date_iso(s, formats))
+    return F.when(num.isNotNull(), F.when(in_range, serial)).otherwise(to_date_iso(s, formats, day_first))
 
 
 def normalize_text(c) -> Column:

@@ -31,7 +31,7 @@ def lag_columns(keys, base=BASE_NUMERIC, lags=LAGS, date_col: str = "date"):
     return [F.lag(c, k).over(w).alias(f"{c}_lag{k}") for k in lags for c in base]
 
 
-def _shift(c: str, k: int) -> str:
+def shift_name(c: str, k: int) -> str:
     return f"_{c}_before{k}"
 
 
@@ -43,9 +43,14 @@ def with_shifts(df: DataFrame, keys, base=BASE_NUMERIC, windows=ROLL_WINDOWS, da
     """Adds the values of the last max(windows) rows and, per width, their sum (NULL unless all
     are present): one offset function per value instead of one sliding frame per statistic."""
     w0 = Window.partitionBy(*as_list(keys)).orderBy(date_col)
-    shifted = df.select("*", *[F.lag(c, k).over(w0).alias(_shift(c, k)) for c in base
+    shifted = df.select("*", *[F.lag(c, k).over(w0).alias(shift_name(c, k)) for c in base
                                for k in range(1, max(windows) + 1)])
-    return shifted.select("*", *[sum((F.col(_shift(c, k)) for k in range(2, w + 1)), F.col(_shift(c, 1))).alias(_total(c, w))
+    return with_totals(shifted, base, windows)
+
+
+def with_totals(shifted: DataFrame, base=BASE_NUMERIC, windows=ROLL_WINDOWS) -> DataFrame:
+    """Adds per column and width the sum of the shifted values (NULL unless all are present)."""
+    return shifted.select("*", *[sum((F.col(shift_name(c, k)) for k in range(2, w + 1)), F.col(shift_name(c, 1))).alias(_total(c, w))
                                  for c in base for w in windows])
 
 
@@ -53,7 +58,7 @@ def rolling_columns(base=BASE_NUMERIC, windows=ROLL_WINDOWS, stats=ROLL_STATS):
     """Statistic over rows [i-w, i-1], NULL unless all w values are present; on a frame with
     ``with_shifts`` columns."""
     def value(stat, c, w):
-        past, mean = [F.col(_shift(c, k)) for k in range(1, w + 1)], F.col(_total(c, w)) / F.lit(float(w))
+        past, mean = [F.col(shift_name(c, k)) for k in range(1, w + 1)], F.col(_total(c, w)) / F.lit(float(w))
         if stat == "mean":
             return mean
         if stat == "std":

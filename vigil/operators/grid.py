@@ -16,7 +16,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from vigil.functions.parse import normalize_key, normalize_text, parse_excel_date, to_number_clean, year_from_filename
+from vigil.functions.parse import (column_is_day_first, normalize_key, normalize_text, parse_excel_date, to_number_clean,
+                                   year_from_filename)
 from vigil.operators.dedup import first_per_key
 from vigil.session import cut_lineage
 
@@ -145,10 +146,14 @@ def check_anchors(cells: DataFrame, anchor_table: DataFrame | None = None) -> No
 
 
 def header_dates(cells: DataFrame, anchor_table: DataFrame) -> DataFrame:
-    """J6 source: (file, col_idx, FECHA) from the header row's cells."""
-    return (cells.join(anchor_table, "source_file")
-            .where((F.col("row_idx") == F.col("header_row")) & (F.col("col_idx") > _label_col(anchor_table)))
-            .select("source_file", "col_idx", parse_excel_date(normalize_text("cell")).alias("FECHA")))
+    """J6 source: (file, col_idx, FECHA) from the header row's cells (X6). Year-last dates of a
+    header are all read in one order, the one that more of its cells fit."""
+    heads = (cells.join(anchor_table, "source_file")
+             .where((F.col("row_idx") == F.col("header_row")) & (F.col("col_idx") > _label_col(anchor_table)))
+             .select("source_file", "col_idx", normalize_text("cell").alias("cell")))
+    order = heads.groupBy("source_file").agg(column_is_day_first("cell").alias("_day_first"))
+    return heads.join(order, "source_file").select(
+        "source_file", "col_idx", parse_excel_date("cell", day_first=F.col("_day_first")).alias("FECHA"))
 
 
 def _label_col(df: DataFrame):
@@ -230,3 +235,14 @@ def er_consolidated(spark: SparkSession, cells: DataFrame, variables=None,
         vals = cut_lineage(vals)
     variables = list(variables) if variables is not None else seen_variables(vals)
     return consolidate(pivot_values(vals, variables), variables)
+
+
+def consolidate_sheets(spark: SparkSession, folder: str, sink: str, variables=None, strict: bool = False) -> DataFrame:
+    """S8 + S9 + O9 ... O3 + S16 as one job: a folder of sheets -> the consolidated table, sorted by day, at ``sink``,
+    and the files that can't be used, with the reason, at ``<sink>_rejected``."""
+    from vigil.plans.artefacts import write_table
+    from vigil.sources.grid import sheet_lines, text_grid
+    cells = cut_lineage(text_grid(sheet_lines(spark, folder)))
+    write_table(rejected_files(cells), f"{sink}_rejected", ["source_file"])
+    write_table(er_consolidated(spark, cells, variables, strict=strict), sink, ["FECHA"])
+    return spark.read.parquet(sink)

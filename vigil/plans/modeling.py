@@ -7,17 +7,19 @@ thresholds, coefficients) come back to the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from vigil.functions.category import alert
+from vigil.functions.category import alert, critical_flag
 from vigil.functions.util import as_list
 from vigil.operators import evaluate as ev
-from vigil.operators.cv import CV_SPLITS, assign_date_folds, assign_folds, fold_split
+from vigil.operators.cv import CV_SPLITS, assign_date_folds, assign_folds
 from vigil.operators.features import add_features, feature_columns
 from vigil.operators.horizon import HORIZON_DAYS, add_target
+from vigil.operators.fold_fits import fit_logits
 from vigil.operators.models import fit_gbt_calibrated, fit_logit
-from vigil.operators.quality import coverage as coverage_table
 from vigil.plans.artefacts import save_model, write_json, write_table
 from vigil.plans.panel import scaled_panel
 from vigil.session import cut_lineage
@@ -55,17 +57,25 @@ def evaluate_models(df: DataFrame, features, target: str, keys, models=MODELS, n
     thresholds, out-of-fold predictions). ``pooled_dates``: folds over the dates of all series, as
     one model serves them all; otherwise over the rows of each series."""
     keys = as_list(keys)
-    folded = cut_lineage(assign_date_folds(df) if pooled_dates else assign_folds(df, keys))
-    parts, sizes = [], []
+    folded = cut_lineage((assign_date_folds(df, n_splits=n_splits) if pooled_dates else assign_folds(df, keys, n_splits=n_splits))
+                         .where(F.col("n") > n_splits).withColumn("cell", F.coalesce("test_fold", F.lit(0))))
     spark = df.sparkSession
+    held = {r["cell"]: r["count"] for r in folded.groupBy("cell").count().collect()}       # a row per fold
+    folds = [f for f in range(1, n_splits + 1) if held.get(f)]
+    if not folds:
+        raise ValueError(f"{n_splits} folds need more than {n_splits} days")
+    parts, sizes = [], []
     for name in models:
-        for f in range(1, n_splits + 1):
-            train, test = fold_split(folded, f, n_splits)
-            model = fit_model(name, train, features, target, keys, gbt_params)
+        # fold f trains on every earlier cell, so one pass prepares or fits all folds of the logistic model
+        if name == "logit_balanced":
+            fitted = dict(zip(folds, fit_logits(folded, features, target, [range(f) for f in folds])))
+        for f in folds:
+            train, test = folded.where(F.col("cell") < f), folded.where(F.col("cell") == f)
+            model = fitted[f] if name == "logit_balanced" else fit_model(name, train, features, target, keys, gbt_params)
             part = scored_rows(model, test, keys, target).select(
                 F.lit(name).alias("model"), F.lit(f).alias("fold"), "*")
             parts.append(cut_lineage(part))
-            sizes.append((name, f, train.count()))
+            sizes.append((name, f, sum(held.get(k, 0) for k in range(f))))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
@@ -93,36 +103,55 @@ def fit_final(df: DataFrame, features, target: str, keys, name: str, recall_targ
     return model, thr, preds, importance
 
 
+def observed_rows(df: DataFrame, target: str) -> tuple[DataFrame, dict]:
+    """The rows, stored, and what the run's records count of them, observed while they are written."""
+    seen = Observation(f"model rows {uuid.uuid4().hex}")
+    df = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("n_rows_model"), F.avg(target).alias("event_rate_target"),
+                                F.min("date").alias("date_start"), F.max("date").alias("date_end")))
+    return df, dict(seen.get)
+
+
+def run_metadata(panel: DataFrame, keys, counts: dict, features, chosen: str) -> dict:
+    """What is recorded of a run: its rows, days, events and features. One aggregate over the panel."""
+    day, critical = F.col("date"), critical_flag("CAT")
+    each = panel.groupBy(*as_list(keys)).agg(F.count(day).alias("n"), (F.datediff(F.max(day), F.min(day)) + 1).alias("span"),
+                                             F.sum(critical).alias("critical"), F.count(critical).alias("known"))
+    whole = each.agg(*[F.sum(c).alias(c) for c in ("n", "span", "critical", "known")]).first()
+    return dict(selected_model=chosen, horizon_days=HORIZON_DAYS, recall_target=ev.RECALL_TARGET, n_features=len(features),
+                feature_columns=list(features), n_rows_observed=whole["n"],
+                coverage_ratio_observed_vs_full_range=whole["n"] / whole["span"] if whole["span"] else None,
+                event_rate_now=whole["critical"] / whole["known"] if whole["known"] else None, **{k: (str(v) if k.startswith("date") else v) for k, v in counts.items()})
+
+
 def run_modeling(spark: SparkSession, panel: DataFrame, keys, out_dir: str | None = None,
                  models=MODELS, gbt_params: dict | None = None) -> dict:
     """The whole modelling step on a clean panel; writes the result tables and
     artefacts under ``out_dir`` when given."""
     keys = as_list(keys)
+    panel = cut_lineage(panel)
     df, features, target = model_ready(panel, keys)
-    df = cut_lineage(df)
+    df, counts = observed_rows(df, target)
     summary, folds, thresholds, oof = evaluate_models(df, features, target, keys, models,
                                                       gbt_params=gbt_params)
     chosen = ev.best_model(summary).first()["model"]
     model, thr, preds, importance = fit_final(df, features, target, keys, chosen, gbt_params=gbt_params)
-    cov = coverage_table(panel, keys)
-    meta = df.agg(F.count(F.lit(1)).alias("n_rows_model"), F.avg(target).alias("event_rate_target"),
-                  F.min("date").alias("date_start"), F.max("date").alias("date_end")).first().asDict()
-    cov_row = cov.agg((F.sum("n_days") / F.sum("span_days")).alias("coverage")).first()
     result = dict(summary=summary, fold_metrics=folds, thresholds=thresholds, oof=oof, predictions=preds,
                   model_ready=df, importance=importance, model=model, threshold=thr, chosen=chosen, panel=panel, keys=keys,
-                  metadata=dict(selected_model=chosen, horizon_days=HORIZON_DAYS, recall_target=ev.RECALL_TARGET,
-                                n_features=len(features), feature_columns=features,
-                                coverage_ratio_observed_vs_full_range=cov_row["coverage"],
-                                **{k: (str(v) if k.startswith("date") else v) for k, v in meta.items()}))
+                  metadata=run_metadata(panel, keys, counts, features, chosen))
     if out_dir:
         write_outputs(spark, result, out_dir)
     return result
 
 
+def summary_lines(metadata: dict, threshold: dict) -> list[tuple[str, str]]:
+    """The summary's lines on data, chosen model and threshold."""
+    lines = [(k, str(v)) for k, v in metadata.items() if k != "feature_columns"]
+    return lines + [(f"threshold_{k}" if k != "threshold" else k, repr(v)) for k, v in threshold.items()]
+
+
 def run_summary(spark: SparkSession, result: dict) -> DataFrame:
     """(item, value) lines of one run: data, chosen model, threshold, CV means of the chosen model."""
-    lines = [(k, str(v)) for k, v in result["metadata"].items() if k != "feature_columns"]
-    lines += [(f"threshold_{k}" if k != "threshold" else k, repr(v)) for k, v in result["threshold"].items()]
+    lines = summary_lines(result["metadata"], result["threshold"])
     chosen = result["summary"].where(F.col("model") == result["chosen"]).first().asDict()    # one row
     lines += [(k, repr(v)) for k, v in chosen.items() if k != "model"]
     return spark.createDataFrame([(i, k, v) for i, (k, v) in enumerate(lines)], "line int, item string, value string")

@@ -76,7 +76,7 @@ def trim_ctes(first: str, variables=VARS, prefix: str = "trim") -> tuple[list[st
     for i, v in enumerate(variables):
         name = f"{prefix}{i}"
         ctes.append(
-            f"{name} AS (SELECT t.* FROM {prev} t JOIN (SELECT series_id, "
+            f"{name} AS MATERIALIZED (SELECT t.* FROM {prev} t JOIN (SELECT series_id, "
             f"quantile_cont({v}, 0.01) AS lo, quantile_cont({v}, 0.99) AS hi FROM {prev} GROUP BY series_id) q "
             f"ON t.series_id = q.series_id WHERE t.{v} >= q.lo AND t.{v} <= q.hi)")
         prev = name
@@ -109,11 +109,11 @@ def panel_ctes(variables=VARS) -> list[str]:
             f"cal AS ({calendar_from('daily')})",
             f"gappy AS ({left_on_calendar('cal', 'daily', variables)})",
             f"filled AS ({interpolated('gappy', variables)})",
-            f"complete AS ({complete_rows('filled', variables)})"]
+            f"complete AS MATERIALIZED ({complete_rows('filled', variables)})"]
     trims, last = trim_ctes("complete", variables)
     ctes += trims
-    ctes.append(f"catd AS (SELECT *, {category_sql('PM25')} AS CAT FROM {last})")
-    ctes.append(f"clean AS ({future_join('catd')})")
+    ctes.append(f"catd AS MATERIALIZED (SELECT *, {category_sql('PM25')} AS CAT FROM {last})")
+    ctes.append(f"clean AS MATERIALIZED ({future_join('catd')})")
     return ctes
 
 

@@ -57,6 +57,19 @@ def clean_panel(obs: DataFrame, keys, date_col: str, variables=BASE_NUMERIC,
     return add_future_categories(panel, keys)
 
 
+def write_panel(panel: DataFrame, keys, table: str, path: str, buckets: int | None = None, date_col: str = "date") -> DataFrame:
+    """The panel as a table bucketed by series and sorted by day within it, read back.
+
+    One bucket is one file, so features, scaling, trimming and scoring of the table plan without an exchange. Its
+    bucket count should suit the data (about 128 MB a bucket); it is kept by every later step."""
+    keys = as_list(keys)
+    spark = panel.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (by_series(panel, keys, n).sortWithinPartitions(*keys, date_col).write.mode("overwrite").option("path", path)
+     .bucketBy(n, *keys).sortBy(*keys, date_col).saveAsTable(table))
+    return spark.table(table)
+
+
 def scaled_panel(clean: DataFrame, keys, variables=BASE_NUMERIC) -> tuple[DataFrame, DataFrame]:
     """The z-scored dataset (population std per series) and its scaler table."""
     return zscore_apply(clean, keys, list(variables)), zscore_fit(clean, keys, list(variables))

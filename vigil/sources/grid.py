@@ -30,9 +30,26 @@ def select_inputs(names, suffix: str = GRID_SUFFIX, excluded=EXCLUDED_FILES) ->
     return out
 
 
+def sheet_lines(spark: SparkSession, folder: str, suffix: str = GRID_SUFFIX, excluded=EXCLUDED_FILES) -> DataFrame:
+    """S8 in the scan: lines of the folder's sheets. The glob and the filter on the file name choose
+    files before any is read; an error if none is left."""
+    glob = "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
+    name = F.col("_metadata.file_name")
+    lines = (spark.read.option("pathGlobFilter", glob).text(folder)
+             .where(~name.startswith(LOCK_PREFIX) & ~F.lower(name).isin(*excluded)))
+    if lines.isEmpty():
+        raise FileNotFoundError(f"no {suffix} inputs in {folder}")
+    return lines
+
+
 def read_text_grid(spark: SparkSession, paths, sep: str = ";") -> DataFrame:
     """Text sheets -> (source_file, row_idx, col_idx, cell)."""
-    lines = spark.read.text(paths).select(
+    return text_grid(spark.read.text(paths), sep)
+
+
+def text_grid(sheets: DataFrame, sep: str = ";") -> DataFrame:
+    """S9 on lines of files (``value``, with the reader's ``_metadata``)."""
+    lines = sheets.select(
         F.col("_metadata.file_name").alias("source_file"),
         F.col("_metadata.file_block_start").alias("_blk"),
         F.monotonically_increasing_id().alias("_mid"),
@@ -120,3 +137,23 @@ def orders_grid_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.explode(F.array(*labels)).alias("c"))
     head = head.select("source_file", "c.row_idx", F.lit(0).alias("col_idx"), "c.cell")
     return head.unionByName(body)
+
+
+def write_sheets(cells: DataFrame, folder: str, sep: str = ";") -> None:
+    """A cell table as one text file per sheet, named as its source_file (the inverse of ``text_grid``).
+
+    A sheet is one file, so its lines go to one task; a line is an array over the sheet's columns."""
+    spark = cells.sparkSession
+    last = cells.groupBy("source_file").agg(F.max("col_idx").alias("_last"))
+    row = (cells.groupBy("source_file", "row_idx").agg(F.map_from_entries(F.collect_list(F.struct("col_idx", "cell"))).alias("_m"))
+           .join(last, "source_file"))
+    line = F.array_join(F.transform(F.sequence(F.lit(0), F.col("_last")), lambda i: F.coalesce(F.try_element_at("_m", i), F.lit(""))), sep)
+    parts = f"{folder}_parts"
+    (row.select("source_file", "row_idx", line.alias("value")).repartition("source_file")
+     .sortWithinPartitions("source_file", "row_idx").select("value", F.col("source_file").alias("sheet"))
+     .write.partitionBy("sheet").text(parts))
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(hadoop.Path(folder))
+    for found in fs.globStatus(hadoop.Path(f"{parts}/sheet=*/part-*")):      # a name per sheet
+        fs.rename(found.getPath(), hadoop.Path(folder, found.getPath().getParent().getName().split("=", 1)[1]))
