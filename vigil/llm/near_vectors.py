@@ -280,10 +280,13 @@ def compared(blocks: DataFrame, second: int, exact: str, threshold: float) -> Da
 
 def member_links(open_pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """(a, b, row, other) of the linked members of open pairs of balls, verified one by one."""
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    peak = F.array_max(F.transform("vec", lambda x: F.abs(x)))
-    flat = members.select("ball", "row", F.transform("vec", lambda x: x.cast("double") / peak).alias("vec"))
-    flat = flat.select("ball", "row", "vec", norm(F.col("vec")).alias("norm"))
+    # values named more than once are bound through one-element arrays, so that each is computed once a row
+    bound = lambda value, use: F.element_at(F.transform(F.array(value), use), 1)
+    wide = F.transform("vec", lambda x: x.cast("double"))
+    scaled = bound(F.array_max(F.transform("vec", lambda x: F.abs(x.cast("double")))), lambda peak: F.transform(wide, lambda x: x / peak))
+    flat = members.join(small(open_pairs.select(F.explode(F.array("a", "b")).alias("ball")).distinct()), "ball", "left_semi")
+    flat = stored(flat.select("ball", "row", bound(scaled, lambda v: F.struct(v.alias("vec"), F.sqrt(F.aggregate(
+        v, F.lit(0.0), lambda s, x: s + x * x)).alias("norm"))).alias("u")).select("ball", "row", "u.vec", "u.norm"), "open-members")
     side = lambda k: flat.select(F.col("ball").alias(k), F.struct("row", "vec", "norm").alias(f"of_{k}"))
     both = open_pairs.join(side("a"), "a").join(side("b"), "b")
     dot = F.aggregate(F.zip_with("of_a.vec", "of_b.vec", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
