@@ -3,7 +3,7 @@ import datetime as dt
 import numpy as np
 from pyspark.sql import functions as F
 
-from vigil.operators.fold_fits import fit_logits, fit_preps
+from vigil.operators.fold_fits import Matrix, _medians, fit_logits, fit_preps, preps_of
 from vigil.operators.models import fit_logit_lbfgs
 from vigil.operators.prep import fit_prep
 
@@ -42,7 +42,9 @@ def test_medians_of_many_rows_are_exact(spark):
     rows = spark.range(400_000).select((F.col("id") % 5).cast("int").alias("cell"), F.when(F.col("id") % 11 == 0, None).otherwise(
         F.pmod(F.xxhash64("id"), F.lit(10 ** 9)) / 7.0 * (1 + F.col("id") % 5)).alias("a"), (F.col("id") % 3).cast("double").alias("ties"))
     pdf = rows.toPandas()
-    for cells, got in zip(SETS, fit_preps(rows, ["a", "ties"], SETS)):
+    matrix = Matrix(rows, ["a", "ties"])
+    assert _medians(matrix, matrix.moments(), SETS, 1e-9) == _medians(matrix, matrix.moments(), SETS)    # brackets that miss are widened
+    for cells, got in zip(SETS, preps_of(matrix, SETS)):
         own = pdf[pdf["cell"].isin(cells)]
         assert got.median == {"a": float(np.nanmedian(own["a"])), "ties": 1.0}
 
@@ -61,6 +63,7 @@ def test_one_class_and_sums_in_a_tree(spark, monkeypatch):
     monkeypatch.setattr(fold_fits, "FAN_IN", 3)
     monkeypatch.setattr(fold_fits, "BLOCK_ROWS", 50)
     df = frame(spark).repartition(16)
+    monkeypatch.setattr(fold_fits, "HELD", 2)
     a, b = fit_logits(df, ["x1", "x2"], "y", [{0, 1}]), fit_logits(df.coalesce(1), ["x1", "x2"], "y", [{0, 1}])
     assert np.allclose(a[0].coefficients, b[0].coefficients, atol=1e-9)
     one = fit_logits(df.withColumn("y", F.lit(0)), ["x1"], "y", [{0}])[0]

@@ -1,21 +1,22 @@
 """Preparation and logistic fits of many training sets at once (L2-L4 for L8, L9).
 
 Rows carry a ``cell`` (a small integer: the fold whose test rows they are, or a finer cut), and a training
-set is a set of cells, so forward-chained folds are prefixes and the final fit is all cells. Everything
-that fitting needs from the rows is taken once per cell and merged on the driver, where it is a
-few numbers per (cell, column):
-
-* ``fit_preps``: counts, moments and quantile sketches per cell in one aggregate, category counts in a second;
-  the sketches bracket every set's medians, and one more pass ranks the values inside the brackets, so medians are exact;
-* ``fit_logits``: Newton steps for all sets from one pass over the rows each. The rows are stored once as
-  matrix blocks; a task adds up gradient and Hessian of every set over its blocks, and the tasks' sums are added
-  in a tree, so no step collects more than one sum per set.
+set is a set of cells, so forward-chained folds are prefixes and the final fit is all cells. The rows are stored
+once as matrix blocks (``Matrix``); everything that fitting needs is taken from them per cell and merged:
+
+* ``preps_of``: counts, moments and quantile sketches per cell in one pass; the sketches bracket every set's
+  medians, and one more pass ranks the values inside the brackets, so medians are exact;
+* ``fit_logits``: Newton steps for all sets from one pass over the blocks each, in which a task adds up gradient
+  and Hessian of every set.
+
+What the tasks hand on is merged in a tree, so no step collects more than one row per cell or set. The Hessian has
+a number per pair of columns: for thousands of columns use ``models.fit_logit_lbfgs``.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -24,123 +25,256 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.operators.cumulative import running_totals
-from vigil.operators.prep import BRACKET_ACCURACY, Prepared, encoders_for, scale_of, split_columns
-from vigil.session import ensure_checkpoint_dir
+from vigil.operators.prep import Prepared, encoders_for, scale_of, split_columns
+from vigil.session import cut_lineage, ensure_checkpoint_dir
 
-QUANTILES = 201             # points of a cell's sketch that the driver merges
-SKETCH_ERROR = 3.0 / BRACKET_ACCURACY
+QUANTILES = 201             # points of a cell's sketch
+MARGIN = 3.0 / QUANTILES    # of rank on either side of a quantile, within which its bracket lies
+HELD = 16                   # sketches that are merged at once
 BLOCK_ROWS = 4096
 FAN_IN = 64                 # sums that one task adds up
 NEWTON_STEPS = 100
-TOLERANCE = 1e-10           # of the largest change of a coefficient, relative to the largest coefficient
-
-
-def _merged_brackets(points: list, counts: list, q: float = 0.5) -> tuple[float, float]:
-    """An interval that holds quantile ``q`` of the union of cells with these sketch points and counts.
+TOLERANCE = 1e-9            # of the largest change of a coefficient, relative to the largest coefficient
+
+
+class Moments:
+    """Counts, means, squared deviations and sketch points per column of some rows; NaN is NULL."""
+
+    def __init__(self, rows: int, counts, means, squares, points):
+        self.rows, self.counts, self.means, self.squares, self.points = rows, counts, means, squares, points
+
+    @classmethod
+    def of(cls, x: np.ndarray) -> Moments:
+        known = ~np.isnan(x)
+        counts = known.sum(axis=0).astype(np.float64)
+        safe = np.maximum(counts, 1)
+        means = np.where(known, x, 0).sum(axis=0) / safe
+        squares = (np.where(known, x - means, 0) ** 2).sum(axis=0)
+        places = np.rint(np.linspace(0, 1, QUANTILES)[:, None] * np.maximum(counts - 1, 0)).astype(np.int64)
+        return cls(len(x), counts, means, squares, np.take_along_axis(np.sort(x, axis=0), places, axis=0))     # NaN sorts last
+
+    @classmethod
+    def merged(cls, parts: list[Moments]) -> Moments:
+        if len(parts) == 1:
+            return parts[0]
+        counts = sum(p.counts for p in parts)
+        safe = np.maximum(counts, 1)
+        means = sum(p.counts * p.means for p in parts) / safe
+        squares = sum(p.squares + p.counts * (p.means - means) ** 2 for p in parts)
+        values = np.concatenate([p.points for p in parts])
+        weights = np.repeat(np.array([p.counts / QUANTILES for p in parts]), QUANTILES, axis=0)
+        order = np.argsort(values, axis=0, kind="stable")
+        values, weights = np.take_along_axis(values, order, 0), np.take_along_axis(weights, order, 0)
+        upto = np.cumsum(weights, axis=0)
+        wanted = np.linspace(0, 1, QUANTILES)
+        places = np.stack([np.searchsorted(upto[:, c], wanted * counts[c] * (1 - 1e-12)) for c in range(len(counts))], axis=1)
+        return cls(sum(p.rows for p in parts), counts, means, squares, np.take_along_axis(values, np.minimum(places, len(values) - 1), 0))
+
+    def packed(self) -> bytes:
+        return np.concatenate([[self.rows], self.counts, self.means, self.squares, self.points.ravel()]).astype("<f8").tobytes()
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> Moments:
+        held = np.frombuffer(raw, "<f8")
+        rest = held[1:].reshape(QUANTILES + 3, -1)
+        return cls(int(held[0]), rest[0], rest[1], rest[2], rest[3:])
+
+
+def tree_merged(parts: DataFrame, tasks: int, merge: Callable[[list[bytes]], bytes]) -> dict[int, bytes]:
+    """Per ``fit`` the merged ``body`` of all tasks, in groups of ``FAN_IN`` until one is left."""
+    def add(table: pa.Table) -> pa.Table:
+        return pa.table({"fit": table.column("fit").slice(0, 1), "part": table.column("part").slice(0, 1),
+                         "body": pa.array([merge(table.column("body").to_pylist())], pa.binary())})
 
-    Between two neighbouring points a cell holds 1 / (QUANTILES - 1) of its values, give or take the sketch's error.
-    """
-    total, error, step = sum(counts), SKETCH_ERROR, 1.0 / (QUANTILES - 1)
-    values = np.unique(np.concatenate(points))
-    # the most that can be at or below a value, and the least that must be below it
-    upto = sum(n * (np.searchsorted(p, values, side="right") * step + error) for p, n in zip(points, counts)) / total
-    below = sum(n * ((np.searchsorted(p, values, side="left") - 1) * step - error) for p, n in zip(points, counts)) / total
-    low, high = values[upto <= q - 2 / total], values[below >= q + 2 / total]
-    low, high = low[-1] if len(low) else -np.inf, high[0] if len(high) else np.inf
-    return float(low), float(high)
-
-
-def _exact_medians(rows: DataFrame, names: list[str], sets: Sequence[set], sketches: dict, counts: dict) -> list[dict]:
-    """Per training set the exact median of every column (None for an all-NULL column)."""
-    brackets, ends = {}, {}
-    for i in range(len(names)):
-        for s, cells in enumerate(sets):
-            held = [c for c in cells if counts.get((c, i))]
-            if held:
-                brackets[s, i] = _merged_brackets([sketches[c, i] for c in held], [counts[c, i] for c in held])
-        own = [b for (_, k), b in brackets.items() if k == i]
+    schema = "fit int, part int, body binary"
+    while tasks > FAN_IN:
+        tasks = -(-tasks // FAN_IN)
+        parts = (parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
+                 .groupBy("fit", "part").applyInArrow(add, schema))
+    parts = parts.withColumn("part", F.lit(0)).groupBy("fit", "part").applyInArrow(add, schema)
+    return {r["fit"]: bytes(r["body"]) for r in parts.collect()}       # one row per fit
+
+
+class Matrix:
+    """Rows as stored blocks of a raw double matrix (NaN: null; categories by their place), labels and cells."""
+
+    def __init__(self, rows: DataFrame, columns, cell: str = "cell", label: str | None = None):
+        self.spark = rows.sparkSession
+        self.numeric, self.categorical = split_columns(rows, columns)
+        self.seen: dict[tuple, dict] = {}       # (cell, place of the column) -> category counts
+        if self.categorical:
+            each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(self.categorical)]))
+            for r in (rows.select(F.col(cell).alias("cell"), each.alias("x")).filter("x.v IS NOT NULL")
+                      .groupBy("cell", "x.i", "x.v").count().collect()):        # a row per (cell, column, category)
+                self.seen.setdefault((r["cell"], r["i"]), {})[r["v"]] = r["count"]
+        self.labels = {c: sorted({v for (_, k), held in self.seen.items() if k == i for v in held})
+                       for i, c in enumerate(self.categorical)}
+        nan = F.lit(float("nan"))
+
+        def code(c: str):
+            if not self.labels[c]:
+                return nan
+            place = F.array_position(F.array(*[F.lit(v) for v in self.labels[c]]), F.col(c))
+            return F.when(place > 0, place.cast("double") - 1).otherwise(nan)
+
+        raw = F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in self.numeric], *[code(c) for c in self.categorical])
+        flat = rows.select(raw.alias("x"), (F.col(label).cast("int") if label else F.lit(0)).alias("y"), F.col(cell).cast("int").alias("cell"))
+        path = f"{ensure_checkpoint_dir(self.spark).rstrip('/')}/matrix-{uuid.uuid4().hex}"
+        flat.mapInArrow(_blocks, "n int, x binary, y binary, cells binary").write.parquet(path)
+        self.blocks = self.spark.read.parquet(path)
+        self.tasks = (self.blocks.select(F.spark_partition_id().alias("task")).agg(F.max("task")).first()[0] or 0) + 1
+
+    def moments(self) -> dict[int, Moments]:
+        """Per cell the moments and sketches of the numeric columns, in one pass."""
+        width = len(self.numeric)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, list[Moments]] = {}
+            for raw, _, cells in _opened(batches):
+                for c in np.unique(cells).tolist():
+                    own = held.setdefault(c, [])
+                    own.append(Moments.of(raw[cells == c, :width]))
+                    if len(own) >= HELD:
+                        held[c] = [Moments.merged(own)]
+            for c, own in held.items():
+                yield _sent(c, Moments.merged(own).packed())
+
+        merged = tree_merged(self.blocks.mapInArrow(run, "fit int, part int, body binary"), self.tasks,
+                             lambda bodies: Moments.merged([Moments.unpacked(b) for b in bodies]).packed())
+        return {c: Moments.unpacked(b) for c, b in merged.items()}
+
+    def near(self, ends: dict[int, tuple[float, float]]) -> DataFrame:
+        """(i, v, cell, cnt): values of column i within its ends and, where v is null, the number of values below them."""
+        places = np.array(sorted(ends))
+        low, high = (np.array([ends[i][k] for i in sorted(ends)]) for k in (0, 1))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            below: dict[int, np.ndarray] = {}
+            for raw, _, cells in _opened(batches):
+                x = raw[:, places]
+                for c in np.unique(cells).tolist():
+                    below[c] = below.get(c, 0) + (x[cells == c] < low).sum(axis=0)
+                at, i = np.nonzero((x >= low) & (x <= high))
+                yield _rows(places[i], x[at, i], cells[at], np.ones(len(at), dtype=np.int64))
+            for c, counts in below.items():
+                yield _rows(places, None, np.full(len(places), c), counts)
+
+        return self.blocks.mapInArrow(run, "i int, v double, cell int, cnt long")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, BLOCK_ROWS):
+            part = batch.slice(at, BLOCK_ROWS)
+            x = part.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f8")
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([part.num_rows], pa.int32()), pa.array([x.tobytes()], pa.binary()),
+                 *[pa.array([part.column(c).to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()) for c in (1, 2)]],
+                ["n", "x", "y", "cells"])
+
+
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            raw, y, cells = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in ((1, "<f8"), (2, "<i4"), (3, "<i4")))
+            yield raw.reshape(len(y), -1), y, cells
+
+
+def _sent(fit: int, body: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([fit], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                       pa.array([body], pa.binary())], ["fit", "part", "body"])
+
+
+def _rows(i, v, cells, counts) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(i, pa.int32()), pa.nulls(len(i), pa.float64()) if v is None else pa.array(v, pa.float64()),
+         pa.array(cells, pa.int32()), pa.array(counts, pa.int64())], ["i", "v", "cell", "cnt"])
+
+
+def _medians(matrix: Matrix, moments: dict[int, Moments], sets: Sequence[set], margin: float = MARGIN) -> list[list[float | None]]:
+    """Per training set the exact median of every numeric column (None for an all-NULL column).
+
+    Sketches bracket the medians of all sets; the values inside are counted and ranked. Should a bracket miss, which
+    the counts show, all are widened and the values taken again."""
+    width = len(matrix.numeric)
+    sizes, ends = {}, {}
+    for s, cells in enumerate(sets):
+        own = [moments[c] for c in cells if c in moments]
         if own:
-            ends[i] = (min(lo for lo, _ in own), max(hi for _, hi in own))
+            whole = Moments.merged(own)
+            lo, hi = max(0, int((0.5 - margin) * (QUANTILES - 1))), min(QUANTILES - 1, int(np.ceil((0.5 + margin) * (QUANTILES - 1))))
+            for i in np.flatnonzero(whole.counts).tolist():
+                sizes[s, i] = int(whole.counts[i])
+                low = whole.points[lo, i] if margin < 0.5 else -np.inf
+                high = whole.points[hi, i] if margin < 0.5 else np.inf
+                before = ends.get(i, (np.inf, -np.inf))
+                ends[i] = (min(low, before[0]), max(high, before[1]))
     if not ends:
-        return [dict.fromkeys(names) for _ in sets]
-    value = lambda i: F.col(f"v{i}")
-    under = {r["cell"]: r for r in rows.groupBy("cell").agg(
-        *[F.count(F.when(value(i) < F.lit(lo), 1)).alias(f"u{i}") for i, (lo, _) in ends.items()]).collect()}
-    inside = F.array_compact(F.array(*[F.when(value(i).between(F.lit(lo), F.lit(hi)), F.struct(
-        F.lit(i).alias("i"), value(i).alias("v"))) for i, (lo, hi) in ends.items()]))
-    member = [F.sum(F.when(F.col("cell").isin(*cells), 1).otherwise(0)).alias(f"n{s}") for s, cells in enumerate(sets)]
-    held = (rows.select("cell", F.explode(inside).alias("x")).groupBy(F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(*member))
-    ranked = running_totals(held, ["i"], "v", [f"n{s}" for s in range(len(sets))])
+        return [[None] * width for _ in sets]
+    member = [F.sum(F.when(F.col("cell").isin(*cells), F.col("cnt")).otherwise(0)).alias(f"n{s}") for s, cells in enumerate(sets)]
+    held = cut_lineage(matrix.near(ends).groupBy("i", "v").agg(*member))
+    sums = [f"n{s}" for s in range(len(sets))]
+    under = {r["i"]: r for r in held.filter("v IS NULL").collect()}                        # a row per column
+    inside = {r["i"]: r for r in held.filter("v IS NOT NULL").groupBy("i").agg(*[F.sum(c).alias(c) for c in sums]).collect()}
+    for (s, i), n in sizes.items():
+        first = under[i][sums[s]]
+        if first > (n - 1) // 2 or first + (inside[i][sums[s]] if i in inside else 0) <= n // 2:
+            return _medians(matrix, moments, sets, margin * 4)
+    ranked = running_totals(held.filter("v IS NOT NULL"), ["i"], "v", sums)
     wanted, aggs = [], []
-    for s, cells in enumerate(sets):
-        before = {i: sum(under[c][f"u{i}"] for c in cells if c in under) for i in ends}
-        size = {i: sum(counts.get((c, i), 0) for c in cells) for i in ends}
-        places = F.create_map(*[x for i in ends for x in (F.lit(i), F.array(
-            F.lit((size[i] - 1) // 2 - before[i]), F.lit(size[i] // 2 - before[i])))])
+    for s in range(len(sets)):
+        places = F.create_map(*[x for i in ends for x in (F.lit(i), F.array(*[
+            F.lit(at - under[i][sums[s]]).cast("long") for at in ((sizes.get((s, i), 0) - 1) // 2, sizes.get((s, i), 0) // 2)]))])
         wanted.append(places[F.col("i")].alias(f"at{s}"))
         last, first = F.col(f"cum_n{s}"), F.col(f"cum_n{s}") - F.col(f"n{s}")
-        for k in (0, 1):
-            at = F.col(f"at{s}")[k]
-            aggs.append(F.max(F.when((first <= at) & (at < last), F.col("v"))).alias(f"m{s}_{k}"))
+        aggs += [F.max(F.when((first <= F.col(f"at{s}")[k]) & (F.col(f"at{s}")[k] < last), F.col("v"))).alias(f"m{s}_{k}") for k in (0, 1)]
     found = {r["i"]: r for r in ranked.select("*", *wanted).groupBy("i").agg(*aggs).collect()}     # a row per column
     out = []
     for s in range(len(sets)):
-        med = dict.fromkeys(names)
-        for i, r in found.items():
-            a, b = r[f"m{s}_0"], r[f"m{s}_1"]
-            if (s, i) in brackets:
-                med[names[i]] = a if a == b else b - (b - a) * 0.5
-        out.append(med)
+        ends_of = [(found[i][f"m{s}_0"], found[i][f"m{s}_1"]) if (s, i) in sizes else (None, None) for i in range(width)]
+        out.append([a if a is None or a == b else b - (b - a) * 0.5 for a, b in ends_of])
     return out
 
 
-def fit_preps(rows: DataFrame, columns, sets: Sequence[set], cell: str = "cell") -> list[Prepared]:
-    """L2 + L3 of every training set: what ``fit_prep`` gives on the rows of its cells."""
+def preps_of(matrix: Matrix, sets: Sequence[set]) -> list[Prepared]:
+    """L2 + L3 of every training set from the matrix."""
     sets = [set(s) for s in sets]
-    numeric, categorical = split_columns(rows, columns)
-    values = rows.select(F.col(cell).alias("cell"), *[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(numeric)])
-    points = [k / (QUANTILES - 1) for k in range(QUANTILES)]
-    stats = values.groupBy("cell").agg(F.count(F.lit(1)).alias("rows"), *[a for i in range(len(numeric)) for a in (
-        F.count(f"v{i}").alias(f"n{i}"), F.avg(f"v{i}").alias(f"a{i}"), F.var_pop(f"v{i}").alias(f"s{i}"),
-        F.percentile_approx(f"v{i}", points, BRACKET_ACCURACY).alias(f"q{i}"))]).collect()      # a row per cell
-    counts = {(r["cell"], i): r[f"n{i}"] for r in stats for i in range(len(numeric))}
-    sketches = {(r["cell"], i): np.array(r[f"q{i}"]) for r in stats for i in range(len(numeric)) if r[f"n{i}"]}
-    median = _exact_medians(values, numeric, sets, sketches, counts)
-    seen: dict[tuple, dict] = {}
-    if categorical:
-        each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(categorical)]))
-        for r in (rows.select(F.col(cell).alias("cell"), each.alias("x")).filter("x.v IS NOT NULL")
-                  .groupBy("cell", "x.i", "x.v").count().collect()):        # a row per (cell, column, category)
-            seen.setdefault((r["cell"], r["i"]), {})[r["v"]] = r["count"]
+    moments = matrix.moments()
+    medians = _medians(matrix, moments, sets)
     out = []
-    for s, cells in enumerate(sets):
-        own = [r for r in stats if r["cell"] in cells]
-        keep = [c for c in numeric if median[s][c] is not None]
+    for cells, med in zip(sets, medians):
+        own = [moments[c] for c in cells if c in moments]
+        median = dict(zip(matrix.numeric, med))
         mean, std = {}, {}
-        for i, c in enumerate(numeric):
-            if median[s][c] is None:
+        for i, c in enumerate(matrix.numeric):
+            if med[i] is None:
                 continue
-            parts = [(r[f"n{i}"], r[f"a{i}"], r[f"s{i}"]) for r in own if r[f"n{i}"]]
-            parts += [(r["rows"] - r[f"n{i}"], median[s][c], 0.0) for r in own if r["rows"] > r[f"n{i}"]]
+            parts = [(m.counts[i], m.means[i], m.squares[i]) for m in own if m.counts[i]]
+            parts += [(m.rows - m.counts[i], med[i], 0.0) for m in own if m.rows > m.counts[i]]
             n = sum(p[0] for p in parts)
-            m = sum(p[0] * p[1] for p in parts) / n
-            var = sum(p[0] * (p[2] + (p[1] - m) ** 2) for p in parts) / n
-            mean[c], std[c] = float(m), scale_of(float(m), float(var) ** 0.5)
+            at = sum(p[0] * p[1] for p in parts) / n
+            var = sum(p[2] + p[0] * (p[1] - at) ** 2 for p in parts) / n
+            mean[c], std[c] = float(at), scale_of(float(at), float(var) ** 0.5)
         mode, labels = {}, {}
-        for i, c in enumerate(categorical):
+        for i, c in enumerate(matrix.categorical):
             total: dict[str, int] = {}
             for k in cells:
-                for v, n in seen.get((k, i), {}).items():
+                for v, n in matrix.seen.get((k, i), {}).items():
                     total[v] = total.get(v, 0) + n
             if total:
                 mode[c] = min(total, key=lambda v: (-total[v], v))
                 labels[c] = sorted(total)
-        prep = Prepared(keep, [c for c in categorical if c in mode], median[s], mean, std, mode)
-        prep.encoders = encoders_for(rows.sparkSession, prep.categorical, [labels[c] for c in prep.categorical])
+        prep = Prepared([c for c in matrix.numeric if c in mean], [c for c in matrix.categorical if c in mode], median, mean, std, mode)
+        prep.encoders = encoders_for(matrix.spark, prep.categorical, [labels[c] for c in prep.categorical])
         out.append(prep)
     return out
 
 
+def fit_preps(rows: DataFrame, columns, sets: Sequence[set], cell: str = "cell") -> list[Prepared]:
+    """L2 + L3 of every training set: what ``fit_prep`` gives on the rows of its cells."""
+    return preps_of(Matrix(rows, columns, cell), sets)
+
+
 class Design:
     """A training set's design matrix from raw blocks: imputed, scaled, one-hot, and a constant."""
 
@@ -167,89 +301,49 @@ class Design:
         return x
 
 
-def matrix_blocks(rows: DataFrame, numeric: list[str], categorical: list[str], labels: dict, label: str,
-                  cell: str = "cell") -> DataFrame:
-    """The rows as stored blocks of a raw double matrix (NaN: null; categories by their place), labels and cells."""
-    nan = F.lit(float("nan"))
-    code = lambda c: F.nullif(F.array_position(F.array(*[F.lit(v) for v in labels[c]]), F.col(c)), F.lit(0)).cast("double") - 1
-    raw = F.array(*[F.coalesce(F.col(c).cast("double"), nan) for c in numeric], *[F.coalesce(code(c), nan) for c in categorical])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
-                x = part.column(0).flatten().to_numpy(zero_copy_only=False).astype("<f8")
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([part.num_rows], pa.int32()), pa.array([x.tobytes()], pa.binary()),
-                     *[pa.array([part.column(c).to_numpy(zero_copy_only=False).astype("<i4").tobytes()], pa.binary()) for c in (1, 2)]],
-                    ["n", "x", "y", "cells"])
-
-    path = f"{ensure_checkpoint_dir(rows.sparkSession).rstrip('/')}/matrix-{uuid.uuid4().hex}"
-    blocks = rows.select(raw.alias("x"), F.col(label).cast("int").alias("y"), F.col(cell).cast("int").alias("cell"))
-    blocks.mapInArrow(build, "n int, x binary, y binary, cells binary").write.parquet(path)
-    return rows.sparkSession.read.parquet(path)
-
-
-def tree_sums(parts: DataFrame, tasks: int) -> dict[int, np.ndarray]:
-    """Per ``fit`` the sum of the arrays in ``sums``, added in groups of ``FAN_IN`` tasks until one is left."""
-    def add(table: pa.Table) -> pa.Table:
-        total = None
-        for s in table.column("sums"):
-            one = np.frombuffer(s.as_py(), "<f8")
-            total = one.copy() if total is None else total + one
-        return pa.table({"fit": table.column("fit").slice(0, 1), "part": table.column("part").slice(0, 1),
-                         "sums": pa.array([total.tobytes()], pa.binary())})
-
-    schema = "fit int, part int, sums binary"
-    while tasks > FAN_IN:
-        tasks = -(-tasks // FAN_IN)
-        parts = (parts.withColumn("part", F.floor(F.col("part") / FAN_IN).cast("int"))
-                 .groupBy("fit", "part").applyInArrow(add, schema))
-    parts = parts.withColumn("part", F.lit(0)).groupBy("fit", "part").applyInArrow(add, schema)
-    return {r["fit"]: np.frombuffer(bytes(r["sums"]), "<f8") for r in parts.collect()}       # one row per fit
+def _summed(bodies: list[bytes]) -> bytes:
+    total = np.frombuffer(bodies[0], "<f8").copy()
+    for b in bodies[1:]:
+        total += np.frombuffer(b, "<f8")
+    return total.tobytes()
 
 
-def newton_sums(blocks: DataFrame, fits: dict[int, tuple], tasks: int) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+def newton_sums(matrix: Matrix, fits: dict[int, tuple]) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
     """Per fit (weighted loss, gradient, Hessian) at its coefficients, from one pass over the blocks.
 
     ``fits``: number -> (cells, design, coefficients, weight of class 0, weight of class 1).
     """
-    broadcast = blocks.sparkSession.sparkContext.broadcast(fits)
+    sent = matrix.spark.sparkContext.broadcast(fits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = broadcast.value
+        own = sent.value
         held = {f: np.zeros(1 + d.width + d.width ** 2) for f, (_, d, *_) in own.items()}
-        for batch in batches:
-            for r in range(batch.num_rows):
-                n = batch.column(0)[r].as_py()
-                raw, y, cells = (np.frombuffer(batch.column(c)[r].as_buffer(), t) for c, t in ((1, "<f8"), (2, "<i4"), (3, "<i4")))
-                raw = raw.reshape(n, -1)
-                for f, (wanted, design, beta, w0, w1) in own.items():
-                    rows = np.isin(cells, list(wanted))
-                    if not rows.any():
-                        continue
-                    x, target = design.matrix(raw[rows]), y[rows].astype(np.float64)
-                    margin = x @ beta
-                    p = np.exp(-np.logaddexp(0, -margin))
-                    w = np.where(target > 0, w1, w0)
-                    scaled = x * np.sqrt(w * p * (1 - p))[:, None]
-                    held[f][0] += (w * (np.logaddexp(0, margin) - target * margin)).sum()
-                    held[f][1:1 + design.width] += (w * (p - target)) @ x
-                    held[f][1 + design.width:] += (scaled.T @ scaled).ravel()
-        part = TaskContext.get().partitionId()
+        for raw, y, cells in _opened(batches):
+            for f, (wanted, design, beta, w0, w1) in own.items():
+                rows = np.isin(cells, list(wanted))
+                if not rows.any():
+                    continue
+                x, target = design.matrix(raw[rows]), y[rows].astype(np.float64)
+                margin = x @ beta
+                p = np.exp(-np.logaddexp(0, -margin))
+                w = np.where(target > 0, w1, w0)
+                scaled = x * np.sqrt(w * p * (1 - p))[:, None]
+                held[f][0] += (w * (np.logaddexp(0, margin) - target * margin)).sum()
+                held[f][1:1 + design.width] += (w * (p - target)) @ x
+                held[f][1 + design.width:] += (scaled.T @ scaled).ravel()
         for f, sums in held.items():
-            yield pa.RecordBatch.from_arrays([pa.array([f], pa.int32()), pa.array([part], pa.int32()),
-                                              pa.array([sums.astype("<f8").tobytes()], pa.binary())], ["fit", "part", "sums"])
+            yield _sent(f, sums.astype("<f8").tobytes())
 
-    total = tree_sums(blocks.mapInArrow(run, "fit int, part int, sums binary"), tasks)
-    broadcast.unpersist()
+    total = tree_merged(matrix.blocks.mapInArrow(run, "fit int, part int, body binary"), matrix.tasks, _summed)
+    sent.unpersist()
     out = {}
     for f, (_, d, *_) in fits.items():
-        out[f] = float(total[f][0]), total[f][1:1 + d.width].copy(), total[f][1 + d.width:].reshape(d.width, d.width).copy()
+        sums = np.frombuffer(total[f], "<f8")
+        out[f] = float(sums[0]), sums[1:1 + d.width].copy(), sums[1 + d.width:].reshape(d.width, d.width).copy()
     return out
 
 
-def newton(blocks: DataFrame, designs: dict[int, tuple], penalty: np.ndarray | float = 1.0, free_intercept: bool = False,
+def newton(matrix: Matrix, designs: dict[int, tuple], penalty: np.ndarray | float = 1.0, free_intercept: bool = False,
            steps: int = NEWTON_STEPS, tolerance: float = TOLERANCE) -> dict[int, np.ndarray]:
     """Coefficients (constant last) of every fit: minimum of the weighted loss + penalty / 2 * |b|^2.
 
@@ -259,9 +353,8 @@ def newton(blocks: DataFrame, designs: dict[int, tuple], penalty: np.ndarray | f
     best = dict.fromkeys(beta, (np.inf, None))
     move: dict[int, np.ndarray] = {}
     waiting = set(beta)
-    tasks = (blocks.select(F.spark_partition_id().alias("task")).agg(F.max("task")).first()[0] or 0) + 1
     for _ in range(steps):
-        sums = newton_sums(blocks, {f: (c, d, beta[f], w0, w1) for f, (c, d, w0, w1) in designs.items() if f in waiting}, tasks)
+        sums = newton_sums(matrix, {f: (c, d, beta[f], w0, w1) for f, (c, d, w0, w1) in designs.items() if f in waiting})
         for f, (loss, gradient, hessian) in sums.items():
             weight = np.full(len(beta[f]), penalty)
             if free_intercept:
@@ -287,12 +380,8 @@ def fit_logits(rows: DataFrame, features, label: str, sets: Sequence[set], cell:
     """L2 + L3 + L4 of every training set: balanced class weights, penalty 1 / c, all fitted together."""
     from vigil.operators.models import LogitModel
     sets = [set(s) for s in sets]
-    preps = fit_preps(rows, features, sets, cell)
-    numeric, categorical = split_columns(rows, features)
-    labels = {name: sorted({v for p in preps if name in p.categorical for v in p.encoders[p.categorical.index(name)][0].labels})
-              for name in categorical}
-    known = [name for name in categorical if labels[name]]
-    blocks = matrix_blocks(rows, numeric, known, labels, label, cell)
+    matrix = Matrix(rows, features, cell, label)
+    preps = preps_of(matrix, sets)
     sizes = {(r["cell"], r["y"]): r["count"] for r in rows.groupBy(F.col(cell).alias("cell"), F.col(label).cast("int").alias("y"))
              .count().collect()}                                        # two rows per cell
     designs = {}
@@ -300,6 +389,6 @@ def fit_logits(rows: DataFrame, features, label: str, sets: Sequence[set], cell:
         n0, n1 = (sum(sizes.get((k, y), 0) for k in cells) for y in (0, 1))
         classes = (n0 > 0) + (n1 > 0)
         w0, w1 = ((n0 + n1) / (classes * m) if m else 0.0 for m in (n0, n1))
-        designs[f] = (cells, Design(prep, numeric, known, labels), w0, w1)
-    beta = newton(blocks, designs, 1.0 / c, not penalize_intercept, max_iter)
+        designs[f] = (cells, Design(prep, matrix.numeric, matrix.categorical, matrix.labels), w0, w1)
+    beta = newton(matrix, designs, 1.0 / c, not penalize_intercept, max_iter)
     return [LogitModel(prep, beta[f][:-1].tolist(), float(beta[f][-1])) for f, prep in enumerate(preps)]
