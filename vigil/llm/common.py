@@ -27,6 +27,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame) -> None:
+    """Delete the folder of a ``stored`` table that no later step reads, so that disk holds what is in use only."""
+    spark = table.sparkSession
+    folders = {f.rsplit("/", 1)[0] for f in table.inputFiles()}
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 BROADCAST_ROWS = 1_000_000      # tables of ids (8 bytes each) are broadcast up to here
 
 

@@ -149,7 +149,7 @@ WITH split AS (
   FROM line
 ), places AS (
   SELECT row_number() OVER (ORDER BY doc_id, line_no) AS place, doc_id, line_no, list_sort(list_distinct(words)) AS words, len(list_distinct(words)) AS n
-  FROM sets WHERE len(words) >= 5
+  FROM sets WHERE len(words) > 0
 ), firsts AS (
   SELECT min(place) AS place, words, any_value(n) AS n FROM places GROUP BY words
 ), word AS (
