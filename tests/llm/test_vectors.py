@@ -89,3 +89,25 @@ def test_few_rows_and_none(spark):
     assert [(r.rank, r.vec_id) for r in forest_neighbours(spark, few).orderBy("rank").collect()] == [(1, 1), (2, 2)]
     for empty in (few.limit(0), table(spark, [(0, None)]), table(spark, [(0, [1.0])])):
         assert exact_top_k(spark, empty).count() == 0 and forest_neighbours(spark, empty).count() == 0
+
+
+def test_repeated_rows_and_huge_components(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.standard_normal(4).astype(np.float32).tolist()) for i in range(150)]
+    again = rows + [rows[0], rows[100], rows[3], rows[3], (7, [9.0, 9.0, 9.0, 9.0])]
+    key = lambda r: (r.query_id, r.rank)
+    for search in (exact_top_k, forest_neighbours):
+        one = sorted(search(spark, table(spark, rows)).collect(), key=key)
+        two = sorted(search(spark, table(spark, again + [(200, [1e30, 0.0, 0.0, 0.0])] * (search is exact_top_k))).collect(), key=key)
+        assert [tuple(r) for r in one] == [tuple(r) for r in two]
+        assert len({(r.query_id, r.vec_id) for r in two}) == len(two) == 20
+
+
+def test_scores_that_doubles_round_are_exact(spark):
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(x) for x in np.float32(rng.integers(-2 ** 17, 2 ** 17, 5) + rng.random(5))]) for i in range(300)]
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in exact_top_k(spark, table(spark, rows), rows=90).collect()}
+    whole = [(i, [int(np.floor(1024 * x)) for x in v]) for i, v in rows]
+    for q, x in whole[::100]:
+        best = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in whole if i != q)[:10]
+        assert [got[q, k + 1] for k in range(10)] == [(i, -s) for s, i in best]

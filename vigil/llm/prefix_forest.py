@@ -15,7 +15,7 @@ least); data without clusters needs a large one.
 
 Defined results: vectors that are null, zero, hold null or non-finite components, or differ
 in length from the rest take no part; rows with the query's own vec_id are not its
-candidates; fewer than k candidates give fewer rows; an empty table gives none; extra
+candidates, of rows with the same vec_id one takes part (the smallest vector); fewer than k candidates give fewer rows; an empty table gives none; extra
 columns are ignored.
 """
 
@@ -26,10 +26,11 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.common import stored
-from vigil.llm.vectors import (QUERY_BLOCK, QUERY_EVERY, SHARD_ROWS, best_per_query, search_in_blocks, shard_rows,
+from vigil.llm.vectors import (QUERY_BLOCK, QUERY_EVERY, SHARD_ROWS, best_per_query, search_all, shard_rows,
                                valid_vectors)
 
 TREES = 40
@@ -37,7 +38,7 @@ BITS = 32                   # length of a hash string
 SHARE = 0.6
 LEAST = 2000                # candidates the runs hold together at least, in shards that have them
 SEED = 20240229
-INDEX_SCHEMA = "n int, ids binary, vectors binary, strings binary, places binary"
+INDEX_SCHEMA = "slot int, n int, ids binary, vectors binary, strings binary, places binary"
 
 
 @lru_cache(maxsize=4)
@@ -65,8 +66,8 @@ def build_forest(vectors: DataFrame, trees: int = TREES, bits: int = BITS, seed:
             strings = np.take_along_axis(strings, places, axis=1)
             row = (ids.astype("<i8"), matrix.astype("<f8"), strings.astype("<u8"), places.astype("<u2" if rows <= 65536 else "<u4"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(ids)], pa.int32()), *[pa.array([a.tobytes()], pa.binary()) for a in row]],
-                ["n", "ids", "vectors", "strings", "places"])
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(ids)], pa.int32()),
+                 *[pa.array([a.tobytes()], pa.binary()) for a in row]], ["slot", "n", "ids", "vectors", "strings", "places"])
     return stored(vectors.mapInArrow(build, INDEX_SCHEMA), "prefix-forest")
 
 
@@ -110,26 +111,16 @@ def forest_neighbours(spark: SparkSession, vectors: DataFrame, k: int = 10, ever
                       trees: int = TREES, bits: int = BITS, share: float = SHARE, seed: int = SEED,
                       rows: int = SHARD_ROWS, block: int = QUERY_BLOCK) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found for every query."""
-    valid = valid_vectors(vectors, drop_zero=True)
+    valid = stored(valid_vectors(vectors, drop_zero=True), "valid-vectors")
     index = build_forest(valid, trees, bits, seed, rows)
 
-    def searcher(query_ids: np.ndarray, queries: np.ndarray):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            query_strings = hash_strings(queries, trees, bits, seed)
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    n, ids, vecs, strings, places = (batch.column(c)[r].as_py() for c in range(5))
-                    parts = list(nearest_in_shard(
-                        np.frombuffer(ids, "<i8"), np.frombuffer(vecs, "<f8").reshape(n, -1),
-                        np.frombuffer(strings, "<u8").reshape(trees, n),
-                        np.frombuffer(places, "<u2" if rows <= 65536 else "<u4").reshape(trees, n),
-                        query_ids, queries, query_strings, bits, k, share))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]), pa.int64()),
-                         pa.array(np.concatenate([p[1] for p in parts]), pa.int64()),
-                         pa.array(np.concatenate([p[2] for p in parts]), pa.float64())],
-                        ["query_id", "vec_id", "score"])
-        return search
-
-    found = search_in_blocks(spark, index, valid, "query_id long, vec_id long, score double", searcher, every, block)
+    def search(shard: dict, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
+        n = shard["n"]
+        return nearest_in_shard(
+            np.frombuffer(shard["ids"], "<i8"), np.frombuffer(shard["vectors"], "<f8").reshape(n, -1),
+            np.frombuffer(shard["strings"], "<u8").reshape(trees, n),
+            np.frombuffer(shard["places"], "<u2" if rows <= 65536 else "<u4").reshape(trees, n),
+            query_ids, queries, hash_strings(queries, trees, bits, seed), bits, k, share)
+
+    found = search_all(index, valid, "query_id long, vec_id long, score double", search, every, block)
     return best_per_query(found, k, descending=False)

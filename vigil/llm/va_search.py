@@ -10,7 +10,8 @@ those are the answer.
 
 Components are floor(scale * x). Defined results: vectors that are null, hold null or
 non-finite components, or differ in length from the rest take no part; rows with the
-query's own vec_id are not its candidates; fewer than k candidates give fewer rows;
+query's own vec_id are not its candidates, of rows with the same vec_id one takes part (the
+smallest vector); vectors with a component so large that a score may not fit a long take no part; fewer than k candidates give fewer rows;
 an empty table gives none; extra columns are ignored.
 """
 
@@ -20,22 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.llm.common import stored
-from vigil.llm.vectors import (QUERY_BLOCK, QUERY_EVERY, SHARD_ROWS, best_per_query, search_in_blocks, shard_rows,
+from vigil.llm.vectors import (QUERY_BLOCK, QUERY_EVERY, SHARD_ROWS, best_per_query, search_all, shard_rows,
                                valid_vectors)
 
 CELLS = 256
+SCORE_BITS = 62             # that a sum of products may have
 READ_AT_ONCE = 64           # exact vectors read between two looks at the k-th score
 SCAN_ROWS = 2048            # approximations bounded at once
-INDEX_SCHEMA = "n int, ids binary, cells binary, exact binary"
+INDEX_SCHEMA = "slot int, n int, ids binary, cells binary, exact binary"
 
 
 def integer_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     v = valid_vectors(vectors, drop_zero=False)
-    return v.select("vec_id", F.transform("vec", lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("vec"))
+    fits = F.forall("vec", lambda x: F.abs(x) * F.lit(float(scale)) <= F.sqrt(F.lit(2.0 ** SCORE_BITS) / F.size("vec")))
+    return v.filter(fits).select("vec_id", F.transform("vec", lambda x: F.floor(x * F.lit(scale)).cast("double")).alias("vec"))
 
 
 def build_va_files(integers: DataFrame, rows: int = SHARD_ROWS) -> tuple[DataFrame, np.ndarray, np.ndarray]:
@@ -50,9 +54,9 @@ def build_va_files(integers: DataFrame, rows: int = SHARD_ROWS) -> tuple[DataFra
         for ids, matrix in shard_rows(batches, rows):
             cells = np.floor((matrix - low) / width).clip(0, CELLS - 1).astype(np.uint8)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([len(ids)], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-                 pa.array([cells.tobytes()], pa.binary()),
-                 pa.array([matrix.astype("<i8").tobytes()], pa.binary())], ["n", "ids", "cells", "exact"])
+                [pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([len(ids)], pa.int32()),
+                 pa.array([ids.astype("<i8").tobytes()], pa.binary()), pa.array([cells.tobytes()], pa.binary()),
+                 pa.array([matrix.astype("<i8").tobytes()], pa.binary())], ["slot", "n", "ids", "cells", "exact"])
 
     return stored(integers.mapInArrow(build, INDEX_SCHEMA), "va-files"), low, width
 
@@ -62,7 +66,11 @@ def score_bounds(cells: np.ndarray, low, width, queries: np.ndarray) -> tuple[np
     least = low + cells * width
     most = least + (width - 1)
     up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-    return up @ least.T + down @ most.T, up @ most.T + down @ least.T
+    lower, upper = up @ least.T + down @ most.T, up @ most.T + down @ least.T
+    if np.abs(queries).max(initial=0) * np.maximum(np.abs(least), np.abs(most)).max(initial=0) * queries.shape[1] >= 2 ** 52:
+        slack = 2.0 ** -50 * (np.abs(queries) @ np.maximum(np.abs(least), np.abs(most)).T) + 1      # sums that doubles round
+        return lower - slack, upper + slack
+    return lower, upper
 
 
 def search_shard(ids, cells, exact, low, width, query_ids, queries, k) -> Iterator[tuple]:
@@ -97,20 +105,10 @@ def exact_top_k(spark: SparkSession, vectors: DataFrame, k: int = 10, scale: int
     integers = stored(integer_vectors(vectors, scale), "integer-vectors")
     index, low, width = build_va_files(integers, rows)
 
-    def searcher(query_ids: np.ndarray, queries: np.ndarray):
-        def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for r in range(batch.num_rows):
-                    n, ids, cells, exact = (batch.column(c)[r].as_py() for c in range(4))
-                    parts = list(search_shard(
-                        np.frombuffer(ids, "<i8"), np.frombuffer(cells, np.uint8).reshape(n, -1),
-                        np.frombuffer(exact, "<i8").reshape(n, -1), low, width, query_ids, queries, k))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]), pa.int64()),
-                         pa.array(np.concatenate([p[1] for p in parts]), pa.int64()),
-                         pa.array(np.concatenate([p[2] for p in parts]), pa.int64())],
-                        ["query_id", "vec_id", "score"])
-        return search
-
-    found = search_in_blocks(spark, index, integers, "query_id long, vec_id long, score long", searcher, every, block)
+    def search(shard: dict, query_ids: np.ndarray, queries: np.ndarray) -> Iterator[tuple]:
+        n = shard["n"]
+        return search_shard(np.frombuffer(shard["ids"], "<i8"), np.frombuffer(shard["cells"], np.uint8).reshape(n, -1),
+                            np.frombuffer(shard["exact"], "<i8").reshape(n, -1), low, width, query_ids, queries, k)
+
+    found = search_all(index, integers, "query_id long, vec_id long, score long", search, every, block)
     return best_per_query(found, k, descending=True)

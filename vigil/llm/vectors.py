@@ -6,10 +6,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vigil.llm.common import fresh_path
+from vigil.llm.common import stored
 
 QUERY_EVERY = 100       # rows whose id is divisible by this are the queries
 QUERY_BLOCK = 1024      # queries a task holds at once
@@ -20,7 +20,8 @@ def valid_vectors(vectors: DataFrame, drop_zero: bool) -> DataFrame:
     """(vec_id, vec array<double>) without null ids, null vectors, and null or non-finite components.
 
     Vectors whose length is not the commonest one (the longer on ties) take no part either:
-    no measure is defined between different lengths. ``drop_zero`` leaves out zero vectors.
+    no measure is defined between different lengths. ``drop_zero`` leaves out zero vectors. Of
+    rows with the same vec_id the one with the smallest vector takes part.
     """
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
                        F.col("embedding").cast("array<double>").alias("vec"))
@@ -29,7 +30,8 @@ def valid_vectors(vectors: DataFrame, drop_zero: bool) -> DataFrame:
     if drop_zero:
         v = v.filter(F.exists("vec", lambda x: x != 0))
     sizes = v.groupBy(F.size("vec").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return v.filter(F.size("vec") == (sizes[0]["n"] if sizes else 0))
+    v = v.filter(F.size("vec") == (sizes[0]["n"] if sizes else 0))
+    return v.groupBy("vec_id").agg(F.min("vec").alias("vec"))
 
 
 def shard_rows(batches: Iterator[pa.RecordBatch], rows: int = SHARD_ROWS) -> Iterator[tuple]:
@@ -50,37 +52,37 @@ def shard_rows(batches: Iterator[pa.RecordBatch], rows: int = SHARD_ROWS) -> Ite
         yield np.concatenate(ids), np.concatenate(mats)
 
 
-def query_blocks(vectors: DataFrame, every: int = QUERY_EVERY, block: int = QUERY_BLOCK) -> Iterator[tuple]:
-    """(ids, float64 matrix) blocks of about ``block`` queries, by ranges of vec_id, one at a time on the driver."""
-    queries = vectors.filter(F.col("vec_id") % every == 0)
-    n = queries.count()
-    if not n:
-        return
-    blocks = -(-n // block)
-    cuts = sorted(set(queries.approxQuantile("vec_id", [i / blocks for i in range(1, blocks)], 0.2 / blocks))
-                  ) if blocks > 1 else []
-    # boundaries go through doubles; neighbouring ranges share the same boundary, so none is lost
-    for lo, hi in zip([None, *cuts], [*cuts, None]):
-        part = queries
-        if lo is not None:
-            part = part.filter(F.col("vec_id").cast("double") > lo)
-        if hi is not None:
-            part = part.filter(F.col("vec_id").cast("double") <= hi)
-        rows = part.collect()
-        for at in range(0, len(rows), block):
-            some = rows[at:at + block]
-            yield (np.array([r["vec_id"] for r in some], dtype=np.int64),
-                   np.array([r["vec"] for r in some], dtype=np.float64))
-
-
-def search_in_blocks(spark: SparkSession, index: DataFrame, vectors: DataFrame, schema: str,
-                     search: Callable[[np.ndarray, np.ndarray], Callable], every: int, block: int) -> DataFrame:
-    """Run ``search(ids, matrix)`` (a mapInArrow function) over the whole index, once per query block."""
-    path = fresh_path(spark, "found")
-    spark.createDataFrame([], schema).write.parquet(path)
-    for ids, matrix in query_blocks(vectors, every, block):
-        index.mapInArrow(search(ids, matrix), schema).write.mode("append").parquet(path)
-    return spark.read.schema(schema).parquet(path)
+def query_blocks(vectors: DataFrame, every: int = QUERY_EVERY, block: int = QUERY_BLOCK) -> DataFrame:
+    """(n, ids, vectors): the queries, the rows whose vec_id is divisible by ``every``, in packed blocks."""
+    queries = vectors.filter(F.col("vec_id") % every == 0).select("vec_id", "vec")
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, matrix in shard_rows(batches, block):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([len(ids)], pa.int32()), pa.array([ids.astype("<i8").tobytes()], pa.binary()),
+                 pa.array([matrix.astype("<f8").tobytes()], pa.binary())], ["n", "ids", "vectors"])
+
+    width = max(1, -(-queries.count() // block))
+    return stored(queries.repartition(width).mapInArrow(build, "n int, ids binary, vectors binary"), "query-blocks")
+
+
+def search_all(index: DataFrame, vectors: DataFrame, schema: str, search: Callable[[dict, np.ndarray, np.ndarray], Iterator[tuple]],
+               every: int, block: int) -> DataFrame:
+    """``search(shard, query ids, query matrix)`` -> (own id, found ids, scores) of each query, for all shards and blocks at once."""
+    types = [pa.float64() if f.split()[1] == "double" else pa.int64() for f in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                shard, held = (batch.column(c)[r].as_py() for c in (0, 1))
+                ids = np.frombuffer(held["ids"], "<i8")
+                parts = list(search(shard, ids, np.frombuffer(held["vectors"], "<f8").reshape(held["n"], -1)))
+                columns = (np.repeat([p[0] for p in parts], [len(p[1]) for p in parts]),
+                           *(np.concatenate([p[k] for p in parts]) for k in (1, 2)))
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)],
+                                                 [f.split()[0] for f in schema.split(", ")])
+
+    return meet(index, query_blocks(vectors, every, block)).mapInArrow(run, schema)
 
 
 def best_per_query(found: DataFrame, k: int, descending: bool) -> DataFrame:
