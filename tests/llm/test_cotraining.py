@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vigil.llm.common import stored
-from vigil.llm.cotraining import (META_SIZE, TEXT_SIZE, CoTrained, _held_out, classify, featurise, fit, keep_good,
+from vigil.llm.cotraining import (META_SIZE, TEXT_SIZE, CoTrained, _held_out, _information, classify, featurise, fit, keep_good,
                                   meta_features, text_features)
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string"
@@ -54,9 +54,31 @@ def test_views_exchange_labels(spark, trained):
     features = stored(featurise(docs, few), "views")
     alone, together = fit(features, rounds=0), fit(features, rounds=3, confident=0.9)
     assert not np.allclose(alone.meta.weights, together.meta.weights)
+    assert not np.allclose(alone.text.weights, together.text.weights)
     assert not np.allclose(alone.meta.weights, 0) and together.fitted
 
 
+@pytest.mark.parametrize("sf", ["sf0.01"])
+def test_both_views_label_real_documents(spark, sf):
+    """On the given tables, where the metadata says little, each view still labels a share and moves the other."""
+    folder = f"/root/testdata/{sf}"
+    features = stored(featurise(spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")), "views")
+    alone, together = fit(features, rounds=0), fit(features)
+    for view in ("text", "meta"):
+        a, b = getattr(alone, view), getattr(together, view)
+        assert np.abs(a.weights - b.weights).max() > 1e-4
+        rows = features.filter(F.col("label").isNull()).select(f"{view}_view").collect()
+        x = np.array([np.frombuffer(bytes(r[0]), "<f4") for r in rows], dtype=float)
+        odds = b.log_odds(x)
+        assert ((odds >= b.high) | (odds <= b.low)).mean() > 0.1
+
+
+def test_information_of_a_label():
+    p = np.array([0.0, 0.2, 0.8, 0.9, 1.0])
+    got = _information(p, 0.8)
+    assert np.allclose(got[[0, 2, 4]], [1, 0, 1], atol=1e-9) and 0 < got[3] < 0.2 and 0 < got[1] < 1
+
+
 def test_newton_fit_equals_a_direct_solution(trained):
     """The distributed sums give the ridge logistic fit of the true labels (before any exchange)."""
     docs, labels, _, _ = trained

@@ -3,13 +3,14 @@
 One view is the text (character classes and their transitions, word repetition, line
 shape), the other the page metadata (source, language, size). Each view has its own logistic
 model. In every round the two models, calibrated on labelled rows that neither is trained on,
-label the unlabelled documents they are confident about, and each trains on the other's
-labels besides the true ones. At the end the calibrated views are combined: their log-odds
+label the unlabelled documents they are most confident about, a share of either class in proportion
+to the class, and each trains on the other's labels besides the true ones. A pseudo-label is the
+calibrated probability, and weighs as much as it says beyond the prior (its divergence from the
+prior, against that of certainty), so a weak view teaches little but never nothing. At the end the calibrated views are combined: their log-odds
 add, less the prior's, which both contain.
 
 Fitting is exact Newton steps over all labelled and confidently labelled rows: every task sums its
-rows' gradient and curvature, the sums are added in a bounded number of groups, and the driver
-solves one small system. Nothing is sampled.
+rows' gradient and curvature, the sums are added in a tree, and the driver solves one small system. Nothing is sampled.
 
 Defined results: null text, source or language count as empty, a null size as 0; a null or
 missing label is unlabelled, several labels of one document are averaged; without labels
@@ -31,15 +32,16 @@ from pyspark.sql import functions as F
 
 from vigil.llm.common import stored, text_or_empty
 from vigil.llm.order_minhash import word_hashes
+from vigil.operators.fold_fits import tree_merged
 
 ROUNDS = 3                  # exchanges of pseudo-labels
 FIRST_STEPS, LATER_STEPS = 6, 2     # Newton steps of the first fit and of each round
-CONFIDENT = 0.98            # calibrated probability from which a pseudo-label is given
+CONFIDENT = 0.98            # calibrated probability from which a pseudo-label is given in any case
+SHARE = 0.2                 # of the unlabelled documents that a view labels at least, both classes together
 PSEUDO_WEIGHT = 0.5         # of a pseudo-label against a true one
 RIDGE = 1.0
 HELD_OUT = 5                # one in so many labelled documents calibrates and does not train
 ACCEPT = 0.5
-SUM_GROUPS = 16
 BINS = np.linspace(-12, 12, 97)     # log-odds bins of the calibration
 
 # Character classes: 0 other, 1 small, 2 capital, 3 digit, 4 blank, 5 line end, 6 sentence mark, 7 non-ASCII.
@@ -101,6 +103,8 @@ class View:
     weights: np.ndarray
     slope: float = 1.0
     shift: float = 0.0
+    high: float = np.inf        # log-odds from which it labels documents good
+    low: float = -np.inf        # and up to which bad
 
     def raw(self, x: np.ndarray) -> np.ndarray:
         return x @ self.weights
@@ -159,11 +163,9 @@ def _held_out(doc_ids: np.ndarray) -> np.ndarray:
     return ((doc_ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)) % np.uint64(HELD_OUT) == 0
 
 
-def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
-    """Sum over all rows of ``add(text, meta, label, held_out)``, arrays of ``size`` numbers.
-
-    One partial sum per task, added in SUM_GROUPS groups before the driver adds those.
-    """
+def _summed(rows: DataFrame, size: int, add, tasks: int) -> np.ndarray:
+    """Sum over all rows of ``add(text, meta, label, held_out)``, arrays of ``size`` numbers: one sum per
+    task, added in a tree, of which the driver gets one."""
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size)
         for batch in batches:
@@ -173,18 +175,15 @@ def _summed(rows: DataFrame, size: int, add) -> np.ndarray:
                 label = part.column("label").to_numpy(zero_copy_only=False).astype(np.float64)
                 ids = np.nan_to_num(part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.float64)).astype(np.int64)
                 total += add(text, meta, label, _held_out(ids))
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % SUM_GROUPS], pa.int32()),
-                                          pa.array([total.tobytes()], pa.binary())], ["part", "total"])
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([TaskContext.get().partitionId()], pa.int32()),
+                                          pa.array([total.tobytes()], pa.binary())], ["fit", "part", "body"])
 
-    def together(table):
-        total = np.zeros(size)
-        for t in table.column("total").to_pylist():
-            total += np.frombuffer(t)
-        return pa.table({"total": pa.array([total.tobytes()], pa.binary())})
+    def together(bodies: list[bytes]) -> bytes:
+        return sum((np.frombuffer(b) for b in bodies), np.zeros(size)).tobytes()
 
-    parts = (rows.select("doc_id", "label", "text_view", "meta_view").mapInArrow(partial, "part int, total binary")
-             .groupBy("part").applyInArrow(together, "total binary").collect())      # SUM_GROUPS rows
-    return sum((np.frombuffer(bytes(p["total"])) for p in parts), np.zeros(size))
+    parts = rows.select("doc_id", "label", "text_view", "meta_view").mapInArrow(partial, "fit int, part int, body binary")
+    total = tree_merged(parts, tasks, together)
+    return np.frombuffer(total[0]) if total else np.zeros(size)
 
 
 def _newton_sums(x: np.ndarray, y: np.ndarray, w: np.ndarray, weights: np.ndarray) -> np.ndarray:
@@ -201,16 +200,38 @@ def _newton_step(weights: np.ndarray, sums: np.ndarray) -> np.ndarray:
     return weights + np.linalg.solve(sums[n:].reshape(n, n) + np.diag(ridge), sums[:n] - ridge * weights)
 
 
-def _targets(label: np.ndarray, held: np.ndarray, teacher: np.ndarray | None, confident: float):
+def _information(p: np.ndarray, prior: float) -> np.ndarray:
+    """Divergence of a probability from the prior, as a part of that of certainty on its side."""
+    p = np.clip(p, 1e-12, 1 - 1e-12)
+    gain = p * np.log(p / prior) + (1 - p) * np.log((1 - p) / (1 - prior))
+    return np.clip(gain / np.where(p > prior, -np.log(prior), -np.log(1 - prior)), 0, 1)
+
+
+def _targets(label: np.ndarray, held: np.ndarray, view: View | None, teacher: np.ndarray | None, prior: float):
     """(target, weight) of a view's training rows; ``teacher``: the other view's calibrated log-odds."""
     known = ~np.isnan(label)
     y, w = np.where(known, label, 0.0), np.where(known & ~held, 1.0, 0.0)
     if teacher is not None:
-        sure = ~known & (np.abs(teacher) >= np.log(confident / (1 - confident)))
-        y, w = np.where(sure, teacher > 0, y), np.where(sure, PSEUDO_WEIGHT, w)
+        sure = ~known & ((teacher >= view.high) | (teacher <= view.low))
+        p = sigmoid(teacher)
+        y, w = np.where(sure, p, y), np.where(sure, PSEUDO_WEIGHT * _information(p, prior), w)
     return y, w
 
 
+def _confident(view: View, unlabelled: np.ndarray, prior: float, confident: float, share: float) -> View:
+    """The view with its limits: the most confident ``share`` of the unlabelled documents, per class as the prior says."""
+    total = unlabelled.sum()
+    certain = float(np.log(confident / (1 - confident)))
+    if not total or not view.slope:
+        return View(view.weights, view.slope, view.shift, certain, -certain)
+    edges = view.slope * np.concatenate([[-np.inf], BINS, [np.inf]]) + view.shift
+    above, below = np.cumsum(unlabelled[::-1])[::-1], np.cumsum(unlabelled)
+    high = edges[np.flatnonzero(above >= share * prior * total)[-1]]
+    low = edges[np.flatnonzero(below >= share * (1 - prior) * total)[0] + 1]
+    middle = float(np.log(prior / (1 - prior)))
+    return View(view.weights, view.slope, view.shift, min(certain, max(high, middle)), max(-certain, min(low, middle)))
+
+
 def _calibrate(view: View, counts: np.ndarray) -> View:
     """Slope and shift from (bin, class) counts of held-out raw scores, with smoothed targets."""
     good, bad = counts[:, 0], counts[:, 1]
@@ -229,13 +250,15 @@ def _calibrate(view: View, counts: np.ndarray) -> View:
     return View(view.weights, max(0.0, float(ab[0])), float(ab[1]))
 
 
-def fit(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) -> CoTrained:
+def fit(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT, share: float = SHARE) -> CoTrained:
     """Co-train over the stored feature table."""
-    seen = _summed(rows, 2, lambda t, m, y, h: np.array([(y >= 0.5).sum(), (y < 0.5).sum()]))
+    tasks = (rows.select(F.spark_partition_id().alias("task")).agg(F.max("task")).first()[0] or 0) + 1
+    seen = _summed(rows, 2, lambda t, m, y, h: np.array([(y >= 0.5).sum(), (y < 0.5).sum()]), tasks)
     model = CoTrained(prior=float(np.log((seen[0] + 1) / (seen[1] + 1))))
     if not seen.all():
         return model
     model.fitted = True
+    prior = float((seen[0] + 1) / (seen.sum() + 2))
     sizes = (TEXT_SIZE * (TEXT_SIZE + 1), META_SIZE * (META_SIZE + 1))
     for r in range(rounds + 1):
         teachers = (model.text, model.meta) if r else None
@@ -243,19 +266,22 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, confident: float = CONFIDENT) ->
         for _ in range(LATER_STEPS if r else FIRST_STEPS):
             def add(t, m, y, h, text=text, meta=meta):
                 by_text, by_meta = (teachers[0].log_odds(t), teachers[1].log_odds(m)) if teachers else (None, None)
-                return np.concatenate([_newton_sums(t, *_targets(y, h, by_meta, confident), text),
-                                       _newton_sums(m, *_targets(y, h, by_text, confident), meta)])
-            sums = _summed(rows, sum(sizes), add)
+                of_text, of_meta = teachers or (None, None)
+                return np.concatenate([_newton_sums(t, *_targets(y, h, of_meta, by_meta, prior), text),
+                                       _newton_sums(m, *_targets(y, h, of_text, by_text, prior), meta)])
+            sums = _summed(rows, sum(sizes), add, tasks)
             text, meta = _newton_step(text, sums[:sizes[0]]), _newton_step(meta, sums[sizes[0]:])
 
         def tally(t, m, y, h, text=text, meta=meta):
-            rows_in = h & ~np.isnan(y)
-            out = np.zeros((2, len(BINS) + 1, 2))
-            for v, raw in enumerate((t[rows_in] @ text, m[rows_in] @ meta)):
-                np.add.at(out[v], (np.digitize(raw, BINS), (y[rows_in] < 0.5).astype(int)), 1)
+            known, out = ~np.isnan(y), np.zeros((2, len(BINS) + 1, 3))
+            column = np.where(known, y < 0.5, 2).astype(int)            # good, bad, unlabelled
+            counted = h | ~known
+            for v, raw in enumerate((t @ text, m @ meta)):
+                np.add.at(out[v], (np.digitize(raw[counted], BINS), column[counted]), 1)
             return out.reshape(-1)
-        counts = _summed(rows, 4 * (len(BINS) + 1), tally).reshape(2, len(BINS) + 1, 2)
-        model.text, model.meta = _calibrate(View(text), counts[0]), _calibrate(View(meta), counts[1])
+        counts = _summed(rows, 6 * (len(BINS) + 1), tally, tasks).reshape(2, len(BINS) + 1, 3)
+        model.text, model.meta = (_confident(_calibrate(View(w), c[:, :2]), c[:, 2], prior, confident, share)
+                                  for w, c in zip((text, meta), counts))
     return model
 
 
