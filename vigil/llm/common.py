@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Sequence
 
@@ -36,6 +39,14 @@ def dropped(table: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_memory() -> None:
+    """Give back to the system what earlier tasks of this Python worker have freed. Workers outlive their
+    stage, and the allocator keeps the pages of large numpy arrays otherwise."""
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):      # not glibc: nothing to do
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 BROADCAST_ROWS = 1_000_000      # tables of ids (8 bytes each) are broadcast up to here
 
 

@@ -25,8 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vigil.llm.common import offsets_before, stored, text_or_empty
-from vigil.llm.tokens import chunk_tokenizer
+from vigil.llm.common import offsets_before, release_memory, small, stored, text_or_empty
+from vigil.llm.tokens import CACHE_CHUNKS, chunk_tokenizer
 
 CAPACITY = 4096
 PIECE_SCHEMA = ("doc_id long, piece int, start long, length long, ids_crc32 long, "
@@ -116,12 +116,13 @@ def best_fit_plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple]
 
 
 def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_blanks: bool,
-               capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
+               capacity: int = CAPACITY, added_tokens: bool = False, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """One row per piece of every document, with its rank among the shard's pieces of that length."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = chunk_tokenizer(tokenizer_path, keeps_blanks, added_tokens)
+        release_memory()
+        tok = chunk_tokenizer(tokenizer_path, keeps_blanks, added_tokens, cache_chunks)
         shard, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):    # few texts at once as Python strings
@@ -142,18 +143,20 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_blanks:
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, keeps_blanks: bool = False,
-                   capacity: int = CAPACITY, added_tokens: bool = False) -> DataFrame:
+                   capacity: int = CAPACITY, added_tokens: bool = False, cache_chunks: int = CACHE_CHUNKS) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``docs``.
 
     ``added_tokens``: strings of added tokens in a text become their ids, as the library does by default.
+    ``cache_chunks``: encoded chunks that a Python worker remembers.
     """
     spark = docs.sparkSession
-    pieces = stored(cut_pieces(docs, tokenizer_path, end_id, keeps_blanks, capacity, added_tokens), "pieces")
+    pieces = stored(cut_pieces(docs, tokenizer_path, end_id, keeps_blanks, capacity, added_tokens, cache_chunks), "pieces")
     per_shard = pieces.groupBy("shard", "length").agg(F.count(F.lit(1)).alias("n"))
     histogram = {r["length"]: r["n"] for r in
                  per_shard.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # <= capacity rows
     plan, _ = best_fit_plan(histogram, capacity)
-    places = F.broadcast(spark.createDataFrame(
+    # a few rows per length, so the histogram's size bounds it; joined by shuffle beyond the common bound
+    places = small(spark.createDataFrame(
         plan, "length long, rank_from long, rank_to long, bin_from long, per_bin long, base long"))
     ranked = (pieces.join(offsets_before(per_shard, "shard", "n", "earlier", ["length"]).drop("n"),
                           ["shard", "length"])

@@ -182,6 +182,7 @@ class ChunkTokenizer:
 
 
 @lru_cache(maxsize=4)
-def chunk_tokenizer(path: str, keeps_blanks: bool, added_tokens: bool = False) -> ChunkTokenizer:
+def chunk_tokenizer(path: str, keeps_blanks: bool, added_tokens: bool = False,
+                    cache_chunks: int = CACHE_CHUNKS) -> ChunkTokenizer:
     """One tokenizer, and so one cache, per Python worker."""
-    return ChunkTokenizer(path, keeps_blanks, added_tokens=added_tokens)
+    return ChunkTokenizer(path, keeps_blanks, cache_chunks, added_tokens)
