@@ -8,6 +8,7 @@ thresholds, coefficients) come back to the driver.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -52,10 +53,14 @@ def scored_rows(model, rows: DataFrame, keys, target: str) -> DataFrame:
 
 def evaluate_models(df: DataFrame, features, target: str, keys, models=MODELS, n_splits: int = CV_SPLITS,
                     recall_target: float = ev.RECALL_TARGET, gbt_params: dict | None = None,
-                    pooled_dates: bool = True):
+                    pooled_dates: bool = True, tune_on: str = "test"):
     """Forward-chained CV of each model. Returns (summary, fold metrics,
     thresholds, out-of-fold predictions). ``pooled_dates``: folds over the dates of all series, as
-    one model serves them all; otherwise over the rows of each series."""
+    one model serves them all; otherwise over the rows of each series. ``tune_on``: each fold's threshold is
+    picked on its test rows, as the source does, or on its training rows ("train"), so that the metrics
+    are of a choice that has not seen the test rows."""
+    if tune_on not in ("test", "train"):
+        raise ValueError(f"tune_on must be 'test' or 'train', not {tune_on!r}")
     keys = as_list(keys)
     folded = cut_lineage((assign_date_folds(df, n_splits=n_splits) if pooled_dates else assign_folds(df, keys, n_splits=n_splits))
                          .where(F.col("n") > n_splits).withColumn("cell", F.coalesce("test_fold", F.lit(0))))
@@ -64,7 +69,8 @@ def evaluate_models(df: DataFrame, features, target: str, keys, models=MODELS, n
     folds = [f for f in range(1, n_splits + 1) if held.get(f)]
     if not folds:
         raise ValueError(f"{n_splits} folds need more than {n_splits} days")
-    parts, sizes = [], []
+    mk = ["model", "fold"]
+    parts, sizes, picks = [], [], []
     for name in models:
         # fold f trains on every earlier cell, so one pass prepares or fits all folds of the logistic model
         if name == "logit_balanced":
@@ -75,13 +81,17 @@ def evaluate_models(df: DataFrame, features, target: str, keys, models=MODELS, n
             part = scored_rows(model, test, keys, target).select(
                 F.lit(name).alias("model"), F.lit(f).alias("fold"), "*")
             parts.append(cut_lineage(part))
+            if tune_on == "train":
+                own = scored_rows(model, train, keys, target).select(F.lit(name).alias("model"), F.lit(f).alias("fold"), "*")
+                curve = ev.threshold_curve(own, mk, "y_true", "y_prob")
+                picks.append(cut_lineage(ev.pick_threshold(curve, mk, recall_target).select(*mk, "threshold")))
             sizes.append((name, f, sum(held.get(k, 0) for k in range(f))))
     oof = parts[0]
     for p in parts[1:]:
         oof = oof.unionByName(p)
     n_train = spark.createDataFrame(sizes, "model string, fold int, n_train long")
-    mk = ["model", "fold"]
-    folds = cut_lineage(ev.fold_metrics(oof, mk, "y_true", "y_prob", recall_target, n_train))
+    picked = reduce(DataFrame.unionByName, picks) if picks else None
+    folds = cut_lineage(ev.fold_metrics(oof, mk, "y_true", "y_prob", recall_target, n_train, picked))
     thresholds = folds.select(*mk, "threshold", "precision", "recall", "f1", "balanced_acc")
     oof = oof.join(F.broadcast(folds.select(*mk, "threshold")), mk).withColumn("y_pred", alert("y_prob", "threshold")).drop(
         "threshold")

@@ -411,6 +411,7 @@ SQL.update({
     "feature_stream": with_(event_panel_ctes() + [f"efilled AS ({interpolated('epanel', _EV)})",
                                                   f"ecomplete AS MATERIALIZED ({o.complete_rows('efilled', _EV)})"],
                             f"SELECT {', '.join(_EVENT_FEATS)} FROM ecomplete"),
+    "build_raw": SQL["clean_panel"],
     "bucketed_features": SQL["feature_table"],
     "consolidated_sink": SQL["grid_consolidated"],
     "column_date_order": f"SELECT o_orderkey, txt, CAST(CASE o_custkey % 3 WHEN 0 THEN try_strptime(txt, '%m/%d/%Y') "

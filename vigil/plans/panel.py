@@ -11,7 +11,7 @@ generator or array step on that same partitioning. No joins, no broadcast.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vigil.functions.util import as_list
@@ -19,6 +19,7 @@ from vigil.operators.daily import daily_mean, drop_incomplete, filled_calendar,
 from vigil.operators.features import BASE_NUMERIC
 from vigil.operators.horizon import add_category, add_future_categories
 from vigil.operators.quality import trim_sequential, zscore_apply, zscore_fit
+from vigil.session import cut_lineage
 
 
 def by_series(df: DataFrame, keys, partitions: int | None = None) -> DataFrame:
@@ -73,3 +74,17 @@ def write_panel(panel: DataFrame, keys, table: str, path: str, buckets: int | No
 def scaled_panel(clean: DataFrame, keys, variables=BASE_NUMERIC) -> tuple[DataFrame, DataFrame]:
     """The z-scored dataset (population std per series) and its scaler table."""
     return zscore_apply(clean, keys, list(variables)), zscore_fit(clean, keys, list(variables))
+
+
+def build_raw(spark: SparkSession, files: dict[str, str], out_dir: str, keys, variables=BASE_NUMERIC) -> DataFrame:
+    """The job from one text file per variable to the written datasets (S1-S4, A1 ... J2, S11, S12): ``raw`` (the clean
+    panel), ``scaled`` and ``scaler`` under ``out_dir``. Returns the raw dataset as read back."""
+    from vigil.plans.artefacts import write_table
+    from vigil.sources.delimited import load_variables
+    keys = as_list(keys)
+    obs = load_variables(spark, files, keys)
+    panel = cut_lineage(clean_panel(obs, keys, "date", variables, variable_col="variable", value_col="value"))
+    scaled, scaler = scaled_panel(panel, keys, variables)
+    for name, table, order in (("raw", panel, [*keys, "date"]), ("scaled", scaled, [*keys, "date"]), ("scaler", scaler, [*keys, "feature"])):
+        write_table(table, f"{out_dir}/{name}", order)
+    return spark.read.parquet(f"{out_dir}/raw")
