@@ -126,3 +126,12 @@ def test_packing_whole_documents(spark):
         assert at <= 4096
     assert len(held) == -(-sum(p[3] for p in pieces) // 4096)
     assert pack_documents(docs.limit(0), WORD, 1).count() == 0
+
+
+def test_a_small_cache_gives_the_same_pieces(spark):
+    rows = [(i, " ".join(f"word{(i * 7 + k) % 50}" for k in range(400)) + "\n\n tail!") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    order = ("doc_id", "piece", "start", "length", "ids_crc32")
+    small, usual = (sorted(tuple(r) for r in pack_documents(docs, WORD, 1, added_tokens=True, **kind).select(*order).collect())
+                    for kind in (dict(cache_chunks=20), {}))
+    assert small == usual and len(small) >= 40

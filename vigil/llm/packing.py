@@ -138,6 +138,9 @@ def cut_pieces(docs: DataFrame, tokenizer_path: str, end_id: int, keeps_blanks:
                         seen[n] += 1
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), ARROW_PIECE.types)], schema=ARROW_PIECE)
+        if cache_chunks < CACHE_CHUNKS:     # memory is short: an idle worker must not hold the cache
+            tok.forget()
+            release_memory()
 
     return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(cut, PIECE_SCHEMA)
 
@@ -147,7 +150,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, end_id: int = 1, keeps_
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) for every piece of ``docs``.
 
     ``added_tokens``: strings of added tokens in a text become their ids, as the library does by default.
-    ``cache_chunks``: encoded chunks that a Python worker remembers.
+    ``cache_chunks``: encoded chunks that a Python worker remembers; with fewer than the default it
+    forgets them at the end of each task.
     """
     spark = docs.sparkSession
     pieces = stored(cut_pieces(docs, tokenizer_path, end_id, keeps_blanks, capacity, added_tokens, cache_chunks), "pieces")

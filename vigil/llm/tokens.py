@@ -91,6 +91,12 @@ class ChunkTokenizer:
             if len(self.mark) != 1:
                 raise ValueError("the chunk mark must be one token")
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        for cache in (self.bare, self.led):
+            cache.new, cache.old = {}, {}
+        self.marks.clear()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         held = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
         if not held:
