@@ -63,3 +63,39 @@ def test_one_pass_fill_equals_the_three_steps(spark):
     want = sorted((r.s, r.date, r.a, r.b) for r in steps.fillna(-99.0).collect())
     got = sorted((r.s, r.date, r.a, r.b) for r in filled_calendar(df, ["s"], ["a", "b"]).fillna(-99.0).collect())
     assert len(want) > 100 and got == want
+
+
+def test_panel_stages_stay_small_enough_for_the_jit(spark):
+    import re
+
+    from vigil.plans.panel import daily_panel
+    names = [f"v{i}" for i in range(7)]
+    df = spark.createDataFrame([(1, d(0), *[1.0] * 7)], "s int, date date, " + ", ".join(f"{n} double" for n in names))
+    panel = daily_panel(df, ["s"], "date", names)
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = spark._jvm.PythonSQLUtils.explainString(panel.select("*", (panel.v0 + 1).alias("w"))._jdf.queryExecution(), "codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", plan)]
+    assert sizes and max(sizes) < 8000       # longer methods are interpreted, never compiled
+
+
+def test_a_line_starts_again_at_each_known_day(spark):
+    rows = [(1, d(0), None, 1.0), (1, d(2), 4.0, -0.0), (1, d(5), None, None), (1, d(6), 0.0, float("inf")), (1, d(9), None, 2.0)]
+    df = spark.createDataFrame(rows, "s int, date date, a double, b double").selectExpr("*", "1L AS _obs_a", "1L AS _obs_b")
+    got = {(r.date - d(0)).days: (r.a, r.b) for r in filled_calendar(df, ["s"], ["a", "b"]).collect()}
+    assert [got[k][0] for k in range(10)] == [4.0, 4.0, 4.0, 3.0, 2.0, 1.0, 0.0, 0.0, 0.0, 0.0]
+    assert got[0][1] == 1.0 and got[6][1] == float("inf") and got[9][1] == 2.0
+
+
+def test_partitions_by_series_grow_with_the_table(spark, tmp_path, monkeypatch):
+    from vigil.plans import panel as P
+    path = str(tmp_path / "t")
+    spark.range(20000).selectExpr("id % 50 AS s", "rand(1) AS a").write.parquet(path)
+    df = spark.read.parquet(path)
+    assert P.series_partitions(df) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    monkeypatch.setattr(P, "SERIES_BYTES", 4096)
+    assert P.by_series(df, ["s"]).rdd.getNumPartitions() == P.series_partitions(df) > 20
+    assert P.series_partitions(spark.createDataFrame([(1,)], "s int")) >= 1
