@@ -68,3 +68,49 @@ def test_one_class_and_sums_in_a_tree(spark, monkeypatch):
     assert np.allclose(a[0].coefficients, b[0].coefficients, atol=1e-9)
     one = fit_logits(df.withColumn("y", F.lit(0)), ["x1"], "y", [{0}])[0]
     assert all(r.y_prob < 0.5 for r in one.score(df).select("y_prob").limit(50).collect())
+
+
+def test_vectors_of_a_matrix_are_the_prepared_rows(spark):
+    from pyspark.ml.functions import vector_to_array
+
+    from vigil.operators.fold_fits import Matrix, preps_of
+    df = spark.createDataFrame([(i, float(i % 7) if i % 5 else None, float(i * i), "abc"[i % 3] if i % 4 else None, i % 2, i % 3)
+                                for i in range(60)], "id int, a double, b double, c string, y int, cell int")
+    matrix = Matrix(df, ["a", "b", "c"], "cell", "y")
+    prep = preps_of(matrix, [{0, 1}])[0]
+    own = matrix.vectors(matrix.design(prep), {0, 1}).select(vector_to_array("_x").alias("x"), F.col("_y").cast("int").alias("y"))
+    want = prep.transform(df.where("cell < 2"), "x").select(vector_to_array("x").alias("x"), "y")
+    rows = lambda t: sorted((r.y, [round(v, 9) for v in r.x]) for r in t.collect())
+    assert rows(own) == rows(want) and own.count() == 40
+
+
+def test_blocks_of_lagged_columns_are_stored_once(spark):
+    import glob
+    import os
+
+    import numpy as np
+
+    from vigil.operators.fold_fits import Matrix
+    rng = np.random.default_rng(2)
+    a = rng.normal(size=4100)
+    rows = [(i, *[float(a[i + k]) for k in range(20)], 0) for i in range(4000)]
+    names = [f"c{k}" for k in range(20)]
+    df = spark.createDataFrame(rows, "id int, " + ", ".join(f"{n} double" for n in names) + ", cell int").coalesce(1).orderBy("id")
+    matrix = Matrix(df, names)
+    size = sum(os.path.getsize(f) for f in glob.glob(matrix.blocks.inputFiles()[0].rsplit("/", 1)[0].replace("file:", "") + "/*.parquet"))
+    assert size < 4000 * 20 * 8 / 4
+
+
+def test_folds_of_the_evaluation_store_no_features(spark, monkeypatch):
+    import datetime as dt
+
+    from vigil.plans import modeling
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i), float((i * 7 + s) % 11), float(i % 5), (i + s) % 3 == 0)
+            for s in (1, 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "s int, date date, a double, b double, hit boolean").withColumn("y", F.col("hit").cast("int")).drop("hit")
+    seen = []
+    cut = modeling.cut_lineage
+    monkeypatch.setattr(modeling, "cut_lineage", lambda d, *a: seen.append(d.columns) or cut(d, *a))
+    _, folds, _, oof = modeling.evaluate_models(df, ["a", "b"], "y", ["s"], ("logit_balanced",))
+    assert folds.count() == 5 and oof.count() == 100
+    assert seen and not any("a" in columns for columns in seen)
