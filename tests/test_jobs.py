@@ -58,6 +58,31 @@ def test_streamed_features_equal_the_batch_and_survive_a_restart(spark):
     assert spark.read.parquet(base + "/sink").count() == len(rows)
 
 
+def test_a_period_arrives_in_several_files_each_series_in_one(spark, monkeypatch):
+    from vigil.plans import job_queries
+    from vigil.streaming.features import feature_stream
+    base = tempfile.mkdtemp(prefix="vigil-arrive-")
+    spark.createDataFrame(panel_rows(), SCHEMA).write.parquet(base + "/panel")
+    panel = spark.read.parquet(base + "/panel")
+    monkeypatch.setattr(job_queries, "STREAM_FILE_BYTES", 64)
+    files = job_queries.arriving_files(spark, panel, base + "/in")
+    path = F.input_file_name()
+    found = (spark.read.option("recursiveFileLookup", "true").parquet(base + "/in").select("series_id", path.alias("file"), F.regexp_extract(path, "/in/([0-9]+)/", 1).alias("period"))
+             .groupBy("period", "series_id").agg(F.count_distinct("file").alias("files"), F.min("file").alias("file")).collect())
+    assert files > 3 and {r.files for r in found} == {1} and len({r.file for r in found}) > 3
+    # two files a batch: batches and periods do not end together
+    feature_stream(spark, base + "/in", panel.schema, ["series_id"], base + "/sink", base + "/state", NAMES, max_files_per_trigger=2).awaitTermination()
+    assert as_rows(spark.read.parquet(base + "/sink")) == as_rows(batch_features(spark, panel_rows()))
+
+
+def test_a_series_leaves_the_state_as_one_row_a_batch(spark):
+    from vigil.streaming.features import with_history
+    rows = spark.readStream.schema("series_id int, date date, a double").parquet(tempfile.mkdtemp(prefix="vigil-rows-"))
+    out = with_history(rows, ["series_id"], ["a"], depth=3)
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "Generate inline" in plan and [f.simpleString() for f in out.schema] == ["series_id:int", "date:date", "a:double", "_a_history:array<double>"]
+
+
 def test_features_of_a_bucketed_panel_need_no_exchange(spark):
     rows = panel_rows()
     table = write_panel(spark.createDataFrame(rows, SCHEMA), ["series_id"], "bucketed_panel_test", tempfile.mkdtemp(prefix="vigil-panel-"), 4)

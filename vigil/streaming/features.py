@@ -27,35 +27,46 @@ def with_history(rows: DataFrame, keys, base=BASE_NUMERIC, depth: int = max(ROLL
     """Adds ``_<c>_history`` (array, nearest row first, at most ``depth``) to a stream of (keys, date, base) rows."""
     keys, base = as_list(keys), list(base)
     key_fields = [rows.schema[k] for k in keys]
-    values = [T.StructField(c, T.DoubleType()) for c in base]
     history = [T.StructField(f"_{c}_history", T.ArrayType(T.DoubleType())) for c in base]
-    out = T.StructType([*key_fields, T.StructField(date_col, T.DateType()), *values, *history])
+    lines = [T.StructField(f"_{c}_line", T.ArrayType(T.DoubleType())) for c in base]
+    out = T.StructType([*key_fields, T.StructField("_days", T.ArrayType(T.DateType())), *lines])
     state_type = T.StructType([T.StructField("last", T.DateType()), *history])
 
     def carry(key: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         last, past = (None, [[] for _ in base])
         if state.exists:
             last, *past = state.get
-            past = [list(p) for p in past]
-        new = pd.concat(list(frames)).sort_values(date_col, kind="stable").drop_duplicates(date_col)
-        if last is not None:
-            new = new[new[date_col] > last]
-        if not len(new):
+        days, columns = [], [[] for _ in base]
+        for f in frames:
+            days += f[date_col].tolist()
+            for values, c in zip(columns, base):
+                values += f[c].tolist()
+        first = {}
+        for i, d in enumerate(days):
+            first.setdefault(d, i)
+        new = sorted(d for d in first if d is not None and (last is None or d > last))
+        if last is None and None in first:
+            new.append(None)
+        if not new:
             return
-        columns = dict(zip(keys, ([v] * len(new) for v in key))) | {date_col: new[date_col].tolist()}
-        kept = []
-        for c, before in zip(base, past):
-            # before: nearest first; line: oldest first, up to the last new row
-            line = before[::-1] + [None if pd.isna(v) else float(v) for v in new[c]]
-            start = len(before)
-            columns[c] = line[start:]
-            columns[f"_{c}_history"] = [line[max(0, i - depth):i][::-1] for i in range(start, len(line))]
-            kept.append(line[-depth:][::-1])
-        state.update((new[date_col].iloc[-1], *kept))
-        yield pd.DataFrame(columns)[out.fieldNames()].astype({c: "object" for c in base})
+        # past: nearest first; a line: oldest first, the rows before and then the new ones
+        held = [[*before[::-1], *(None if v is None or v != v else v for v in (values[first[d]] for d in new))]
+                for before, values in zip(past, columns)]
+        state.update((new[-1], *(line[-depth:][::-1] for line in held)))
+        yield pd.DataFrame(dict(zip(out.fieldNames(), ([v] for v in (*key, new, *held)))))
 
     typed = rows.select(*keys, F.col(date_col).cast("date").alias(date_col), *[F.col(c).cast("double").alias(c) for c in base])
-    return typed.groupBy(*keys).applyInPandasWithState(carry, out, state_type, "append", "NoTimeout")
+    carried = typed.groupBy(*keys).applyInPandasWithState(carry, out, state_type, "append", "NoTimeout")
+    # One row per series and batch leaves Python; its rows and their histories are cut out of the lines by expressions.
+    new, before = F.size("_days"), F.size(f"_{base[0]}_line") - F.size("_days")
+
+    def row(i):
+        at = before + i
+        past = [F.reverse(F.slice(f"_{c}_line", F.greatest(at - depth, F.lit(0)) + 1, F.least(at, F.lit(depth)))) for c in base]
+        return F.struct(F.get("_days", i).alias(date_col), *[F.get(f"_{c}_line", at).alias(c) for c in base],
+                        *[h.alias(f"_{c}_history") for c, h in zip(base, past)])
+
+    return carried.select(*keys, F.inline(F.transform(F.sequence(F.lit(0), new - 1), row)))
 
 
 def features_of_history(rows: DataFrame, keys, base=BASE_NUMERIC, lags=LAGS, windows=ROLL_WINDOWS, diffs=DIFFS,
