@@ -99,3 +99,12 @@ def test_partitions_by_series_grow_with_the_table(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(P, "SERIES_BYTES", 4096)
     assert P.by_series(df, ["s"]).rdd.getNumPartitions() == P.series_partitions(df) > 20
     assert P.series_partitions(spark.createDataFrame([(1,)], "s int")) >= 1
+
+
+def test_a_task_of_the_window_stages_gets_a_megabyte(spark, tmp_path):
+    from vigil.plans import panel as P
+    path = str(tmp_path / "t")
+    spark.range(1_400_000).selectExpr("id % 50 AS s", "rand(1) AS a").write.parquet(path)
+    size = sum(f.stat().st_size for f in (tmp_path / "t").glob("*.parquet"))
+    assert 9 << 20 < size < 16 << 20
+    assert P.series_partitions(spark.read.parquet(path)) >= size >> 20
