@@ -17,7 +17,10 @@ OPERATIONAL_FEATURES = list(REQUIRED_COLUMNS)
 def alert_table(model, threshold: float, snapshots: DataFrame, keep=()) -> DataFrame:
     """Valid snapshots scored; invalid ones are left out (see
     ``validate_snapshots`` for the rejected rows)."""
-    valid = validate_snapshots(snapshots, keep=keep).where(F.col("valid") == 1).drop("valid")
+    checked = validate_snapshots(snapshots, keep=keep)
+    # by a generator: a filter would move below the numbers, whose texts would be made and parsed once for it and once more
+    whole = F.when(F.col("valid") == 1, F.array(F.struct(*[c for c in checked.columns if c != "valid"])))
+    valid = checked.select(F.inline(whole))
     scored = model.score(valid, "predicted_probability_48h")
     return scored.select(*keep, *REQUIRED_COLUMNS, "predicted_probability_48h",
                          F.lit(float(threshold)).alias("decision_threshold"),
