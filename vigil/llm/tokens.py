@@ -16,7 +16,8 @@ import os
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, compress, repeat
+from operator import is_
 from string import ascii_letters, ascii_lowercase
 
 import numpy as np
@@ -47,17 +48,16 @@ class ChunkCache:
         if len(self.new) > self.size:
             self.old, self.new = self.new, {}
         new, old = self.new, self.old
-        own = dict.fromkeys(chunks)
-        own = dict(zip(own, map(new.get, own)))
-        unseen = [c for c, x in own.items() if x is None]
+        found = list(map(new.get, chunks))
+        unseen = list(dict.fromkeys(compress(chunks, map(is_, found, repeat(None)))))
         if unseen:
             again = {c: old[c] for c in unseen if c in old}
             if again:
                 unseen = [c for c in unseen if c not in again]
             again.update(zip(unseen, self.fill(unseen)))
             new.update(again)
-            own.update(again)
-        return list(map(own.__getitem__, chunks))
+            found = list(map(new.__getitem__, chunks))
+        return found
 
 
 class ChunkTokenizer:
