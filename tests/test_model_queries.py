@@ -15,3 +15,17 @@ def test_evaluation_queries_take_the_whole_feature_set(monkeypatch):
     registry.q_cv_fold_metrics(None, "")
     assert registry.q_gbt_calibrated_scores(None, "") == f"test {CV_SPLITS}"
     assert seen == [ready] * 3
+
+
+def test_boosted_queries_train_every_round(monkeypatch):
+    from vigil.operators.models import GBT_PARAMS
+    seen = []
+    monkeypatch.setattr(registry, "_model_ready", lambda spark, sf_dir: ("rows", ["f"], "y"))
+    monkeypatch.setattr(modeling, "evaluate_models", lambda *a, gbt_params=None, **o: seen.append(gbt_params) or [None] * 4)
+    monkeypatch.setattr("vigil.operators.cv.assign_date_folds", lambda df: df)
+    monkeypatch.setattr("vigil.operators.cv.fold_split", lambda df, fold: (df, df))
+    monkeypatch.setattr(modeling, "fit_model", lambda name, train, feats, target, keys, params=None: seen.append(params))
+    monkeypatch.setattr(modeling, "scored_rows", lambda model, rows, keys, target: rows)
+    for query in ("oof_predictions", "cv_fold_metrics", "gbt_calibrated_scores"):
+        registry.QUERIES[query](None, "")
+    assert [dict(GBT_PARAMS, **(params or {})) for params in seen] == [GBT_PARAMS] * 3 and GBT_PARAMS["maxIter"] == 350
