@@ -75,3 +75,20 @@ def test_a_dealt_panel_is_bucketed_without_another_exchange(spark, monkeypatch):
     features = plan_of(add_features(table, ["series_id"], ["a"], with_categories=False))
     assert "SelectedBucketsCount: 5 out of 5" in features and "Exchange" not in features
     spark.sql("DROP TABLE dealt_panel_test")
+
+
+def test_a_run_is_counted_without_storing_rows(spark, monkeypatch):
+    from vigil.operators.features import BASE_NUMERIC
+    from vigil.operators.horizon import add_category
+    from vigil.plans import modeling
+    schema = "series_id int, date date, " + ", ".join(f"{c} double" for c in BASE_NUMERIC)
+    rows = [(s, dt.date(2024, 1, 1) + dt.timedelta(days=i + s), *[float((i * 37 + s) % 200)] * 7)
+            for s in (1, 2, 3) for i in range(30) if i % (5 + s)] + [(None, dt.date(2024, 1, 9), *[170.0] * 7)]
+    panel = add_category(spark.createDataFrame(rows, schema), "PM25")
+    panel = add_future_categories(panel, ["series_id"], drop_missing=False)
+    df, features, target = modeling.model_ready(panel, ["series_id"])
+    want = modeling.panel_sums(panel, ["series_id"]), modeling.observed_rows(df, target)[1], features
+    monkeypatch.setattr(modeling, "cut_lineage", lambda *a: 1 / 0)
+    assert modeling.counted_run(panel, ["series_id"]) == want and want[0]["n"] == len(rows) and want[0]["span"] > 80
+    none = modeling.counted_run(panel.where("date IS NULL"), ["series_id"])
+    assert none[0] == dict.fromkeys(("n", "span", "critical", "known")) and none[1]["n_rows_model"] == 0
